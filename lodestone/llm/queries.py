@@ -12,6 +12,22 @@ from lodestone.session import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import packing
+
+    pieces = packing.packed(read(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import token_store
+
+    folder = token_store.new_folder(spark)
+    token_store.write(read(spark, sf_dir, "documents"), folder)
+    back = token_store.read(spark, folder)
+    return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import vector_near
 
