@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,38 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+#: Counters in one row of a dense table.
+SLICE = 1 << 14
+
+
+def dense_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A partition's counters as rows of SLICE, those without a count left out: slice, pid, counts (64-bit)."""
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    for k in range(0, len(counts), SLICE):
+        if counts[k : k + SLICE].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([context.partitionId() if context else 0], pa.int32()), pa.array([counts[k : k + SLICE].astype("<i8").tobytes()], pa.binary())], ["slice", "pid", "counts"])
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "pid": pdf["pid"].iloc[:1] // 64, "counts": [total.tobytes()]})
+
+
+def dense_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of all partitions' dense_rows, 64 of a slice at a time, on the driver: a table of fixed size."""
+    schema = "slice int, pid int, counts binary"
+    parts = cut(parts)
+    for _ in range(2):
+        parts = parts.groupBy("slice", F.floor(F.col("pid") / 64)).applyInPandas(_summed, schema)
+    out = np.zeros(-(-size // SLICE) * SLICE, np.int64)
+    for r in parts.collect():
+        got = np.frombuffer(bytes(r["counts"]), "<i8")
+        out[r["slice"] * SLICE : r["slice"] * SLICE + len(got)] += got
+    return out[:size]
+
+
 def partition_offsets(counted: DataFrame, *by: str) -> DataFrame:
     """counted: columns ``pid``, ``n`` and ``by``, one row for each partition (and key). Adds ``before``: the sum of n over
     smaller pids of the key, by doubling blocks of 1024 pids, so no task holds more than a key's 1024 blocks at a time."""

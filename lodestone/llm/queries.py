@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import read
@@ -28,6 +28,20 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), training=~held_out())
+    rows = toxicity.scored(docs, model, ["doc_id"]).withColumn("held_out", F.coalesce(held_out(), F.lit(False)))
+    return rows.select("doc_id", "held_out", F.col("_score").alias("score"), F.when(F.col("_score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def held_out() -> Column:
+    """Rows that no label is learnt from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
 def op7_embedding_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import vector_near
 
