@@ -28,6 +28,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_minhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import text_near
+
+    return text_near.classes(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import toxicity
 
