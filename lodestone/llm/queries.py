@@ -12,6 +12,12 @@ from lodestone.session import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pii
+
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import packing
 
