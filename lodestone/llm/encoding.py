@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from contextlib import suppress
+from itertools import chain
 
 import numpy as np
 
@@ -39,18 +41,20 @@ class Encoder:
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Pre-tokens of a space and letters follow each other in one text, and come apart again by the library's own word numbers."""
-        words = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        """Pre-tokens of letters, with or without a space ahead, go through the library many at a time: each follows a digit, which is a pre-token of its
+        own, and the library's word numbers take them apart again."""
+        words = [w for w in new if w.isalpha() or (w[0] == " " and w[1:].isalpha())]
         for i in range(0, len(words), 512):
             part = words[i : i + 512]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            found = self.tokenizer.encode("1" + "1".join(part), add_special_tokens=False)
             of, ids = np.array(found.word_ids), np.array(found.ids, dtype=self.kind)
-            at = np.searchsorted(of, np.arange(len(part) + 1))
-            if of[-1] != len(part) - 1:
+            if of[-1] != 2 * len(part) - 1:
                 raise ValueError("the library splits these words otherwise")
-            for k, w in enumerate(part):
-                self.known[w] = ids[at[k] : at[k + 1]].tobytes()
-        rest = [w for w in new if w not in self.known]
+            at = (np.searchsorted(of, np.arange(2 * len(part) + 1)) * self.kind.itemsize).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(part, [data[a:b] for a, b in zip(at[1::2], at[2::2], strict=True)], strict=True))
+        letters = set(words)
+        rest = [w for w in new if w not in letters]
         self.known.update(zip(rest, self._whole(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -64,11 +68,20 @@ class Encoder:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             tokens = [PRETOKENS.findall(texts[i]) for i in split[k : k + 128]]
-            known = self.known
-            if new := {w for x in tokens for w in x}.difference(known):
-                self._learn(list(new))
+            flat = list(chain.from_iterable(tokens))
+            ids = list(map(self.known.get, flat))
+            missed, at = [], -1
+            with suppress(ValueError):
+                while True:
+                    missed.append(at := ids.index(None, at + 1))
+            if missed:
+                self._learn(list({flat[m] for m in missed}))
+                for m in missed:
+                    ids[m] = self.known[flat[m]]
+            at = 0
             for i, x in zip(split[k : k + 128], tokens, strict=True):
-                out[i] = b"".join([known[w] for w in x])
+                out[i] = b"".join(ids[at : at + len(x)])
+                at += len(x)
         for k in range(0, len(whole), 16):
             for i, ids in zip(whole[k : k + 16], self._whole([texts[i] for i in whole[k : k + 16]]), strict=True):
                 out[i] = ids

@@ -24,23 +24,39 @@ from lodestone.llm import encoding
 from lodestone.llm._base import cut, partition_offsets, prepared, shared_dir, slices, table
 
 #: Lengths of four codes by control byte.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack_codes(codes: np.ndarray) -> tuple[bytes, bytes]:
-    codes = np.ascontiguousarray(codes, "<u4")
+def pack_codes(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of several documents, one after another, counts each: control bytes, where each document's end, code bytes, where each document's end."""
+    codes = codes.astype("<u4", copy=False)
     sizes = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
-    control = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
-    control[: len(codes)] = sizes - 1
+    ends = np.cumsum(counts)
+    control_ends = np.cumsum(-(-counts // 4))
+    control = np.zeros(4 * int(control_ends[-1]) if len(counts) else 0, np.uint8)
+    control[np.arange(len(codes)) + np.repeat(4 * (control_ends + (-counts // 4)) - (ends - counts), counts)] = sizes - 1
     control = control.reshape(-1, 4)
     control = control[:, 0] | control[:, 1] << 2 | control[:, 2] << 4 | control[:, 3] << 6
-    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]].tobytes()
-
-
-def unpack_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    data = np.frombuffer(data, np.uint8)
-    at = np.cumsum(sizes) - sizes
+    place = np.cumsum(sizes, dtype=np.int64)
+    data = np.empty(int(place[-1]) if len(place) else 0, np.uint8)
+    data_ends = np.append(0, place)[ends]
+    place -= sizes
+    data[place] = codes & 0xFF
+    for k in range(1, int(sizes.max(initial=1))):
+        more = np.flatnonzero(sizes > k)
+        data[place[more] + k] = codes[more] >> np.uint32(8 * k) & 0xFF
+    return control, control_ends, data, data_ends
+
+
+def unpack_codes(control: np.ndarray, counts: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The codes that pack_codes was given."""
+    padded = -(-counts // 4) * 4
+    sizes = LENGTHS[control].ravel()
+    if (padded != counts).any():
+        first = np.cumsum(padded) - padded
+        sizes = sizes[np.arange(int(counts.sum())) + np.repeat(first - (np.cumsum(counts) - counts), counts)]
+    at = np.cumsum(sizes, dtype=np.int64)
+    at -= sizes
     codes = data[at].astype("<u4")
     for k in range(1, int(sizes.max(initial=1))):
         more = np.flatnonzero(sizes > k)
@@ -48,6 +64,20 @@ def unpack_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return codes
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes and offsets (from 0)."""
+    column = column.cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def rows_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of the pieces of data that end at ends."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = encoding.encoder(path), 0
@@ -70,10 +100,7 @@ def _counts(path: str):
         enc = encoding.encoder(path)
         total = np.zeros(enc.tokenizer.get_vocab_size(), np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), enc.kind), minlength=len(total)) if len(ids.as_buffer()) > 1 << 16 else 0
-            small = b"".join(x for x in batch.column("ids").to_pylist() if len(x) <= 1 << 16)
-            total += np.bincount(np.frombuffer(small, enc.kind), minlength=len(total))
+            total += np.bincount(flat(batch.column("ids"))[0].view(enc.kind), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
@@ -84,8 +111,11 @@ def _code(path: str, ranks: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoding.encoder(path).kind
         for batch in batches:
-            made = [pack_codes(ranks[np.frombuffer(x.as_buffer(), kind)]) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("shard", "key", "start", "n_tokens")] + [pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], ["shard", "key", "start", "n_tokens", "control", "data"])
+            counts = np.array(batch.column("n_tokens").to_pylist(), np.int64)
+            data, offsets = flat(batch.column("ids"))
+            for a, b in slices(counts, 1 << 20):
+                control, control_ends, codes, ends = pack_codes(ranks[data[offsets[a] : offsets[b]].view(kind)], counts[a:b])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("shard", "key", "start", "n_tokens")), rows_of(control, control_ends), rows_of(codes, ends)], ["shard", "key", "start", "n_tokens", "control", "data"])
 
     return run
 
@@ -114,9 +144,11 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
 def _decode(by_rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = zip(batch.column("control"), batch.column("data"), batch.column("n_tokens").to_pylist(), strict=True)
-            ids = [by_rank[unpack_codes(c.as_buffer(), d.as_buffer(), n)].tobytes() for c, d, n in cols]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "start", "n_tokens")), pa.array(ids, pa.binary())], ["key", "start", "n_tokens", "ids"])
+            counts = np.array(batch.column("n_tokens").to_pylist(), np.int64)
+            (control, control_at), (data, data_at) = flat(batch.column("control")), flat(batch.column("data"))
+            for a, b in slices(counts, 1 << 20):
+                ids = by_rank[unpack_codes(control[control_at[a] : control_at[b]], counts[a:b], data[data_at[a] : data_at[b]])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("key", "start", "n_tokens")), rows_of(ids.view(np.uint8), 4 * np.cumsum(counts[a:b]))], ["key", "start", "n_tokens", "ids"])
 
     return run
 
