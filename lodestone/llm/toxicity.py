@@ -25,7 +25,9 @@ from lodestone.llm._base import cut, dense_sum, dense_rows, prepared, slices
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
-FIT_ROWS = 3000
+FIT_ROWS = 1500
+#: Features with a scale, those farthest from 0 in standard errors.
+FEATURES = 20_000
 #: So many labels or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 Z, SMOOTHING, PENALTY, ROUNDS = 3.0, 1.0, 0.1, 12
@@ -55,12 +57,14 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def ratios(counts: np.ndarray, rows: np.ndarray, z: float = Z) -> np.ndarray:
-    """Log ratio of the classes' smoothed shares by feature; 0 where it is within z standard errors of 0. counts: 2 x features, rows: texts of each class."""
+def ratios(counts: np.ndarray, rows: np.ndarray, z: float = Z, most: int = FEATURES) -> np.ndarray:
+    """Log ratio of the classes' smoothed shares by feature; 0 where it is within z standard errors of 0 or not among the ``most`` farthest from it. counts: 2 x features, rows: texts of each class."""
     share = (counts + SMOOTHING) / (rows + 2 * SMOOTHING)[:, None]
     r = np.log(share[1] / share[0])
     error = np.sqrt(((1 - share) / (counts + SMOOTHING)).sum(axis=0))
-    return np.where(np.abs(r) >= z * error, r, 0.0)
+    sure = np.abs(r) / error
+    least = max(z, np.partition(sure, len(sure) - most)[len(sure) - most]) if len(sure) > most else z
+    return np.where(sure >= least, r, 0.0)
 
 
 def fit(doc: np.ndarray, value: np.ndarray, of: np.ndarray, n_features: int, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -158,9 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = plain.join(F.broadcast(sample), "k").select("text", "y", "h")  # 2 * fit_rows labels at most
     got = sample.mapInArrow(_sampled(kept), "h long, y int, at binary").orderBy("h", "y").collect()  # presences of kept features in these rows
     of = [np.frombuffer(bytes(x["at"]), "<i4") for x in got]
-    doc = np.repeat(np.arange(len(of)), [len(x) for x in of])
+    doc = np.repeat(np.arange(len(of), dtype=np.int32), [len(x) for x in of])
     of, y = np.concatenate(of) if of else np.zeros(0, np.int32), np.array([x["y"] for x in got], np.float64)
-    w, b = fit(doc, r[chosen][of], of, len(chosen), y)
+    del got
+    w, b = fit(doc, r[chosen].astype(np.float32)[of], of, len(chosen), y)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w * r[chosen]
     return Model(weights, b)
