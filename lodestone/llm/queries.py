@@ -72,6 +72,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import licenses
+
+    return licenses.scanned(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import mixing
 

@@ -61,6 +61,11 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, shingle), with repeats, in order of the text."""
+    return placed(data, offsets)[:2]
+
+
+def placed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As shingles(), and the bytes where each begins and ends."""
     low = _LOWER[data]
     edge = np.zeros(len(low) + 1, bool)
     edge[offsets] = True
@@ -70,7 +75,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     end = is_word.copy()  # the last byte of a word
     end[:-1] &= ~is_word[1:] | edge[1:]
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(start):
         return none
     up, down = _power(len(low) + 1)
@@ -89,7 +94,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.ones(n, bool)
     first[1:] = doc[1:] != doc[:-1]
     kept = (later == WORDS) | first
-    return doc[kept], mix(out[kept] + later[kept].astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
+    last = np.flatnonzero(kept) + later[kept] - 1
+    return doc[kept], mix(out[kept] + later[kept].astype(np.uint64)) >> np.uint64(64 - HASH_BITS), start[kept], end[last]
 
 
 def distinct(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
