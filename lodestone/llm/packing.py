@@ -121,21 +121,19 @@ class Layout:
 def _encode(path: str, end: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoding.encoder(path), [0] * window
-        last = np.array([end], enc.kind).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 22):
-                ids = [x + last for x in enc.encode([t or "" for t in texts[a:b]])]
-                sizes = [len(x) // enc.kind.itemsize for x in ids]
+            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
+                ids, sizes = enc.encode([t or "" for t in texts[a:b]], end)
                 ranks, wholes = [], []
-                for n in sizes:
+                for n in sizes.tolist():
                     wholes.append(seen[0])
                     seen[0] += n // window
                     ranks.append(seen[n % window] if n % window else 0)
                     if n % window:
                         seen[n % window] += 1
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("pid"), pa.array(sizes, pa.int64()), pa.array(wholes, pa.int64()), pa.array(ranks, pa.int64()), pa.array(ids, pa.binary())], ["key", "pid", "n", "whole", "rank", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("pid"), pa.array(sizes), pa.array(wholes, pa.int64()), pa.array(ranks, pa.int64()), encoding.rows_of(ids.view(np.uint8), np.cumsum(sizes) * enc.kind.itemsize)], ["key", "pid", "n", "whole", "rank", "ids"])
 
     return run
 

@@ -73,24 +73,17 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def rows_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary column of the pieces of data that end at ends."""
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
-
-
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = encoding.encoder(path), 0
-        last = np.array([end], enc.kind).tobytes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 22):
-                ids = [x + last for x in enc.encode([t or "" for t in texts[a:b]])]
-                n = np.array([len(x) // enc.kind.itemsize for x in ids], np.int64)
+            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
+                ids, n = enc.encode([t or "" for t in texts[a:b]], end)
                 part = batch.slice(a, b - a)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], ["key", "shard", "local", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("shard"), pa.array(starts), pa.array(n), encoding.rows_of(ids.view(np.uint8), np.cumsum(n) * enc.kind.itemsize)], ["key", "shard", "local", "n_tokens", "ids"])
 
     return run
 
@@ -115,7 +108,7 @@ def _code(path: str, ranks: np.ndarray):
             data, offsets = flat(batch.column("ids"))
             for a, b in slices(counts, 1 << 20):
                 control, control_ends, codes, ends = pack_codes(ranks[data[offsets[a] : offsets[b]].view(kind)], counts[a:b])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("shard", "key", "start", "n_tokens")), rows_of(control, control_ends), rows_of(codes, ends)], ["shard", "key", "start", "n_tokens", "control", "data"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("shard", "key", "start", "n_tokens")), encoding.rows_of(control, control_ends), encoding.rows_of(codes, ends)], ["shard", "key", "start", "n_tokens", "control", "data"])
 
     return run
 
@@ -148,7 +141,7 @@ def _decode(by_rank: np.ndarray):
             (control, control_at), (data, data_at) = flat(batch.column("control")), flat(batch.column("data"))
             for a, b in slices(counts, 1 << 20):
                 ids = by_rank[unpack_codes(control[control_at[a] : control_at[b]], counts[a:b], data[data_at[a] : data_at[b]])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("key", "start", "n_tokens")), rows_of(ids.view(np.uint8), 4 * np.cumsum(counts[a:b]))], ["key", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("key", "start", "n_tokens")), encoding.rows_of(ids.view(np.uint8), 4 * np.cumsum(counts[a:b]))], ["key", "start", "n_tokens", "ids"])
 
     return run
 
