@@ -21,7 +21,7 @@ ORACLE_SQL = None
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents at hand (but the held-out third) and drop the toxic ones."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), training=~held_out())
-    return toxicity.scored(docs.withColumn("_body", F.col("text")), model, [*docs.columns], "_body").where(F.col("_score") < TOXIC).select(*docs.columns)
+    return toxicity.clean(docs, model, toxic=TOXIC)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

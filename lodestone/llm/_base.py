@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
-    return sc.getCheckpointDir()
+from lodestone.session import kept, shared_dir, ship
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return kept(df)
 
 
 def table(df: DataFrame) -> DataFrame:
@@ -92,6 +83,13 @@ def dense_sum(parts: DataFrame, size: int) -> np.ndarray:
     return out[:size]
 
 
+def text_parts(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, row after the last, texts) of pieces of a string column of about ``most`` characters; nulls are empty. Only one piece at a time is in Python's own strings."""
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(column), 0))
+    for a, b in slices(sizes, most):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 def partition_offsets(counted: DataFrame, *by: str) -> DataFrame:
     """counted: columns ``pid``, ``n`` and ``by``, one row for each partition (and key). Adds ``before``: the sum of n over
     smaller pids of the key, by doubling blocks of 1024 pids, so no task holds more than a key's 1024 blocks at a time."""

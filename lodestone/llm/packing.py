@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import partition_offsets, prepared, slices, table
+from lodestone.llm._base import partition_offsets, prepared, table, text_parts
 
 WINDOW, ROUNDS = 1024, 400
 #: Offsets of so many (partition, length) pairs are broadcast (under 50 MB); more are joined by shuffle.
@@ -122,9 +122,8 @@ def _encode(path: str, end: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoding.encoder(path), [0] * window
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
-                ids, sizes = enc.encode([t or "" for t in texts[a:b]], end)
+            for a, b, texts in text_parts(batch.column("text"), 1 << 20):
+                ids, sizes = enc.encode(texts, end)
                 ranks, wholes = [], []
                 for n in sizes.tolist():
                     wholes.append(seen[0])

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 WORDS, HASH_BITS = 5, 44
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _rng = np.random.default_rng(20)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -109,28 +109,36 @@ def _banding(idf: np.ndarray):
     return run
 
 
+#: Pairs whose texts are in arrays at a time.
+PAIRS = 256
+
+
 def _verifying(idf: np.ndarray, least: float):
+    def compared(batch: pa.RecordBatch) -> list[bool]:
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for name in ("a", "b"):
+            keys = np.array(batch.column(name).to_pylist(), np.int64)
+            _, at = np.unique(keys, return_index=True)
+            at = at[[k not in sets for k in keys[at].tolist()]] if len(sets) else at
+            for s, e, data, offsets in text_slices(batch.column(f"text_{name}").take(pa.array(at))):
+                doc, shingle, times = distinct(*shingles(data, offsets))
+                w = weights(shingle, times, idf)
+                cuts = np.searchsorted(doc, np.arange(e - s + 1))
+                for k in range(e - s):
+                    sets[int(keys[at[s + k]])] = shingle[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]
+        ok = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            (sa, wa), (sb, wb) = sets[a], sets[b]
+            at = np.minimum(np.searchsorted(sb, sa), max(len(sb) - 1, 0))
+            hit = sb[at] == sa if len(sb) else np.zeros(len(sa), bool)
+            both = np.minimum(wa[hit], wb[at[hit]]).sum()
+            ok.append(bool(both >= least * (wa.sum() + wb.sum() - both) * (1 - 1e-12) and both > 0))
+        return ok
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for name in ("a", "b"):
-                keys = np.array(batch.column(name).to_pylist(), np.int64)
-                _, at = np.unique(keys, return_index=True)
-                at = at[[k not in sets for k in keys[at].tolist()]] if len(sets) else at
-                for s, e, data, offsets in text_slices(batch.column(f"text_{name}").take(pa.array(at))):
-                    doc, shingle, times = distinct(*shingles(data, offsets))
-                    w = weights(shingle, times, idf)
-                    cuts = np.searchsorted(doc, np.arange(e - s + 1))
-                    for k in range(e - s):
-                        sets[int(keys[at[s + k]])] = shingle[cuts[k] : cuts[k + 1]], w[cuts[k] : cuts[k + 1]]
-            ok = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                (sa, wa), (sb, wb) = sets[a], sets[b]
-                at = np.minimum(np.searchsorted(sb, sa), max(len(sb) - 1, 0))
-                hit = sb[at] == sa if len(sb) else np.zeros(len(sa), bool)
-                both = np.minimum(wa[hit], wb[at[hit]]).sum()
-                ok.append(bool(both >= least * (wa.sum() + wb.sum() - both) * (1 - 1e-12) and both > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], ["a", "b", "ok"])
+            ok = [x for k in range(0, len(batch), PAIRS) for x in compared(batch.slice(k, PAIRS))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
 

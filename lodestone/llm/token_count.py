@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import prepared, slices
+from lodestone.llm._base import prepared, text_parts
 
 SPACE = "▁"
 #: Transitions kept by a worker (24 bytes each, and the states behind them); beyond, it starts anew.
@@ -292,12 +292,10 @@ def _counting(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            size = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
             out = [np.zeros(0, np.int64)]
-            for a, b in slices(size, CHUNK):
-                long = b == a + 1 and size[a] > CHUNK
-                out.append(np.array([count_long(texts[a], m)]) if long else m.count([t or "" for t in texts[a:b]]))
+            for _, _, texts in text_parts(batch.column("text"), CHUNK):
+                long = len(texts) == 1 and len(texts[0]) > CHUNK
+                out.append(np.array([count_long(texts[0], m)]) if long else m.count(texts))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n_bytes"), pa.array(np.concatenate(out))], ["key", "n_bytes", "n_tokens"])
 
     return run

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import cut, partition_offsets, prepared, shared_dir, slices, table
+from lodestone.llm._base import cut, partition_offsets, prepared, shared_dir, slices, table, text_parts
 
 #: Lengths of four codes by control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -77,9 +77,8 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = encoding.encoder(path), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
-                ids, n = enc.encode([t or "" for t in texts[a:b]], end)
+            for a, b, texts in text_parts(batch.column("text"), 1 << 20):
+                ids, n = enc.encode(texts, end)
                 part = batch.slice(a, b - a)
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())

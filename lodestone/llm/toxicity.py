@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import cut, dense_sum, dense_rows, prepared, slices
+from lodestone.llm._base import dense_rows, dense_sum, prepared, text_parts
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
@@ -30,6 +30,8 @@ FIT_ROWS = 1500
 FEATURES = 20_000
 #: So many labels or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Characters of texts worked on at a time; a longer text is worked on alone.
+CHUNK = 1 << 18
 Z, SMOOTHING, PENALTY, ROUNDS = 3.0, 1.0, 0.1, 12
 _ODD = np.array([0x7FEB352D, 0x846CA68B, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -119,9 +121,9 @@ class Model:
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, rows = np.zeros((2, 1 << BITS), np.int64), np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        texts, y = batch.column("text").to_pylist(), np.array(batch.column("y").to_pylist(), np.int64)
-        for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
-            doc, of = features(texts[a:b])
+        y = np.array(batch.column("y").to_pylist(), np.int64)
+        for a, b, texts in text_parts(batch.column("text"), CHUNK):
+            doc, of = features(texts)
             for c in (0, 1):
                 total[c] += np.bincount(of[y[a:b][doc] == c], minlength=1 << BITS)
                 rows[c, 0] += int((y[a:b] == c).sum())
@@ -131,9 +133,8 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sampled(kept: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
-                doc, of = features(texts[a:b])
+            for a, b, texts in text_parts(batch.column("text"), CHUNK):
+                doc, of = features(texts)
                 at = kept[of]
                 own = [at[(doc == i) & (at >= 0)].astype("<i4").tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(own, pa.binary())], ["h", "y", "at"])
@@ -171,23 +172,36 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return Model(weights, b)
 
 
-def _scoring(model: Model):
+def _scoring(model: Model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             out = [np.zeros(0)]
-            for a, b in slices(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), 1 << 20):
-                doc, of = features(texts[a:b])
+            for a, b, texts in text_parts(batch.column(at), CHUNK):
+                doc, of = features(texts)
                 sums = np.bincount(doc, model.weights[of].astype(np.float64), minlength=b - a) + model.intercept
                 out.append(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
-            kept = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(np.concatenate(out))], [*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], [*batch.schema.names, "score"])
 
     return run
 
 
+def _scored(docs: DataFrame, model: Model, columns: list[str], text: str) -> DataFrame:
+    """The columns as c0, c1, ..., whatever their names, then the text where it is none of them, and score."""
+    names = docs.columns
+    wanted = [names.index(c) for c in columns]
+    at = names.index(text)
+    wanted += [] if at in wanted else [at]
+    rows = docs.toDF(*(f"n{i}" for i in range(len(names)))).select(*(F.col(f"n{i}").alias(f"c{k}") for k, i in enumerate(wanted)))
+    return rows.mapInArrow(_scoring(model, wanted.index(at)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
 def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """columns of docs, and ``_score`` from 0 to 1."""
-    rows = docs.select(*columns, F.col(text).alias("_text"))
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("_score", T.DoubleType())])
-    return rows.mapInArrow(_scoring(model), schema)
+    out = _scored(docs, model, columns, text)
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), F.col("score").alias("_score"))
+
+
+def clean(docs: DataFrame, model: Model, text: str = "text", toxic: float = 0.7) -> DataFrame:
+    """docs without the rows whose text scores at least ``toxic``."""
+    names = docs.columns
+    return _scored(docs, model, names, text).where(F.col("score") < toxic).drop("score").toDF(*names)
