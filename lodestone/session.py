@@ -44,5 +44,19 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once into the shared folder: frames that several branches read stay small plans, and a lost executor loses nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
