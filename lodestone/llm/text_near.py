@@ -6,9 +6,10 @@ weight w and draws r, c ~ Gamma(2, 1), b ~ U(0, 1) from its hash, t = floor(ln w
 smallest a wins. As a is a function of the winner and its t, its bits stand for the sample, and two texts agree in one with the probability of
 their weighted Jaccard similarity s; some band of ROWS agrees with 1 - (1 - s**ROWS)**BANDS, 0.9998 at 0.8.
 
-Equal texts are one class. Texts that share a band are compared with two leaders of that band; what agrees is linked. Then texts
-of one band that are not yet connected are compared with each other, so every pair that shares a band is either connected or compared: none is capped.
-A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
+Equal texts are one class. Texts that share a band are compared with two leaders of that band; what agrees is linked. In bands whose texts are not all
+connected by then, the samples of all texts meet, in tiles of bounded size, and pairs of unconnected texts that agree in AGREE of the samples
+(of similar pairs all but 2 in 100,000) are compared too. So every pair that shares a band is connected, compared, or surely dissimilar; none is
+capped. A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
 
 Cases: a null text is empty; texts without words link only with equal texts (all empty texts are equal); rows that repeat a key are one node;
 a null key gets its text's class but can name none; an empty table gives an empty result. Other columns stay as they are.
@@ -28,6 +29,8 @@ from lodestone.llm._base import components, cut, dense_rows, dense_sum, prepared
 from lodestone.llm.shingles import distinct, shingles, text_slices
 
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
+#: Samples of BANDS * ROWS that a pair must share to be compared, and texts of a band in one block of a tile.
+AGREE, BLOCK = 18, 512
 #: So many ids or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(5)
@@ -109,6 +112,42 @@ def _banding(idf: np.ndarray):
     return run
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile (band, lo, hi) with own, id, component, samples, to pairs of unconnected ids that share AGREE samples. A tile has two blocks at most."""
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own, lo, hi = (rows.column(c).to_numpy() for c in ("own", "lo", "hi"))
+        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        marks = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
+        left = np.flatnonzero(own == lo)
+        right = left if lo[0] == hi[0] else np.flatnonzero(own == hi)
+        same = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(marks.shape[1]):
+            same += marks[left, k][:, None] == marks[right, k][None, :]
+        i, j = np.nonzero((same >= AGREE) & (component[left][:, None] != component[right][None, :]))
+        a, b = ids[left[i]], ids[right[j]]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        key = [held.column(c).to_numpy() for c in ("band", "lo", "hi")]
+        new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))) if len(held) else np.zeros(0, int)
+        if len(new) < 2:
+            continue
+        found = [pairs(held.slice(s, e - s)) for s, e in zip(new[:-1].tolist(), new[1:].tolist(), strict=True) if e - s > 1]
+        held = held.slice(int(new[-1]))
+        yield _pairs(found)
+    if held is not None and len(held) > 1:
+        yield _pairs([pairs(held)])
+
+
+def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    none = [np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + [f[k] for f in found]).astype(np.int64)) for k in (0, 1)], ["a", "b"])
+
+
 #: Pairs whose texts are in arrays at a time.
 PAIRS = 256
 
@@ -176,10 +215,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     links = tried.where("ok").select("a", "b")
     group = cut(components(links)) if not links.isEmpty() else None
     label = members.withColumn("component", F.col("id")) if group is None else members.join(group, members["id"] == group["node"], "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = cut(label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"))
-    label = cut(label.join(mixed, "band", "left_semi"))
-    left, right = label.select("band", F.col("id").alias("a"), F.col("component").alias("ca")), label.select("band", F.col("id").alias("b"), F.col("component").alias("cb"))
-    open_ = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = cut(label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    tiles = label.join(mixed, "band").join(equal.select("id", "samples"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "samples")
+    tiles = tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    open_ = tiles.mapInArrow(_agreeing, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     rest = _verified(open_, texts, idf, least)
     links = cut(links.union(rest.where("ok").select("a", "b")))
     group = components(links)
