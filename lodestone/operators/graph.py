@@ -103,15 +103,15 @@ def hubs(edges: DataFrame, nodes: DataFrame, ratio: float = 0.5, least: int = 10
 
 
 def shortest_paths(edges: DataFrame, wanted: DataFrame, blocked: DataFrame, depth: int = 3) -> DataFrame:
-    """wanted(from, to) to the shortest path of at most depth hops, of equals the first in order; blocked(node_id) nodes only at its ends."""
+    """wanted(from, to) to the shortest path of at most depth hops, of equals the first in order; blocked(node_id) nodes only at its ends. A node reaches itself at once."""
     links = edges.select(F.col("from").alias("at"), F.col("to").alias("next")).distinct()
     open_ = links.join(blocked.select(F.col("node_id").alias("next")), "next", "left_anti").select("at", "next")
-    front = wanted.select("from", "to").distinct().withColumn("path", F.array("from"))
-    found = None
+    start = wanted.select("from", "to").distinct().withColumn("path", F.array("from"))
+    front, found = start.where("`from` <> `to`"), start.where("`from` = `to`")
     for hop in range(1, depth + 1):
         here = front.withColumn("at", F.element_at("path", -1))
         last = here.join(links.withColumnRenamed("next", "to"), ["at", "to"]).select("from", "to", F.array_append("path", F.col("to")).alias("path"))
-        found = last if found is None else found.unionByName(last)
+        found = found.unionByName(last)
         if hop < depth:
             grown = here.join(open_, "at").where("next <> to AND NOT array_contains(path, next)")
             front = grown.select("from", "to", F.array_append("path", F.col("next")).alias("path"))

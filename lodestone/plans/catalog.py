@@ -2,10 +2,432 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestone.functions import jsons, labels, paths
+from lodestone.functions import sanitize as clean
+from lodestone.functions import text as texts
+from lodestone.operators import drift, govern, graph, insights, resolve, snapshots
+from lodestone.plans.views import Views, with_views
+from lodestone.session import kept, ship
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[Views], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def bound(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(Views(spark, sf_dir))
+
+        return run
+
+    return {name: bound(f) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+SCORE = """least(0.0 + CASE WHEN p LIKE '%cmd%' OR p LIKE '%internal%' OR p LIKE '%pkg%' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN p LIKE '%main%' OR p LIKE '%index%' THEN 0.15::DOUBLE ELSE 0 END
+ + CASE WHEN p LIKE '%config%' OR p LIKE '%setup%' THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN size > 1024 AND size < 51200 THEN 0.15::DOUBLE ELSE 0 END
+ + CASE extension WHEN 'rs' THEN 0.4::DOUBLE WHEN 'py' THEN 0.4 WHEN 'sql' THEN 0.3 WHEN 'ts' THEN 0.15 ELSE 0 END
+ + CASE WHEN p LIKE '%database%' OR p LIKE '%schema%' OR p LIKE '%migrations%' THEN 0.15::DOUBLE ELSE 0 END, 1.0)"""
+
+
+def _score() -> F.Column:
+    return paths.importance(F.col("rel_path"), F.col("size"), F.col("extension"))
+
+
+@query(f"SELECT rel_path, {SCORE} AS score FROM (SELECT *, lower(rel_path) AS p FROM files)")
+def importance_score(v: Views) -> DataFrame:
+    return v.files().select("rel_path", _score().alias("score"))
+
+
+@query("SELECT dir, count(*) AS n_files, sum(size)::BIGINT AS bytes FROM files GROUP BY dir")
+def dir_grouping(v: Views) -> DataFrame:
+    return insights.directories(v.files()).select("dir", "n_files", "bytes")
+
+
+@query("""WITH d AS (SELECT DISTINCT dir FROM files UNION SELECT DISTINCT regexp_replace(dir, '/[^/]*$', '') FROM files)
+SELECT d.dir, count(c.dir) AS n FROM (SELECT DISTINCT regexp_replace(dir, '/[^/]*$', '') AS dir FROM files) d JOIN (SELECT DISTINCT dir FROM files) c ON regexp_replace(c.dir, '/[^/]*$', '') = d.dir GROUP BY d.dir""")
+def subdir_count(v: Views) -> DataFrame:
+    dirs = v.files().select(paths.parent(F.col("rel_path")).alias("dir")).distinct()
+    return dirs.groupBy(paths.parent(F.col("dir")).alias("dir")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT extension, count(*) AS n FROM files GROUP BY extension")
+def ext_histogram(v: Views) -> DataFrame:
+    return insights.histogram(v.files())
+
+
+@query("SELECT f AS from_node, t AS to_node, count(*) AS n, count(DISTINCT importer) AS importers FROM g_full GROUP BY f, t")
+def lift_edges(v: Views) -> DataFrame:
+    return graph.lift(v.file_edges(), v.file_node()).groupBy(F.col("from").alias("from_node"), F.col("to").alias("to_node")).agg(F.count("*").alias("n"), F.count_distinct("importer").alias("importers"))
+
+
+@query("SELECT f AS from_node, t AS to_node, count(DISTINCT (importer, target)) AS pairs FROM strong GROUP BY f, t")
+def strong_evidence(v: Views) -> DataFrame:
+    return graph.pair_counts(graph.strong(graph.lift(v.file_edges(), v.file_node()))).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "pairs")
+
+
+@query("""SELECT f AS from_node, t AS to_node, array_to_string(list_transform(list_sort(list(DISTINCT {'file': importer, 'target': target, 'line': line}))[1:3], lambda e: e.file || ':' || e.line || '->' || e.target), ' ') AS evidence FROM g_full GROUP BY f, t""")
+def evidence_top3(v: Views) -> DataFrame:
+    each = F.transform("evidence", lambda e: F.concat(e["file"], F.lit(":"), e["line"].cast("string"), F.lit("->"), e["target"]))
+    return graph.samples(graph.lift(v.file_edges(), v.file_node())).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), F.array_join(each, " ").alias("evidence"))
+
+
+@query("SELECT node_id, degree::BIGINT AS degree FROM hubs")
+def hub_nodes(v: Views) -> DataFrame:
+    return graph.hubs(graph.lift(v.file_edges(), v.file_node()), v.kinds())
+
+
+@query("SELECT node_id, degree::BIGINT AS degree FROM degrees")
+def in_degrees(v: Views) -> DataFrame:
+    return graph.in_degrees(graph.lift(v.file_edges(), v.file_node()))
+
+
+@query("""WITH c AS (SELECT 'n' || s_nationkey AS f, 'n' || s_suppkey % 13 AS t, CAST(s_suppkey % 5 AS INT) AS importance, 'k' || s_suppkey % 3 AS kind, s_suppkey AS ord FROM supplier)
+SELECT f AS from_node, t AS to_node, min(ord) AS ord, arg_max(kind, {'a': importance, 'b': -ord}) AS kind, max(importance) AS importance FROM c GROUP BY f, t""")
+def claims_dedupe(v: Views) -> DataFrame:
+    key = F.col("s_suppkey")
+    c = v.read("supplier").select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("from"), F.concat(F.lit("n"), (key % 13).cast("string")).alias("to"), (key % 5).cast("int").alias("importance"), F.concat(F.lit("k"), (key % 3).cast("string")).alias("kind"), key.alias("ord"), F.lit("dir").alias("from_ep"), F.lit("dir").alias("to_ep"))
+    return drift.deduped(c).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "ord", "kind", "importance")
+
+
+def _dirs(v: Views) -> DataFrame:
+    """Claimed directories: every source, and the languages of those whose name ends in an even digit."""
+    d = v.read("documents").select("source", "lang").distinct()
+    return d.select(F.col("source").alias("dir")).union(d.where("substring(source, -1) IN ('0','2','4','6','8')").select(F.concat("source", F.lit("/"), "lang"))).distinct()
+
+
+_DIRS = "dirs AS (SELECT DISTINCT source AS dir FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents WHERE right(source, 1) IN ('0','2','4','6','8'))"
+
+
+@query(f"WITH {_DIRS} SELECT rel_path AS file, arg_max(d.dir, len(d.dir)) AS owner FROM files JOIN dirs d ON starts_with(rel_path, d.dir || '/') GROUP BY rel_path")
+def deepest_ancestor(v: Views) -> DataFrame:
+    return graph.deepest_ancestor(v.files().select(F.col("rel_path").alias("file")), _dirs(v))
+
+
+@query(f"WITH {_DIRS} SELECT d.dir, count(*) AS n FROM files JOIN dirs d ON starts_with(rel_path, d.dir || '/') GROUP BY d.dir")
+def ancestor_counts(v: Views) -> DataFrame:
+    above = v.files().select(F.explode(paths.ancestors(F.col("rel_path"))).alias("dir"))
+    return above.join(_dirs(v), "dir").groupBy("dir").agg(F.count("*").alias("n"))
+
+
+_WANTED = "wanted AS (SELECT DISTINCT lang || '/doc_' || doc_id || '.' || e AS s FROM documents, (VALUES ('rs'), ('py')) x(e) UNION SELECT DISTINCT lang FROM documents)"
+
+
+@query(f"""WITH {_WANTED}, p AS (SELECT rel_path AS path FROM files UNION SELECT dir FROM files) SELECT s, min(path) AS path FROM wanted JOIN p ON ends_with(path, '/' || s) GROUP BY s HAVING count(*) = 1""")
+def suffix_unique_match(v: Views) -> DataFrame:
+    d = v.read("documents")
+    each = d.select("lang", "doc_id", F.explode(F.array(F.lit("rs"), F.lit("py"))).alias("e"))
+    wanted = each.select(F.concat("lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), "e").alias("s")).union(d.select("lang")).distinct()
+    files = v.files().select("rel_path")
+    places = files.select(F.col("rel_path").alias("path"), F.lit("file").alias("ep")).union(files.select(paths.parent(F.col("rel_path")), F.lit("dir")).distinct())
+    return graph.suffix_matches(wanted, places).select("s", "path")
+
+
+def _graph(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = kept(v.file_node()), v.file_edges()
+    g_all = kept(graph.lift(edges, nodes, True))
+    g_full = g_all.where("kind <> 'ModDecl'")
+    return g_all, g_full, kept(graph.hubs(g_full, v.kinds()))
+
+
+@query("SELECT a AS from_node, b AS to_node, array_to_string(path, ' -> ') AS via FROM routes JOIN claims ON f = a AND t = b WHERE a <> b UNION ALL SELECT f, t, f FROM claims WHERE f = t")
+def transitive_paths(v: Views) -> DataFrame:
+    _, g_full, hubs = _graph(v)
+    return graph.shortest_paths(g_full, v.claims(), hubs).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), F.array_join("path", " -> ").alias("via"))
+
+
+_NEAR = "WITH RECURSIVE r AS (SELECT DISTINCT f, t, 1 AS hops FROM claims WHERE f <> t UNION SELECT r.f, c.t, hops + 1 FROM r JOIN claims c ON r.t = c.f WHERE hops < 6 AND r.f <> c.t), near AS (SELECT f, t, min(hops) AS hops FROM r GROUP BY f, t)"
+
+
+@query(f"{_NEAR} SELECT f AS from_node, t AS to_node, hops FROM near")
+def shortest_distance(v: Views) -> DataFrame:
+    return graph.shortest_distance(kept(v.claims().select("from", "to")), 6).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
+
+
+@query()
+def claim_distances(v: Views) -> DataFrame:
+    return graph.claim_distances(v.claims()).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
+
+
+_FACADES = """e AS (SELECT importer, 'pkg' || CAST(substr(target, 2) AS INT) % 40 || CASE WHEN CAST(substr(target, 2) AS INT) % 2 = 0 THEN '/mod.rs' ELSE '/x.rs' END AS target, kind FROM file_edges),
+more AS (SELECT DISTINCT 'pkg' || p_partkey % 40 || '/mod.rs' AS src, 'pkg' || (p_partkey % 40 * 3 + 1) % 40 || CASE WHEN p_partkey % 2 = 0 THEN '/mod.rs' ELSE '/x.rs' END AS nxt FROM part)"""
+
+
+@query(f"""WITH {_FACADES}, n1 AS (SELECT DISTINCT src AS root, nxt FROM more WHERE nxt <> src),
+n2 AS (SELECT root, nxt FROM (SELECT n1.root, m.nxt FROM n1 JOIN more m ON n1.nxt = m.src WHERE m.nxt <> n1.root EXCEPT SELECT * FROM n1)),
+n3 AS (SELECT n2.root, m.nxt FROM n2 JOIN more m ON n2.nxt = m.src WHERE m.nxt <> n2.root)
+SELECT importer, nxt AS target, count(*) AS n FROM e JOIN (SELECT * FROM n1 UNION SELECT * FROM n2 UNION SELECT * FROM n3) x ON x.root = e.target WHERE kind IN ('Import', 'ReExport') GROUP BY importer, nxt""")
+def facade_closure(v: Views) -> DataFrame:
+    i = F.substring("target", 2, 20).cast("int")
+    e = v.file_edges().withColumn("target", F.concat(F.lit("pkg"), (i % 40).cast("string"), F.when(i % 2 == 0, "/mod.rs").otherwise("/x.rs")))
+    k = F.col("p_partkey") % 40
+    ahead = F.concat(F.lit("pkg"), ((k * 3 + 1) % 40).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/mod.rs").otherwise("/x.rs"))
+    more = v.read("part").select(F.concat(F.lit("pkg"), k.cast("string"), F.lit("/mod.rs")).alias("importer"), ahead.alias("target"), F.lit("ReExport").alias("kind"), F.lit(False).alias("test_only"), F.lit(0).alias("line"))
+    found = graph.facade_closure(kept(e.unionByName(more.distinct()))).where("kind = 'Facade'")
+    return found.where(F.startswith("importer", F.lit("c"))).groupBy("importer", "target").agg(F.count("*").alias("n"))
+
+
+def _verdicts(v: Views) -> DataFrame:
+    g_all, g_full, hubs = _graph(v)
+    return drift.classified(v.claims(), v.node_counts(), v.node_stats(), g_all, g_full, hubs, v.file_edges())
+
+
+_CLASSIFY = """, j AS (SELECT c.*, coalesce(a.code, 0) AS fc, coalesce(a.supported, 0) AS fs, coalesce(b.code, 0) AS tc, coalesce(b.supported, 0) AS ts, coalesce(s.total, 0) AS total, coalesce(s.unresolved, 0) AS lost,
+  starts_with(c.t, c.f || '/') OR starts_with(c.f, c.t || '/') AS nested, EXISTS (SELECT 1 FROM g_all g WHERE g.f = c.f AND g.t = c.t) AS in_all, EXISTS (SELECT 1 FROM links g WHERE g.f = c.f AND g.t = c.t) AS direct,
+  EXISTS (SELECT 1 FROM links g WHERE g.f = c.t AND g.t = c.f) AS back, r.path, EXISTS (SELECT 1 FROM file_edges) AS any_edge
+ FROM claims c LEFT JOIN node_counts a ON a.node_id = c.f LEFT JOIN node_counts b ON b.node_id = c.t LEFT JOIN node_stats s ON s.node_id = c.f LEFT JOIN routes r ON r.a = c.f AND r.b = c.t),
+verdict AS (SELECT f, t, kind, importance, CASE WHEN f = t THEN ['structural', 'self_loop', NULL] WHEN kind = 'data_flow' THEN ['unverifiable', 'kind_not_checkable', NULL]
+ WHEN fc = 0 THEN ['unverifiable', 'non_code_endpoint', 'from endpoint ''' || f || ''' has no scanned code files'] WHEN tc = 0 THEN ['unverifiable', 'non_code_endpoint', 'to endpoint ''' || t || ''' has no scanned code files']
+ WHEN fs / fc < 0.8 THEN ['unverifiable', 'language_coverage', 'from endpoint ''' || f || ''': ' || fs || '/' || fc || ' files in supported languages']
+ WHEN ts / tc < 0.8 THEN ['unverifiable', 'language_coverage', 'to endpoint ''' || t || ''': ' || ts || '/' || tc || ' files in supported languages']
+ WHEN (total > 0 AND lost / total > 0.25) OR NOT any_edge THEN ['unverifiable', 'resolver_confidence', lost || '/' || total || ' imports unresolved at source']
+ WHEN nested AND in_all THEN ['confirmed', 'containment', NULL] WHEN nested THEN ['structural', 'containment', NULL] WHEN direct THEN ['confirmed', 'direct_evidence', NULL]
+ WHEN path IS NOT NULL THEN ['confirmed', 'transitive', 'via ' || array_to_string(path, ' -> ')] WHEN back THEN ['reversed', 'reversed', NULL] ELSE ['phantom', 'phantom', NULL] END AS v FROM j),
+findings AS (SELECT v[1] || ':' || f || '->' || t AS id, v[1] AS class, f, t, kind, importance, v[2] AS reason, v[3] AS detail FROM verdict)"""
+_JUDGED = "WITH one AS (SELECT 1)" + _CLASSIFY
+
+
+@query(f"{_JUDGED} SELECT id, class, f AS from_node, t AS to_node, kind, importance, reason, detail FROM findings")
+def drift_classify(v: Views) -> DataFrame:
+    return _verdicts(v).select("id", "class", F.col("from").alias("from_node"), F.col("to").alias("to_node"), "kind", "importance", "reason", "detail")
+
+
+@query(f"{_JUDGED} SELECT class, reason, count(*) AS n FROM findings GROUP BY class, reason")
+def drift_counts(v: Views) -> DataFrame:
+    return drift.reasons(_verdicts(v))
+
+
+@query(f"{_JUDGED}, x AS (SELECT count(*) FILTER (WHERE class IN ('confirmed', 'reversed', 'phantom')) AS checked, count(*) AS total FROM findings) SELECT checked, total, CASE WHEN total = 0 THEN 0 ELSE round(checked / total, 4) END AS ratio FROM x")
+def drift_coverage(v: Views) -> DataFrame:
+    return drift.coverage(_verdicts(v))
+
+
+@query(f"{_JUDGED}, base AS (SELECT id FROM findings WHERE right(f, 1) IN ('A', 'E', 'I', '0', '2', '4', '6', '8')) SELECT id, id IN (SELECT id FROM base) AS in_baseline FROM findings")
+def baseline_overlay(v: Views) -> DataFrame:
+    found = kept(_verdicts(v))
+    base = found.where(F.right("from", F.lit(1)).isin(*"AEI02468")).select(F.col("id").alias("finding_id"))
+    return drift.with_baseline(found, base).select("id", "in_baseline")
+
+
+@query(f"{_JUDGED} SELECT 'phantom:' || f || '->' || t AS finding_id FROM claims EXCEPT SELECT id FROM findings")
+def baseline_stale(v: Views) -> DataFrame:
+    base = v.claims().select(drift.finding_id(F.lit("phantom"), F.col("from"), F.col("to")).alias("finding_id"))
+    return drift.stale(_verdicts(v), base)
+
+
+_EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs FROM strong GROUP BY f, t),
+ shown AS (SELECT node_id FROM nodes UNION SELECT above FROM nodes),
+ told AS (SELECT l.f, l.t, p.pairs, CASE WHEN l.f NOT IN (SELECT node_id FROM shown) OR l.t NOT IN (SELECT node_id FROM shown) THEN 'u1_unclaimed_end' WHEN starts_with(l.t, l.f || '/') OR starts_with(l.f, l.t || '/') THEN 'u2_containment'
+ WHEN p.pairs IS NULL THEN 'u3_weak_evidence' WHEN l.t IN (SELECT node_id FROM hubs) THEN 'u5_hub_target' WHEN EXISTS (SELECT 1 FROM claims c WHERE c.f = l.t AND c.t = l.f) THEN 'u6_reverse_claimed'
+ WHEN d.hops >= 3 THEN 'u7_claimed_path' WHEN p.pairs < 2 THEN 'u8_thin' END AS dropped
+ FROM links l LEFT JOIN proof p ON p.f = l.f AND p.t = l.t LEFT JOIN near d ON d.f = l.f AND d.t = l.t WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.f = l.f AND c.t = l.t)),
+ capped AS (SELECT *, CASE WHEN dropped IS NULL THEN row_number() OVER (PARTITION BY dropped ORDER BY f, t) END AS rn FROM told)"""
+
+
+def _edges(v: Views) -> DataFrame:
+    _, g_full, hubs = _graph(v)
+    claims = kept(v.claims())
+    return drift.judged_edges(g_full, v.kinds(), hubs, claims, kept(graph.shortest_distance(claims, 6)), drift.Settings(min_imports=2))
+
+
+@query(f"{_EDGES} SELECT f AS from_node, t AS to_node, pairs || ' import site(s)' AS detail FROM capped WHERE dropped IS NULL AND rn <= 20")
+def undocumented_edges(v: Views) -> DataFrame:
+    return drift.undocumented(_edges(v)).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "detail")
+
+
+@query(f"{_EDGES} SELECT coalesce(dropped, 'u9_capped') AS filter, count(*) AS n FROM capped WHERE dropped IS NOT NULL OR rn > 20 GROUP BY 1")
+def undocumented_filtered(v: Views) -> DataFrame:
+    return drift.filter_counts(_edges(v))
+
+
+_CHANGES = "WITH ch AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.hash <> n.hash THEN 'changed' END AS change FROM old_files o FULL JOIN new_files n ON o.path = n.path)"
+
+
+@query(f"{_CHANGES} SELECT path, change FROM ch WHERE change IS NOT NULL")
+def manifest_diff(v: Views) -> DataFrame:
+    return snapshots.file_changes(v.old_files(), v.new_files())
+
+
+@query(f"{_CHANGES} SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM ch WHERE change = 'changed'")
+def cosmetic_dirs(v: Views) -> DataFrame:
+    return snapshots.cosmetic_dirs(snapshots.file_changes(v.old_files(), v.new_files()))
+
+
+@query("SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha256(array_to_string(list_sort(list(path || ':' || hash)), chr(0)) || chr(0)) AS sig FROM new_files GROUP BY 1")
+def dir_signature(v: Views) -> DataFrame:
+    return snapshots.dir_signatures(v.new_files())
+
+
+@query("""WITH m AS (SELECT path, path || ':' || hash AS m, unnest(['.', regexp_extract(path, '^[^/]*'), regexp_replace(path, '/[^/]*$', '')]) AS dir FROM new_files)
+SELECT dir, sha256(array_to_string(list(m ORDER BY path), chr(0)) || chr(0)) AS sig FROM m GROUP BY dir""")
+def subtree_signature(v: Views) -> DataFrame:
+    return snapshots.subtree_signatures(v.new_files())
+
+
+@query(f"{_CHANGES}, n AS (SELECT count(*) FILTER (WHERE change = 'added') AS a, count(*) FILTER (WHERE change = 'removed') AS r FROM ch) SELECT CASE WHEN a + r > 0 THEN 'structural' ELSE 'cosmetic' END AS significance, CASE WHEN a + r > 0 THEN 'file set changed (+' || a || ' −' || r || ')' ELSE '' END AS reasons FROM n")
+def significance(v: Views) -> DataFrame:
+    diff = snapshots.file_changes(v.old_files(), v.new_files()).select(F.lit("file").alias("entity"), F.col("path").alias("key"), "change")
+    return snapshots.significance(diff).select("significance", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query("SELECT rel_path, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S')))::BIGINT AS loc FROM files")
+def loc_metrics(v: Views) -> DataFrame:
+    return v.files().select("rel_path", texts.lines_of_code(F.col("content")).cast("long").alias("loc"))
+
+
+_TOKENS = ("if ", "for ", "while ", "case ")
+
+
+@query("SELECT rel_path, " + " + ".join(f"(length(content) - length(replace(content, '{t}', ''))) // {len(t)}" for t in _TOKENS) + " AS branches FROM files")
+def branch_count(v: Views) -> DataFrame:
+    return v.files().select("rel_path", texts.branches(F.col("content"), _TOKENS).alias("branches"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))), ' ') AS links FROM pages""")
+def link_extract(v: Views) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    return v.read("pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(found)), " ").alias("links"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM calls GROUP BY 1")
+def quota_daily(v: Views) -> DataFrame:
+    return govern.daily(v.calls())
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) <= 100 AS admitted FROM calls")
+def quota_admission(v: Views) -> DataFrame:
+    return govern.admitted(v.calls(), 100, "event_id").select("event_id", "admitted")
+
+
+@query("SELECT agent, status, count(*) AS calls, round(sum(secs), 3) AS secs FROM calls GROUP BY agent, status")
+def audit_summary(v: Views) -> DataFrame:
+    return govern.audit(v.calls()).withColumn("secs", F.round("secs", 3))
+
+
+@query(f"SELECT rel_path, score FROM (SELECT rel_path, doc_id, dir, {SCORE} AS score FROM (SELECT *, lower(rel_path) AS p FROM files)) ORDER BY score DESC, dir, doc_id LIMIT 25")
+def top_k_insights(v: Views) -> DataFrame:
+    rows = v.files().select("rel_path", _score().alias("importance_score"), paths.parent(F.col("rel_path")).alias("dir"), F.col("doc_id").alias("idx"))
+    return insights.top(rows).select("rel_path", F.col("importance_score").alias("score"))
+
+
+@query("SELECT p_partkey FROM part WHERE regexp_matches(lower(regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g')), 'promo') ORDER BY p_retailprice DESC, p_brand, p_partkey LIMIT 50")
+def purpose_filter_topk(v: Views) -> DataFrame:
+    rows = v.read("part").select("p_partkey", F.col("p_retailprice").alias("importance_score"), F.col("p_brand").alias("dir"), F.col("p_partkey").alias("idx"), F.regexp_replace(F.lower("p_type"), "[^a-z0-9]", "").alias("purpose"))
+    return insights.top(rows, insights.DATABASE, F.contains("purpose", F.lit("promo"))).select("p_partkey")
+
+
+_RAW = "raw AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(event_id % 300 AS VARCHAR) WHEN 1 THEN '\"' || event_id % 300 || '\"' WHEN 2 THEN '\" 8\"' WHEN 3 THEN '\"4.5\"' WHEN 4 THEN 'true' ELSE 'null' END AS j FROM events)"
+
+
+@query(f"""WITH {_RAW} SELECT event_id, CASE event_id % 6 WHEN 0 THEN (event_id % 300)::DOUBLE WHEN 1 THEN (event_id % 300)::DOUBLE WHEN 3 THEN 4.5 WHEN 4 THEN 1.0 ELSE 0.0 END AS as_double,
+ CASE WHEN event_id % 6 IN (0, 1) THEN event_id % 300 WHEN event_id % 6 = 4 THEN 1 ELSE 0 END AS as_size, CASE WHEN event_id % 6 IN (0, 1) THEN least(event_id % 300, 255)::INT WHEN event_id % 6 = 4 THEN 1 ELSE 0 END AS as_byte,
+ CASE WHEN event_id % 6 = 0 THEN event_id % 300 <> 0 WHEN event_id % 6 = 1 THEN event_id % 300 = 1 ELSE event_id % 6 = 4 END AS as_bool FROM raw""")
+def lenient_numbers(v: Views) -> DataFrame:
+    m, n = F.col("event_id") % 6, (F.col("event_id") % 300).cast("string")
+    j = F.when(m == 0, n).when(m == 1, F.concat(F.lit('"'), n, F.lit('"'))).when(m == 2, '" 8"').when(m == 3, '"4.5"').when(m == 4, "true").otherwise("null")
+    rows = v.read("events").select("event_id", j.alias("j"))
+    x = F.col("j")
+    return rows.select("event_id", jsons.number(x).alias("as_double"), jsons.size(x).cast("long").alias("as_size"), jsons.byte(x).alias("as_byte"), jsons.boolean(x).alias("as_bool"))
+
+
+@query("""SELECT event_id, CASE WHEN r LIKE '%import%' OR r = 'use' THEN 'import' WHEN r LIKE '%function%' OR r LIKE '%call%' THEN 'function_call' WHEN r LIKE '%inherit%' OR r LIKE '%extend%' THEN 'inheritance'
+ WHEN r LIKE '%composition%' OR r LIKE '%compose%' THEN 'composition' WHEN r LIKE '%data%' AND r LIKE '%flow%' THEN 'data_flow' ELSE 'module' END AS kind
+ FROM (SELECT event_id, lower(trim([' Import ', 'use', 'Function Call', 'extends', 'Composition', 'dataFlow', 'x'][event_id % 7 + 1])) AS r FROM events)""")
+def dependency_type_map(v: Views) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, (" Import ", "use", "Function Call", "extends", "Composition", "dataFlow", "x"))), (F.col("event_id") % 7 + 1).cast("int"))
+    return v.read("events").select("event_id", labels.dependency_type(raw).alias("kind"))
+
+
+@query("""SELECT event_id, ['Entry', 'Other', 'Database', 'Types', 'Widget', 'Agent', 'Dao', 'Lib'][event_id % 8 + 1] AS purpose FROM events""")
+def purpose_map(v: Views) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, ("entry point", "???", "SQL scripts", "Interface", "frontend-ui-component", "agent tool", "DAO", "package"))), (F.col("event_id") % 8 + 1).cast("int"))
+    return v.read("events").select("event_id", labels.code_purpose(raw).alias("purpose"))
+
+
+@query("SELECT event_id, sha256(props || chr(0) || status || chr(0) || agent || chr(0) || '' || chr(0) || '3') AS key FROM (SELECT event_id, props, event_type AS status, 'a' || user_id % 7 AS agent FROM events)")
+def cache_key(v: Views) -> DataFrame:
+    agent = F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string"))
+    return v.read("events").select("event_id", govern.cache_key(F.col("props"), F.col("event_type"), agent, F.lit("")).alias("key"))
+
+
+@query("SELECT o.o_orderkey, c.c_name AS text FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) c ON o.o_custkey = c.c_custkey")
+def cache_lookup(v: Views) -> DataFrame:
+    entries = v.read("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("text"))
+    return govern.cached(v.read("orders").select("o_orderkey", F.col("o_custkey").alias("key")), entries).select("o_orderkey", "text")
+
+
+@query("SELECT rel_path, CASE WHEN extension IN ('rs') THEN 'rust' WHEN extension = 'py' THEN 'python' WHEN extension = 'ts' THEN 'js' WHEN extension = 'sql' THEN 'unsupported' ELSE 'other' END AS lang, regexp_matches(rel_path, '(^|/)doc_1[^/]*$') AS test FROM files")
+def language_flags(v: Views) -> DataFrame:
+    return v.files().select("rel_path", paths.language(F.col("extension")).alias("lang"), paths.matches_any(F.col("rel_path"), ("**/doc_1*",)).alias("test"))
+
+
+@query("SELECT count(*) AS entries, sum(strlen(c_name))::BIGINT AS bytes FROM customer")
+def cache_stats(v: Views) -> DataFrame:
+    return govern.cache_stats(v.read("customer").select(F.col("c_name").alias("text")))
+
+
+@query("SELECT path FROM old_files WHERE starts_with(path, 'src1') AND path NOT IN (SELECT path FROM new_files)")
+def stale_docs(v: Views) -> DataFrame:
+    from lodestone.sources import records
+
+    return records.stale_docs(v.old_files().select("path"), v.new_files().select("path"), "src1")
+
+
+def _sources(v: Views) -> DataFrame:
+    """Documents as Python files: their lines behind an import of the document before."""
+    head = F.concat(F.lit("import os\nfrom .doc_"), (F.col("doc_id") - 5).cast("string"), F.lit(" import a, b\nx = 'from .no import c'  # import nothing\n"))
+    return v.files().where("extension = 'py'").select("rel_path", "extension", F.concat(head, F.lit('"""'), F.replace("content", F.lit('"""'), F.lit("")), F.lit('"""\n')).alias("content"))
+
+
+@query()
+def import_extract(v: Views) -> DataFrame:
+    found = resolve.imports(_sources(v))
+    return found.select("importer", "seq", "kind", "line", F.col("levels").alias("level"), F.array_join("segs", ".").alias("module"), F.array_join("names", ",").alias("names"))
+
+
+@query()
+def import_resolve(v: Views) -> DataFrame:
+    files = kept(_sources(v))
+    return resolve.python(kept(resolve.imports(files)), files).select("importer", "seq", "outcome", "target")
+
+
+@query()
+def sanitize_sources(v: Views) -> DataFrame:
+    return _sources(v).select("rel_path", F.length(clean.sanitized(F.lit("python"), "content")).alias("n_chars"), F.md5(clean.sanitized(F.lit("python"), "content")).alias("digest"))
+
+
+@query()
+def file_statics(v: Views) -> DataFrame:
+    s = texts.insights(_sources(v))
+    return s.select("rel_path", "statics.loc", "statics.n_functions", "statics.n_classes", "statics.cyclomatic", F.size("statics.dependencies").alias("n_dependencies"))
+
+
+@query()
+def extract_json(v: Views) -> DataFrame:
+    wrapped = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    return v.read("events").select("event_id", jsons.extract(wrapped).alias("json"))
+
+
+@query()
+def mermaid_lint(v: Views) -> DataFrame:
+    doc = F.concat(F.lit("```mermaid\ngraph TD\n"), F.substring(F.replace("text", F.lit("`"), F.lit("")), 1, 40), F.lit("\n```\n"))
+    return v.read("documents").select("doc_id", F.size(texts.lint_diagrams(doc)).alias("issues"))
