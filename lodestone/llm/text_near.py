@@ -7,9 +7,10 @@ smallest a wins. As a is a function of the winner and its t, its bits stand for
 their weighted Jaccard similarity s; some band of ROWS agrees with 1 - (1 - s**ROWS)**BANDS, 0.9998 at 0.8.
 
 Equal texts are one class. Texts that share a band are compared with two leaders of that band; what agrees is linked. In bands whose texts are not all
-connected by then, the samples of all texts meet, in tiles of bounded size, and pairs of unconnected texts that agree in AGREE of the samples
-(of similar pairs all but 2 in 100,000) are compared too. So every pair that shares a band is connected, compared, or surely dissimilar; none is
-capped. A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
+connected by then, the samples of all texts meet, in tiles of bounded size. The texts of those with an unconnected partner that agrees in AGREE of
+the samples (of similar pairs all but 2 in 100,000 do) meet once more in such tiles, each pair in the first band that it shares, and are
+compared unless links have connected them meanwhile. So every pair that shares a band is connected, compared, or surely dissimilar; none is capped,
+and no task or frame holds a group's pairs. A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
 
 Cases: a null text is empty; texts without words link only with equal texts (all empty texts are equal); rows that repeat a key are one node;
 a null key gets its text's class but can name none; an empty table gives an empty result. Other columns stay as they are.
@@ -31,6 +32,7 @@ from lodestone.llm.shingles import distinct, shingles, text_slices
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
 #: Samples of BANDS * ROWS that a pair must share to be compared, and texts of a band in one block of a tile.
 AGREE, BLOCK = 18, 512
+TILE = ["band", "lo", "hi"]
 #: So many ids or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(5)
@@ -112,40 +114,90 @@ def _banding(idf: np.ndarray):
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile (band, lo, hi) with own, id, component, samples, to pairs of unconnected ids that share AGREE samples. A tile has two blocks at most."""
-
-    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own, lo, hi = (rows.column(c).to_numpy() for c in ("own", "lo", "hi"))
-        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
-        marks = np.frombuffer(b"".join(rows.column("samples").to_pylist()), np.uint32).reshape(len(ids), -1)
-        left = np.flatnonzero(own == lo)
-        right = left if lo[0] == hi[0] else np.flatnonzero(own == hi)
-        same = np.zeros((len(left), len(right)), np.uint8)
-        for k in range(marks.shape[1]):
-            same += marks[left, k][:, None] == marks[right, k][None, :]
-        i, j = np.nonzero((same >= AGREE) & (component[left][:, None] != component[right][None, :]))
-        a, b = ids[left[i]], ids[right[j]]
-        return np.minimum(a, b), np.maximum(a, b)
-
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of rows that are sorted by TILE, one at a time; a tile has two blocks at most."""
     held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
-        key = [held.column(c).to_numpy() for c in ("band", "lo", "hi")]
-        new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))) if len(held) else np.zeros(0, int)
-        if len(new) < 2:
-            continue
-        found = [pairs(held.slice(s, e - s)) for s, e in zip(new[:-1].tolist(), new[1:].tolist(), strict=True) if e - s > 1]
-        held = held.slice(int(new[-1]))
-        yield _pairs(found)
-    if held is not None and len(held) > 1:
-        yield _pairs([pairs(held)])
+        key = [held.column(c).to_numpy() for c in TILE]
+        new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))).tolist() if len(held) else []
+        for start, end in zip(new[:-1], new[1:], strict=True):
+            yield held.slice(start, end - start)
+        held = held.slice(new[-1]) if new else held
+    if held is not None and len(held):
+        yield held
+
+
+def _partners(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of unconnected texts that agree in AGREE samples and share no band before this one."""
+    own, lo, hi = (tile.column(c).to_numpy() for c in ("own", "lo", "hi"))
+    component, at = tile.column("component").to_numpy(), int(tile.column("k")[0].as_py())
+    marks = np.frombuffer(b"".join(tile.column("samples").to_pylist()), np.uint32).reshape(len(own), -1)
+    left = np.flatnonzero(own == lo)
+    right = left if lo[0] == hi[0] else np.flatnonzero(own == hi)
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    before = np.zeros(equal.shape, bool)
+    for k in range(BANDS):
+        band = np.ones(equal.shape, bool)
+        for r in range(ROWS):
+            same = marks[left, k * ROWS + r][:, None] == marks[right, k * ROWS + r][None, :]
+            equal += same
+            band &= same
+        if k < at:
+            before |= band
+    i, j = np.nonzero((equal >= AGREE) & ~before & (component[left][:, None] != component[right][None, :]))
+    i, j = left[i], right[j]
+    once = (i < j) if lo[0] == hi[0] else np.ones(len(i), bool)
+    return i[once], j[once]
+
+
+def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of tiles that have a partner there."""
+    for tile in _tiles(batches):
+        if len(tile) > 1:
+            i, j = _partners(tile)
+            if len(i):
+                yield from tile.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+
+def _linking(idf: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that connect what is similar in each tile; pairs that they connect already are not compared."""
+        for tile in _tiles(batches):
+            i, j = _partners(tile)
+            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            for s, e, data, offsets in text_slices(tile.column("text").combine_chunks()) if len(i) else ():
+                doc, shingle, times = distinct(*shingles(data, offsets))
+                w, cuts = weights(shingle, times, idf), np.searchsorted(doc, np.arange(e - s + 1))
+                sets += [(shingle[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            root = list(range(len(tile)))
+
+            def find(x: int, root: list[int] = root) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            ids, found = tile.column("id").to_pylist(), []
+            sums = [float(w.sum()) for _, w in sets]
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                x, y = find(a), find(b)
+                if x != y and similar(*sets[a], *sets[b], sums[a] + sums[b], least):
+                    root[max(x, y)] = min(x, y)
+                    found.append((ids[a], ids[b]))
+            yield pa.RecordBatch.from_arrays([pa.array([min(f) for f in found], pa.int64()), pa.array([max(f) for f in found], pa.int64())], ["a", "b"])
+
+    return run
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    none = [np.zeros(0, np.int64)]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + [f[k] for f in found]).astype(np.int64)) for k in (0, 1)], ["a", "b"])
+def similar(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray, total: float, least: float) -> bool:
+    """Whether two sets of ascending shingles with weights that sum to total have a weighted Jaccard similarity of least."""
+    if not len(sa) or not len(sb):
+        return False
+    at = np.minimum(np.searchsorted(sb, sa), len(sb) - 1)
+    hit = sb[at] == sa
+    both = float(np.minimum(wa[hit], wb[at[hit]]).sum())
+    return both > 0 and both >= least * (total - both) * (1 - 1e-12)
 
 
 #: Pairs whose texts are in arrays at a time.
@@ -168,10 +220,7 @@ def _verifying(idf: np.ndarray, least: float):
         ok = []
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             (sa, wa), (sb, wb) = sets[a], sets[b]
-            at = np.minimum(np.searchsorted(sb, sa), max(len(sb) - 1, 0))
-            hit = sb[at] == sa if len(sb) else np.zeros(len(sa), bool)
-            both = np.minimum(wa[hit], wb[at[hit]]).sum()
-            ok.append(bool(both >= least * (wa.sum() + wb.sum() - both) * (1 - 1e-12) and both > 0))
+            ok.append(similar(sa, wa, sb, wb, float(wa.sum()) + float(wb.sum()), least))
         return ok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +231,35 @@ def _verifying(idf: np.ndarray, least: float):
     return run
 
 
+def _moved(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts of ids (id, distinct); no others move. By a broadcast of the ids where these are few, else by shuffle."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return cut(texts.join(ids, "id", "left_semi"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """pairs (a, b) with ``ok``. Only texts of the pairs move: by a broadcast of the ids where these are few, else by shuffle."""
+    """pairs (a, b) with ``ok``."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    moved = cut(texts.join(ids, "id", "left_semi"))
+    moved = _moved(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), texts)
     own = pairs.join(moved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = own.join(moved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return cut(full.mapInArrow(_verifying(idf, least), "a long, b long, ok boolean"))
 
 
+def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+    """Links (a, b) between texts of one band that label (k, band, id, component) has in different components."""
+    mixed = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+    mixed = cut(mixed.where("low < high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    tiles = label.join(mixed, "band").join(equal.select("id", "samples"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = tiles.select("k", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "samples")
+    dealt = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
+    close = cut(dealt.mapInArrow(_with_partners, tiles.schema))
+    moved = _moved(cut(close.select("id").distinct()), texts)
+    close = close.join(moved, "id").select(*tiles.columns, "text").repartition(*TILE).sortWithinPartitions(*TILE)
+    return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group), n_links (distinct other texts it was found similar to) and kept."""
     prepared(docs.sparkSession)
@@ -203,8 +270,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("samples", T.BinaryType())])
     rows = cut(hashed.mapInArrow(_banding(idf), schema))
     equal = cut(rows.groupBy("hash").agg(F.min("key").alias("id"), F.first("samples").alias("samples")))
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("samples", k * 4 * ROWS + 1, 4 * ROWS))))
-    members = equal.where("samples is not null and id is not null").select("id", band.alias("band"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("samples", k * 4 * ROWS + 1, 4 * ROWS)))
+    members = equal.where("samples is not null and id is not null").select("id", F.posexplode(bands).alias("k", "band"))
     chosen = members.groupBy("band").agg(F.min("id").alias("first"), F.max_by("id", F.xxhash64("id", "band")).alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
     chosen = cut(chosen)
     members = cut(members.join(chosen.select("band"), "band", "left_semi"))
@@ -214,15 +281,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     tried = _verified(pair("first").union(pair("other")).distinct(), texts, idf, least)
     links = tried.where("ok").select("a", "b")
     group = cut(components(links)) if not links.isEmpty() else None
-    label = members.withColumn("component", F.col("id")) if group is None else members.join(group, members["id"] == group["node"], "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = cut(label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    tiles = label.join(mixed, "band").join(equal.select("id", "samples"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "samples")
-    tiles = tiles.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    open_ = tiles.mapInArrow(_agreeing, "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = _verified(open_, texts, idf, least)
-    links = cut(links.union(rest.where("ok").select("a", "b")))
+    label = members.withColumn("component", F.col("id")) if group is None else members.join(group, members["id"] == group["node"], "left").select("k", "band", "id", F.coalesce("component", "id").alias("component"))
+    links = cut(links.union(_rest(cut(label), equal, texts, idf, least)))
     group = components(links)
     count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = cut(equal.select("hash", "id").join(group.withColumnRenamed("node", "id"), "id", "left").join(count.withColumnRenamed("node", "id"), "id", "left").select(F.col("hash").alias("of"), F.col("id").alias("exact_id"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
