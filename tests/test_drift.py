@@ -6,6 +6,17 @@ from lodestone.plans import drift_check
 from tests import trees
 
 
+_DONE = {}
+
+
+def analyzed(spark, tree, claims):
+    """One analysis for each tree and set of claims."""
+    key = (id(tree), id(claims))
+    if key not in _DONE:
+        _DONE[key] = drift_check.analyze(*trees.frames(spark, tree, claims))
+    return _DONE[key]
+
+
 def verdicts(outcome, column):
     return {(r["from"], r["to"]): r[column] for r in outcome.findings.collect() if r["class"] != "undocumented"}
 
@@ -16,12 +27,12 @@ def verdicts(outcome, column):
     ids=["app", "tasks-curated", "tasks-generated", "notes", "crate"],
 )
 def test_verdicts(spark, tree, claims, column):
-    outcome = drift_check.analyze(*trees.frames(spark, tree, claims))
+    outcome = analyzed(spark, tree, claims)
     assert verdicts(outcome, column) == {c[:2]: c[4] for c in claims}
 
 
 def test_app_coverage_and_filters(spark):
-    outcome = drift_check.analyze(*trees.frames(spark, trees.APP, trees.APP_CLAIMS))
+    outcome = analyzed(spark, trees.APP, trees.APP_CLAIMS)
     assert drift.coverage(outcome.findings).first().asDict() == {"checked": 7, "total": 8, "ratio": 0.875}
     assert {r["filter"]: r["n"] for r in outcome.filtered.collect()} == {"u8_thin": 1}
     outcome = drift_check.analyze(*trees.frames(spark, trees.APP, trees.APP_CLAIMS), drift.Settings(min_imports=1))
@@ -29,7 +40,7 @@ def test_app_coverage_and_filters(spark):
 
 
 def test_app_baseline(spark):
-    findings = drift_check.analyze(*trees.frames(spark, trees.APP, trees.APP_CLAIMS)).findings
+    findings = analyzed(spark, trees.APP, trees.APP_CLAIMS).findings
     ids = [r["finding_id"] for r in drift.new_baseline(findings).collect()]
     assert ids == ["phantom:src/models.py->src/main.py", "reversed:src/models.py->src/api.py"]
     baseline = spark.createDataFrame([(ids[0],), ("phantom:gone->gone",)], "finding_id string")
@@ -38,7 +49,7 @@ def test_app_baseline(spark):
 
 
 def test_curated_undocumented(spark):
-    outcome = drift_check.analyze(*trees.frames(spark, trees.TASKS, trees.TASKS_CURATED))
+    outcome = analyzed(spark, trees.TASKS, trees.TASKS_CURATED)
     (row,) = outcome.findings.where("class = 'undocumented'").collect()
     assert (row["from"], row["to"], row["detail"]) == ("src/services", "src/core", "4 import site(s)")
     assert [(e["file"], e["line"]) for e in row["evidence"]] == [("src/services/mail.py", 2), ("src/services/mail.py", 3), ("src/services/report.py", 2)]
@@ -47,7 +58,7 @@ def test_curated_undocumented(spark):
 
 @pytest.mark.parametrize(("tree", "claims", "n"), [(trees.TASKS, trees.TASKS_GENERATED, 4), (trees.NOTES, trees.NOTES_CLAIMS, 2)])
 def test_thin_edges(spark, tree, claims, n):
-    outcome = drift_check.analyze(*trees.frames(spark, tree, claims))
+    outcome = analyzed(spark, tree, claims)
     assert {r["filter"]: r["n"] for r in outcome.filtered.collect()} == {"u8_thin": n}
 
 
