@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +21,18 @@ def cut(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Inside, Python workers get so many rows at a time: for actions on rows that hold whole texts once or twice."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def table(df: DataFrame) -> DataFrame:
     """As cut(), but as compressed Parquet; for wide rows."""
     spark = df.sparkSession

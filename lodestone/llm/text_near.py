@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import components, cut, dense_rows, dense_sum, prepared
+from lodestone.llm._base import components, cut, dense_rows, dense_sum, prepared, small_batches
 from lodestone.llm.shingles import distinct, shingles, text_slices
 
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
@@ -243,7 +243,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float)
     moved = _moved(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), texts)
     own = pairs.join(moved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = own.join(moved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInArrow(_verifying(idf, least), "a long, b long, ok boolean"))
+    with small_batches(full.sparkSession):
+        return cut(full.mapInArrow(_verifying(idf, least), "a long, b long, ok boolean"))
 
 
 def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -257,7 +258,8 @@ def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray,
     close = cut(dealt.mapInArrow(_with_partners, tiles.schema))
     moved = _moved(cut(close.select("id").distinct()), texts)
     close = close.join(moved, "id").select(*tiles.columns, "text").repartition(*TILE).sortWithinPartitions(*TILE)
-    return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
+    with small_batches(close.sparkSession):
+        return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
