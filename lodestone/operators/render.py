@@ -104,3 +104,29 @@ def tables_markdown(title: str, sections: dict[str, list[dict]]) -> str:
 def dep_block(name: str, value) -> str:
     body = value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
     return f"#### {name}\n```json\n{body}\n```\n"
+
+
+def summary(facts: dict, stats: dict, issues: list[tuple[str, str]], timings: list[tuple[str, float]]) -> tuple[dict, str]:
+    """A run's summary for machines and for people. facts: generated_at, project, total_secs, cap; stats: calls, hits, quota_used; issues: path and issue."""
+    body = facts | stats | {"issues": [list(i) for i in issues], "timings": [list(t) for t in timings]}
+    missing = [p for p, i in issues if i == "missing"]
+    diagrams = [f"{p}: {i}" for p, i in issues if i not in ("missing", "empty")]
+    out = ["# Run summary", "", f"- Generated: {facts['generated_at']}", f"- Project: `{facts['project']}`", f"- Total: {facts['total_secs']:.1f}s", f"- Calls: {stats['calls']}", f"- Cache hits: {stats['hits']}", f"- Quota used today: {stats['quota_used']}/{facts['cap']}"]
+    out += [f"- Missing documents: {', '.join(missing)}"] if missing else []
+    out += ["", "## Diagram issues", "", *(f"- {d}" for d in diagrams)] if diagrams else []
+    return body, "\n".join([*out, "", "## Timings", "", "| Task | Seconds |", "|------|---------|", *(f"| {n} | {s:.1f} |" for n, s in timings)]) + "\n"
+
+
+def database_doc(report: dict) -> str:
+    """The database overview: projects, tables with columns, views, procedures, functions, relationships and flows; empty parts are left out."""
+    parts = {"Projects": "database_projects", "Views": "views", "Stored procedures": "stored_procedures", "Functions": "database_functions", "Relationships": "table_relationships", "Data flows": "data_flows"}
+    plain = lambda rows: [{k: v for k, v in r.items() if not isinstance(v, (list, dict))} for r in rows]
+    sections = {name: plain(report.get(key) or []) for name, key in parts.items()}
+    tables = {f"Table {t.get('name', '')}": plain(t.get("columns") or []) for t in report.get("tables") or []}
+    return tables_markdown("Database overview", tables | sections)
+
+
+def boundary_doc(report: dict) -> str:
+    """The boundary document: command lines, interfaces, routes and integration advice; empty parts are left out."""
+    parts = {"Command line": "cli_boundaries", "Interfaces": "api_boundaries", "Routes": "router_boundaries", "Integration": "integration_suggestions"}
+    return tables_markdown("Boundary interfaces", {name: [{k: v for k, v in r.items() if not isinstance(v, (list, dict))} for r in report.get(key) or []] for name, key in parts.items()})

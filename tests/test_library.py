@@ -175,3 +175,54 @@ def test_report_text():
 
 def test_tree_text():
     assert render.tree(["b.py", "a/x.py", "a/c/y.py"]) == "├── a/\n│   ├── c/\n│   │   └── y.py\n│   └── x.py\n└── b.py\n"
+
+
+def test_registry(spark):
+    from lodestone.operators import registry
+
+    assert registry.tasks(spark).count() == 15
+    assert registry.levels()[0] == ["dir_summary"] and registry.levels("compose")[0][0] == "overview"
+    value = {"domain_modules": [{"name": "A", "x": 1}, {"name": "B"}]}
+    assert registry.projected("key_module", "domain_modules", "A", value) == {"domain": {"name": "A", "x": 1}, "other_domains": ["B"]}
+    assert registry.projected("overview", "domain_modules", None, value) == value
+    assert registry.projected("deep_dive", "key_module", "A", {"A": 1, "B": 2}) == 1
+    assert registry.inputs("dir_summary", "src", {"src": "s", ".": "all"}) == "s" and registry.inputs("workflow", None, {".": "all"}) == "all"
+    assert registry.parsed({"a": int}, 'x {"a": 1}') == {"a": 1} and registry.parsed(None, " t ") == "t"
+    with pytest.raises(ValueError):
+        registry.parsed(None, "  ")
+    assert sum(r["instances"] for r in registry.dry_run(["a", "b"], ["x"])) == 2 + 14
+
+
+def test_documents(spark, tmp_path):
+    from lodestone.sources import documents, git
+
+    out, record, research = str(tmp_path / "out"), str(tmp_path / "state" / "written.json"), tmp_path / "research.json"
+    research.write_text("{}")
+    documents.write(out, {"1.Overview.md": "x", "4.Deep-Exploration/A.md": "a", "4.Deep-Exploration/B.md": "b"}, record)
+    (tmp_path / "out" / "4.Deep-Exploration" / "own.md").write_text("mine")
+    assert documents.reusable(out, str(research), record)
+    documents.write(out, {"1.Overview.md": "y", "4.Deep-Exploration/A.md": "a"}, record)
+    assert sorted(p.name for p in (tmp_path / "out" / "4.Deep-Exploration").iterdir()) == ["A.md", "own.md"]
+    assert not documents.reusable(out, str(tmp_path / "none"), record)
+    docs = spark.createDataFrame([("1.Overview.md", "```mermaid\nx\n```"), ("3.Workflow.md", "")], "path string, content string")
+    got = {(r["path"], r["issue"]) for r in documents.verified(docs).collect()}
+    assert ("2.Architecture.md", "missing") in got and ("3.Workflow.md", "empty") in got and ("4.Deep-Exploration/", "missing") in got and ("1.Overview.md", "line 1: unknown mermaid header `x`") in got
+    assert documents.output_key("docs", str(tmp_path)) == documents.output_key("./x/../docs", str(tmp_path))
+    assert documents.template("a.md", None, {"a.md": "t"}) == "t"
+    assert documents.env_fingerprint(["a", "b"]) != documents.env_fingerprint(["ab", ""])
+    assert git.head(str(tmp_path)) is None
+
+
+def test_summary_and_documents_of_reports():
+    from lodestone.functions import jsons
+
+    body, text = render.summary({"generated_at": "now", "project": "p", "total_secs": 1.25, "cap": 9}, {"calls": 2, "hits": 1, "quota_used": 2}, [("2.md", "missing"), ("1.md", "line 1: x")], [("a", 0.5)])
+    assert body["calls"] == 2 and "- Missing documents: 2.md" in text and "- 1.md: line 1: x" in text and "| a | 0.5 |" in text
+    doc = render.database_doc({"tables": [{"name": "t", "columns": [{"name": "id", "data_type": "int"}]}], "views": []})
+    assert "## Table t" in doc and "| id | int |" in doc and "Views" not in doc
+    assert "## Routes" in render.boundary_doc({"router_boundaries": [{"path": "/a|b"}]})
+    assert jsons.system_boundary('{"scope": "s", "included_components": "a"}') == {"scope": "s", "included_components": ["a"], "excluded_components": []}
+    with pytest.raises(ValueError):
+        jsons.system_boundary("no")
+    assert jsons.flow_steps([{"step": 4}, "go", " "]) == [{"step": 4}, {"step": 2, "operation": "go"}]
+    assert jsons.parameters([{"name": "a", "param_type": 1}, "x"]) == [{"name": "a", "param_type": ""}]
