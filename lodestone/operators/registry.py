@@ -21,11 +21,11 @@ TASKS = [
     ("key_module", "key_module.md", "efficient", _CONTEXT, "domain", ["custom"], "research", "llm"),
     ("boundary", "boundary.md", "efficient", ["system_context", "relationships"], None, ["project_structure", "custom"], "research", "llm"),
     ("overview", "editors/overview.md", "efficient", _CONTEXT, None, ["readme"], "compose", "llm"),
-    ("architecture_doc", "editors/architecture_doc.md", "powerful", [*_CONTEXT, "architecture"], None, [], "compose", "llm"),
+    ("architecture_doc", "editors/architecture_doc.md", "powerful", [*_CONTEXT, "architecture", "workflow"], None, [], "compose", "llm"),
     ("workflow_doc", "editors/workflow_doc.md", "powerful", [*_CONTEXT, "workflow"], None, ["code_insights"], "compose", "llm"),
     ("boundary_doc", "", "efficient", ["boundary"], None, [], "compose", "deterministic"),
     ("database_doc", "", "efficient", ["database"], None, [], "compose", "deterministic"),
-    ("deep_dive", "editors/deep_dive.md", "powerful", [*_CONTEXT, "key_module"], "domain", ["custom"], "compose", "llm"),
+    ("deep_dive", "editors/deep_dive.md", "powerful", [*_CONTEXT, "architecture", "workflow", "key_module"], "domain", ["custom"], "compose", "llm"),
 ]
 
 
