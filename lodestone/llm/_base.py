@@ -47,6 +47,13 @@ def prepared(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def picked(docs: DataFrame, **roles: str) -> DataFrame:
+    """Columns of docs by exact name as roles=name, whatever other columns there are (a name that differs in case alone, say)."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.select(*(F.col(f"c{names.index(name)}").alias(role) for role, name in roles.items()))
+
+
 def word_count(text: Column) -> Column:
     r"""Number of ``[^\x20\x09-\x0D]+`` in text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import prepared
+from lodestone.llm._base import picked, prepared
 from lodestone.llm.shingles import placed, text_slices
 
 LEAST, BANDS = 0.8, 48
@@ -137,6 +137,6 @@ def _scanning(templates: tuple[tuple[str, str], ...]):
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """One row a document and license found in it: key, license, containment (best window's), start and end (code points from the first to the last matching shingle there)."""
     prepared(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = picked(docs, key=key, text=text)
     schema = T.StructType([T.StructField(key, rows.schema["key"].dataType), T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     return rows.mapInArrow(_scanning(tuple((templates or TEMPLATES).items())), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import cut, prepared, word_count
+from lodestone.llm._base import cut, picked, prepared, word_count
 
 #: Bits of the order's value that one step of the search for the cut reads, and the steps.
 BITS, STEPS = 12, 3
@@ -103,7 +103,7 @@ def _copies(df: DataFrame, key: str, source: str, made: DataFrame, seed: int) ->
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    return picked(docs, key=key, source=source, text=text).select("key", "source", word_count(F.col("text")).alias("size"))
 
 
 def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
@@ -118,5 +118,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """The mix itself: docs' rows and columns, each row as often as the mix takes it."""
     prepared(docs.sparkSession)
     made = plan(cut(_sized(docs, key, text, source)), "key", weights, cap, seed)
-    out = _copies(docs, key, source, made, seed)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    out = _copies(docs.toDF(*plain), plain[names.index(key)], plain[names.index(source)], made, seed)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*plain).toDF(*names)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import partition_offsets, prepared, table, text_parts
+from lodestone.llm._base import partition_offsets, picked, prepared, table, text_parts
 
 WINDOW, ROUNDS = 1024, 400
 #: Offsets of so many (partition, length) pairs are broadcast (under 50 MB); more are joined by shuffle.
@@ -164,7 +164,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     """One row a piece: key, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit integers)."""
     prepared(docs.sparkSession)
     path = tokenizer or encoding.default_path("byte_bpe_50k.json")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.spark_partition_id().alias("pid"))
+    rows = picked(docs, key=key, text=text).withColumn("pid", F.spark_partition_id())
     kind = rows.schema["key"].dataType
     longs = [T.StructField(c, T.LongType()) for c in ("n", "whole", "rank")]
     encoded = table(rows.mapInArrow(_encode(path, end, window), T.StructType([T.StructField("key", kind), T.StructField("pid", T.IntegerType()), *longs, T.StructField("ids", T.BinaryType())])))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import cut, prepared
+from lodestone.llm._base import cut, picked, prepared
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -112,7 +112,7 @@ def _instances(text: Column) -> Column:
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, _text_hash, the kinds' base entities, spans (base) and others (instances not in them), computed once."""
     prepared(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = picked(docs, key=key, text=text).select("key", F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.select("key", F.md5("_text").alias("_text_hash"), "_text", *(c.alias(k) for k, c in base(F.col("_text")).items()))
     rows = rows.withColumn("spans", _flat()).withColumn("others", _instances(F.col("_text")))
     return cut(rows.select("key", "_text_hash", *(F.size(k).cast("long").alias(k) for k in KINDS), "spans", "others"))
@@ -173,7 +173,8 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = found(docs, text, text)
     more = discovered(rows)
     names = docs.columns
-    inner = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(text, F.lit("")).alias("_text"))
+    at = names.index(text)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_text", F.coalesce(f"c{at}", F.lit("")))
     inner = inner.select("*", F.md5("_text").alias("_text_hash"), *(c.alias(k) for k, c in base(F.col("_text")).items()))
     inner = _joined(inner, more)
     thin = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -186,6 +187,5 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, added).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("_text", acc["at"] + 1, F.length("_text"))))
-    at = names.index(text)
     new = F.when(F.size(spans) > 0, done).otherwise(F.col(f"c{at}"))
-    return inner.select(*((new if i == at else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))
+    return inner.select(*((new if i == at else F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names)))).toDF(*names)

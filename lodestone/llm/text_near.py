@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import components, cut, dense_rows, dense_sum, prepared, small_batches
+from lodestone.llm._base import components, cut, dense_rows, dense_sum, picked, prepared, small_batches
 from lodestone.llm.shingles import distinct, shingles, text_slices
 
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
@@ -265,7 +265,7 @@ def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray,
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group), n_links (distinct other texts it was found similar to) and kept."""
     prepared(docs.sparkSession)
-    plain = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    plain = picked(docs, key=key, text=text).select(F.col("key").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     counted = dense_sum(plain.select("text").mapInArrow(_counting, "slice int, pid int, counts binary"), (1 << DF_BITS) + 1)
     idf = idf_table(counted[:-1], int(counted[-1])).astype(np.float32)
     hashed = plain.select("key", F.md5("text").alias("hash"), "text")
@@ -297,4 +297,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     found = classes(docs, key, text, least)
     dropped = cut(found.where("not kept").select(F.col(key).alias("_gone")).where("_gone is not null").distinct())
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return docs.join(dropped, docs[key].cast("long") == dropped["_gone"], "left_anti")
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.join(dropped, plain[f"c{names.index(key)}"].cast("long") == dropped["_gone"], "left_anti").toDF(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import cut, partition_offsets, prepared, shared_dir, slices, table, text_parts
+from lodestone.llm._base import cut, partition_offsets, picked, prepared, shared_dir, slices, table, text_parts
 
 #: Lengths of four codes by control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -116,7 +116,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Encode docs and write a store to folder, which executors and driver must share."""
     spark = prepared(docs.sparkSession)
     path = tokenizer or encoding.default_path("byte_bpe_50k.json")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key")
+    rows = picked(docs, key=key, text=text).repartitionByRange("key").sortWithinPartitions("key")
     rows = rows.withColumn("shard", F.spark_partition_id())
     kind = rows.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("shard", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

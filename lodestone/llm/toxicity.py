@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import dense_rows, dense_sum, prepared, text_parts
+from lodestone.llm._base import dense_rows, dense_sum, picked, prepared, text_parts
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
@@ -145,9 +145,9 @@ def _sampled(kept: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", training: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the labelled rows for which training (a condition on the key) holds."""
     spark = prepared(docs.sparkSession)
-    rows = labels.where(training if training is not None else F.lit(True)).where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.lit(6), F.col(key)).alias("h"))
-    plain = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    rows = labels.where(training) if training is not None else labels
+    rows = picked(rows, k=key, y=label).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).select("k", F.col("y").cast("int"), F.xxhash64(F.lit(6), F.col("k")).alias("h"))
+    plain = picked(docs, k=key, text=text)
     small = rows.count() <= BROADCAST_LABELS
     known = plain.join(F.broadcast(rows) if small else rows, "k")
     size = 2 << BITS

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import components, cut, prepared
+from lodestone.llm._base import components, cut, picked, prepared
 
 #: Most classes in a block; a task holds two blocks.
 BLOCK = 2048
@@ -94,10 +94,11 @@ def _tile(least: float):
 def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, block: int = BLOCK) -> DataFrame:
     """One row a vector: key, n_links, component_id, kept."""
     prepared(vectors.sparkSession)
-    size = F.col(vector)
+    vectors = picked(vectors, vec=key, label=label, raw=vector)
+    size = F.col("raw")
     bad = F.coalesce(F.exists(size, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(True)) | F.coalesce(F.forall(size, lambda x: x == 0), F.lit(True))
     plain = F.transform(size, lambda x: x.cast("double") + F.lit(0.0))  # makes -0.0 and 0.0 one value
-    rows = vectors.select(F.col(key).alias("vec"), F.col(label).alias("label"), F.when(~bad & F.col(label).isNotNull() & F.col(key).isNotNull(), plain).alias("vector"))
+    rows = vectors.select("vec", "label", F.when(~bad & F.col("label").isNotNull() & F.col("vec").isNotNull(), plain).alias("vector"))
     rows = cut(rows.withColumn("hash", F.when(F.col("vector").isNotNull(), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>"), F.col("label").cast("string")), 256))))
     good = rows.where("vector is not null")
     classes = cut(good.groupBy("hash").agg(F.min("vec").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))

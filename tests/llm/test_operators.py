@@ -382,5 +382,14 @@ def test_mixing(spark, none):
         assert r["taken"] <= 3 * r["size"]
     assert all(abs(taken[s] - t) <= max(0.01 * t, 3) for s, t in want.items())
     out = mixing.mixed(df.withColumn("_copies", F.lit("mine")))
-    assert out.columns == [*df.columns, "_copies"] and out.count() == sum(r["copies"] for r in got)
+    assert out.columns == [*df.columns, "_copies"] and out.count() == sum(r["copies"] for r in got) == out.where("_copies = 'mine'").count()
     assert mixing.decided(none).count() == mixing.mixed(none).count() == 0
+
+
+def test_columns_that_differ_in_case_alone(spark):
+    rows = [(1, "plain words stay as they are", "s", "X", 2), (2, "mail a@b.co now", "s", "Y", 3)]
+    df = spark.createDataFrame(rows, DOCS).toDF("doc_id", "text", "source", "TEXT", "Doc_Id")
+    assert len(pii.digest(df).collect()) == len(text_near.classes(df).collect()) == len(mixing.decided(df).collect()) == 2
+    assert pii.redacted(df).columns == text_near.deduplicated(df).columns == mixing.mixed(df).columns == df.columns
+    assert [tuple(r)[1] for r in pii.redacted(df).collect()][1] == "mail <EMAIL> now"
+    assert packing.packed(df).count() == token_count.counted(df).count() == 2 and licenses.scanned(df).count() == 0
