@@ -21,6 +21,10 @@ def cut(df: DataFrame) -> DataFrame:
     return kept(df)
 
 
+#: Rows that a Python worker gets at a time.
+BATCH = 1000
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Inside, Python workers get so many rows at a time: for actions on rows that hold whole texts once or twice."""
@@ -42,8 +46,12 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
+    """spark, with this package in its workers, a shared folder, and batches for Python that suit rows of whole texts (unless the session says otherwise)."""
     ship(spark)
     shared_dir(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(BATCH))
     return spark
 
 
