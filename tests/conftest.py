@@ -10,7 +10,7 @@ from lodestone.session import local_session, ship  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")), "spark.sql.shuffle.partitions": "4", "spark.sql.maxMetadataStringLength": "2000"})
     ship(session)
     yield session
     session.stop()
