@@ -20,6 +20,8 @@ UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Slots of a worker's table of pre-tokens; it starts anew when half are taken (about 60 MB then).
 SLOTS = 1 << 21
+#: Characters of texts that callers should hand over at a time; what is worked on takes about 100 bytes a character.
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _encoders: dict[str, Encoder] = {}
 
@@ -158,7 +160,7 @@ class Encoder:
             return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
         if len(self.powers[0]) <= len(code):
             for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-                self.powers[k] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(len(code) + (1 << 20), base, np.uint64)))
+                self.powers[k] = np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(len(code), CHUNK), base, np.uint64)))
         begin = pretokens(code, (np.cumsum(size) - size)[size > 0])
         end = np.append(begin[1:], len(code))
         run = np.append(np.zeros(1, np.uint64), np.cumsum(self.spread[code] * self.powers[0][: len(code)]))

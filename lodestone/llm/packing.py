@@ -122,7 +122,7 @@ def _encode(path: str, end: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoding.encoder(path), [0] * window
         for batch in batches:
-            for a, b, texts in text_parts(batch.column("text"), 1 << 20):
+            for a, b, texts in text_parts(batch.column("text"), encoding.CHUNK):
                 ids, sizes = enc.encode(texts, end)
                 ranks, wholes = [], []
                 for n in sizes.tolist():

@@ -77,7 +77,7 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, start = encoding.encoder(path), 0
         for batch in batches:
-            for a, b, texts in text_parts(batch.column("text"), 1 << 20):
+            for a, b, texts in text_parts(batch.column("text"), encoding.CHUNK):
                 ids, n = enc.encode(texts, end)
                 part = batch.slice(a, b - a)
                 starts = start + np.cumsum(n) - n
