@@ -68,7 +68,7 @@ def luhn(value: Column) -> Column:
 
 def base(text: Column) -> dict[str, Column]:
     """The base entities of each kind."""
-    part = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    part = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
     digits = lambda m: F.length(F.regexp_replace(m["value"], "[^0-9]", ""))
     return {
         "email": F.when(F.contains(text, F.lit("@")), matches(text, EMAIL)).otherwise(matches(F.lit(""), EMAIL)),

@@ -76,6 +76,18 @@ def test_pii_base_spans(spark):
         assert [rows[i][f"n_{k}"] for k in KINDS] == [len(re.findall(rf"\b{k}:", want)) for k in KINDS]
 
 
+def test_pii_ip_parts_may_be_zero(spark):
+    texts = ["at 10.0.0.1, 127.0.0.1 or 192.168.0.1", "0.0.0.0 00.1.2.3 8.8.0.0", "0256.0.0.1 0.0.0.300 010.000.0255.009", "1.0.0.0.0.0.0.2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.digest(df).collect()}
+    for i, text in enumerate(texts):
+        want = base_spans(text)
+        assert rows[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and rows[i]["n_ip"] == want.count("ip:")
+    assert [rows[i]["n_ip"] for i in range(4)] == [3, 3, 1, 2]
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    assert got[0] == "at <IP>, <IP> or <IP>" and got[1] == "<IP> <IP> <IP>"
+
+
 def test_pii_discovers_by_context_and_redacts(spark):
     texts = [f"please call me at +1 (243) 555-79{i:02d} now" for i in range(10)] + ["please call me at 5550199 now", "pay 5550199 now", None]
     df = spark.createDataFrame([(i, t, i, "k", 5) for i, t in enumerate(texts)], "doc_id long, text string, email int, `_text_hash` string, spans int")
