@@ -12,8 +12,9 @@ the samples (of similar pairs all but 2 in 100,000 do) meet once more in such ti
 compared unless links have connected them meanwhile. So every pair that shares a band is connected, compared, or surely dissimilar; none is capped,
 and no task or frame holds a group's pairs. A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
 
-Cases: a null text is empty; texts without words link only with equal texts (all empty texts are equal); rows that repeat a key are one node;
-a null key gets its text's class but can name none; an empty table gives an empty result. Other columns stay as they are.
+Cases: a null text is empty; texts without words link only with equal texts (all empty texts are equal); each distinct text is one node, whatever keys
+its rows have, so a key with two texts may be in two classes; a null key gets its text's class but can name none; an empty table gives an empty
+result. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
 #: Samples of BANDS * ROWS that a pair must share to be compared, and texts of a band in one block of a tile.
 AGREE, BLOCK = 18, 512
 TILE = ["band", "lo", "hi"]
-#: So many ids or fewer are broadcast (under 50 MB); more are joined by shuffle.
+#: So many ids or fewer are broadcast, with keys and hashes (about 100 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(5)
 _MULTIPLY = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,22 +233,24 @@ def _verifying(idf: np.ndarray, least: float):
 
 
 def _moved(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts of ids (id, distinct); no others move. By a broadcast of the ids where these are few, else by shuffle."""
+    """The texts (id, text) of ids (id, of_key, of_hash; distinct); no others move. By a broadcast of the ids where these are few, else by shuffle. Rows that repeat key and text give one."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return cut(texts.join(ids, "id", "left_semi"))
+    own = texts.join(ids, (F.unhex("hash") == F.col("of_hash")) & F.col("key").eqNullSafe(F.col("of_key")))
+    return cut(own.groupBy("id").agg(F.first("text").alias("text")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """pairs (a, b) with ``ok``."""
     pairs = cut(pairs)
-    moved = _moved(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), texts)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    moved = _moved(cut(nodes.join(ids, "id")), texts)
     own = pairs.join(moved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = own.join(moved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     with small_batches(full.sparkSession):
         return cut(full.mapInArrow(_verifying(idf, least), "a long, b long, ok boolean"))
 
 
-def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
+def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
     """Links (a, b) between texts of one band that label (k, band, id, component) has in different components."""
     mixed = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
     mixed = cut(mixed.where("low < high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")))
@@ -256,14 +259,22 @@ def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, idf: np.ndarray,
     tiles = tiles.select("k", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "samples")
     dealt = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
     close = cut(dealt.mapInArrow(_with_partners, tiles.schema))
-    moved = _moved(cut(close.select("id").distinct()), texts)
+    moved = _moved(cut(nodes.join(close.select("id").distinct(), "id")), texts)
     close = close.join(moved, "id").select(*tiles.columns, "text").repartition(*TILE).sortWithinPartitions(*TILE)
     with small_batches(close.sparkSession):
         return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group), n_links (distinct other texts it was found similar to) and kept."""
+def _numbered(equal: DataFrame) -> DataFrame:
+    """equal (hash, key: the smallest, samples) with ``id``: the key, or where some text has none of its own, a number by key and hash."""
+    shared = equal.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    if equal.where("key is null").isEmpty() and shared.isEmpty():
+        return equal.withColumn("id", F.col("key"))
+    return cut(equal.orderBy(F.col("key").asc_nulls_last(), "hash").withColumn("id", F.monotonically_increasing_id()))
+
+
+def _grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, hash of the text) and one row a distinct text: of (its hash), component, exact_id (smallest key), class_id (smallest key of its group), n_links."""
     prepared(docs.sparkSession)
     plain = picked(docs, key=key, text=text).select(F.col("key").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     counted = dense_sum(plain.select("text").mapInArrow(_counting, "slice int, pid int, counts binary"), (1 << DF_BITS) + 1)
@@ -271,32 +282,54 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     hashed = plain.select("key", F.md5("text").alias("hash"), "text")
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("samples", T.BinaryType())])
     rows = cut(hashed.mapInArrow(_banding(idf), schema))
-    equal = cut(rows.groupBy("hash").agg(F.min("key").alias("id"), F.first("samples").alias("samples")))
+    equal = _numbered(cut(rows.groupBy("hash").agg(F.min("key").alias("key"), F.first("samples").alias("samples"))))
+    nodes = equal.select("id", F.col("key").alias("of_key"), F.unhex("hash").alias("of_hash"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("samples", k * 4 * ROWS + 1, 4 * ROWS)))
-    members = equal.where("samples is not null and id is not null").select("id", F.posexplode(bands).alias("k", "band"))
+    members = equal.where("samples is not null").select("id", F.posexplode(bands).alias("k", "band"))
     chosen = members.groupBy("band").agg(F.min("id").alias("first"), F.max_by("id", F.xxhash64("id", "band")).alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
     chosen = cut(chosen)
     members = cut(members.join(chosen.select("band"), "band", "left_semi"))
     met = cut(members.join(chosen, "band"))
     pair = lambda x: met.where(F.col(x) != F.col("id")).select(F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
-    texts = plain.select(F.col("key").alias("id"), "text")
-    tried = _verified(pair("first").union(pair("other")).distinct(), texts, idf, least)
+    tried = _verified(pair("first").union(pair("other")).distinct(), hashed, nodes, idf, least)
     links = tried.where("ok").select("a", "b")
     group = cut(components(links)) if not links.isEmpty() else None
     label = members.withColumn("component", F.col("id")) if group is None else members.join(group, members["id"] == group["node"], "left").select("k", "band", "id", F.coalesce("component", "id").alias("component"))
-    links = cut(links.union(_rest(cut(label), equal, texts, idf, least)))
+    links = cut(links.union(_rest(cut(label), equal, hashed, nodes, idf, least)))
     group = components(links)
     count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = cut(equal.select("hash", "id").join(group.withColumnRenamed("node", "id"), "id", "left").join(count.withColumnRenamed("node", "id"), "id", "left").select(F.col("hash").alias("of"), F.col("id").alias("exact_id"), F.coalesce("component", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows.select("key", "hash").join(named, F.col("hash") == F.col("of"))
+    own = equal.select("hash", "key", "id").join(group.withColumnRenamed("node", "id"), "id", "left").join(count.withColumnRenamed("node", "id"), "id", "left")
+    own = cut(own.select(F.col("hash").alias("of"), F.col("key").alias("exact_id"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    smallest = own.groupBy("component").agg(F.min("exact_id").alias("class_id"))
+    return rows.select("key", "hash"), cut(own.join(smallest, "component"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
+    """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group), n_links (distinct other texts it was found similar to) and kept."""
+    rows, named = _grouped(docs, key, text, least)
+    out = rows.join(named, F.col("hash") == F.col("of"))
     return out.select(F.col("key").alias(key), "exact_id", "class_id", "n_links", F.coalesce(F.col("key") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """docs without the documents that are not the first of their group. Rows that repeat a kept key stay once a text; keys are taken as unique otherwise."""
-    found = classes(docs, key, text, least)
-    dropped = cut(found.where("not kept").select(F.col(key).alias("_gone")).where("_gone is not null").distinct())
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    """One row of each group of docs: that with the smallest key (null keys last), then the smallest hash of the text; of rows that repeat both, any one."""
+    rows, named = _grouped(docs, key, text, least)
+    heads = named.groupBy("component").agg(F.min(F.struct(F.isnull("exact_id").alias("none"), "exact_id", "of")).alias("h")).select("h.exact_id", "h.of")
+    counted = rows.groupBy("key", "hash").agg(F.count("*").alias("n"))
+    judged = counted.join(heads, (F.col("hash") == F.col("of")) & F.col("key").eqNullSafe(F.col("exact_id")), "left")
+    gone = cut(judged.where("of is null or n > 1").select(F.col("key").alias("_key"), F.unhex("hash").alias("_hash"), F.col("of").isNotNull().alias("_repeated")))
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    return plain.join(dropped, plain[f"c{names.index(key)}"].cast("long") == dropped["_gone"], "left_anti").toDF(*names)
+    key_at, text_at = f"c{names.index(key)}", f"c{names.index(text)}"
+
+    def met(those: DataFrame, how: str) -> DataFrame:
+        those = F.broadcast(those) if those.count() <= BROADCAST_IDS else those
+        same = (F.unhex(F.md5(F.coalesce(text_at, F.lit("")))) == F.col("_hash")) & F.col(key_at).cast("long").eqNullSafe(F.col("_key"))
+        return plain.join(those, same, how)
+
+    out = met(gone, "left_anti")
+    again = gone.where("_repeated")
+    if not again.isEmpty():
+        one = cut(met(again, "inner").groupBy("_key", "_hash").agg(F.first(F.struct(*plain.columns)).alias("row")))
+        out = out.union(one.select("row.*"))
+    return out.toDF(*names)

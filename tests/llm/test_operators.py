@@ -229,6 +229,26 @@ def test_near_texts(spark, words, none):
     assert text_near.classes(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, words):
+    vocabulary, rng = words
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(6)]
+    near = lambda t: t + " more"
+    rows = [
+        (None, texts[0]), (None, texts[0]), (None, near(texts[0])),  # copies under null ids only
+        (None, texts[1]), (4, near(texts[1])),  # of a document with an id
+        (5, texts[2]), (5, texts[2]),  # repeated rows
+        (1, texts[3]), (6, texts[3]), (6, texts[4]), (7, near(texts[4])),  # one id with two texts, one a copy of an earlier document's
+        (None, texts[5]),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DOCS).repartition(5)
+    out = text_near.deduplicated(df)
+    assert out.schema == df.schema
+    left = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in out.collect())
+    assert left == sorted([(0, texts[0]), (4, texts[1]), (5, texts[2]), (1, texts[3]), (6, texts[4]), (0, texts[5])])
+    named = {(r["doc_id"], r["class_id"]) for r in text_near.classes(df).collect()}
+    assert named == {(None, None), (None, 4), (4, 4), (5, 5), (1, 1), (6, 1), (6, 6), (7, 6)}
+
+
 def test_samples_agree_as_similarity():
     rng = np.random.default_rng(2)
     shingle = np.sort(rng.integers(0, 1 << 44, 3000, dtype=np.uint64))
