@@ -393,26 +393,31 @@ def stale_docs(v: Views) -> DataFrame:
 
 
 def _sources(v: Views) -> DataFrame:
-    """Documents as Python files: their lines behind an import of the document before."""
-    head = F.concat(F.lit("import os\nfrom .doc_"), (F.col("doc_id") - 5).cast("string"), F.lit(" import a, b\nx = 'from .no import c'  # import nothing\n"))
-    return v.files().where("extension = 'py'").select("rel_path", "extension", F.concat(head, F.lit('"""'), F.replace("content", F.lit('"""'), F.lit("")), F.lit('"""\n')).alias("content"))
+    """Documents as source files, their lines behind imports of the document before in the file's language; those of no such language as they are."""
+    before = F.concat(F.lit("doc_"), (F.col("doc_id") - 5).cast("string"))
+    py = F.concat(F.lit("import os\nfrom ."), before, F.lit(" import a, b\nx = 'from .no import c'  # import nothing\n"), F.lit('"""'), F.replace("content", F.lit('"""'), F.lit("")), F.lit('"""\n'))
+    rs = F.concat(F.lit("use std::fs;\nmod "), before, F.lit(";\npub use self::"), before, F.lit('::{a, b};\nconst X: &str = "use no::c;"; // mod nothing;\n/* '), "content", F.lit(" */\n"))
+    ts = F.concat(F.lit("import fs from 'fs';\nexport { a, b } from './"), before, F.lit("';\nconst c = require('./no'); // import d from './nothing'\n/* "), "content", F.lit(" */\n"))
+    ext = F.col("extension")
+    return v.files().select("rel_path", "extension", F.when(ext == "py", py).when(ext == "rs", rs).when(ext == "ts", ts).otherwise(F.col("content")).alias("content"))
 
 
 @query()
 def import_extract(v: Views) -> DataFrame:
     found = resolve.imports(_sources(v))
-    return found.select("importer", "seq", "kind", "line", F.col("levels").alias("level"), F.array_join("segs", ".").alias("module"), F.array_join("names", ",").alias("names"))
+    return found.select("importer", "seq", "lang", "kind", "line", "root", F.col("levels").alias("level"), F.array_join("segs", ".").alias("module"), F.array_join("names", ",").alias("names"), "spec")
 
 
 @query()
 def import_resolve(v: Views) -> DataFrame:
     files = kept(_sources(v))
-    return resolve.python(kept(resolve.imports(files)), files).select("importer", "seq", "outcome", "target")
+    return resolve.resolved(kept(resolve.imports(files)), files).select("importer", "seq", "outcome", "target")
 
 
 @query()
 def sanitize_sources(v: Views) -> DataFrame:
-    return _sources(v).select("rel_path", F.length(clean.sanitized(F.lit("python"), "content")).alias("n_chars"), F.md5(clean.sanitized(F.lit("python"), "content")).alias("digest"))
+    clear = _sources(v).select("rel_path", clean.sanitized(paths.language(F.col("extension")), "content").alias("clear"))
+    return clear.select("rel_path", F.length("clear").alias("n_chars"), F.md5("clear").alias("digest"))
 
 
 @query()
