@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, in each Python worker.
 
 A byte-level BPE without normaliser or post-processor encodes its pre-tokens one by one, so each distinct pre-token goes through the
-library once and its ids are then looked up in a hash table of arrays, a batch of texts at a time. This holds for texts of Latin
+library once and its ids are then looked up in a hash table of arrays, a batch of texts at a time. Every hit is compared with the stored
+characters; a pre-token whose hash belongs to another goes through the library anew. This holds for texts of Latin
 characters, whose pre-tokens are found here by character classes; a text with any other character, or with an added token's string
 in it, goes through the library whole.
 """
@@ -18,8 +19,8 @@ import pyarrow as pa
 #: Characters whose class (letter, number, space, other) is certain; those left out are of other scripts, or numbers that are no digits.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 OTHER, LETTER, NUMBER, WHITE = range(4)
-#: Slots of a worker's table of pre-tokens; it starts anew when half are taken (about 60 MB then).
-SLOTS = 1 << 21
+#: Slots of a worker's table of pre-tokens, and characters or ids stored with them; it starts anew when half or all are taken (about 100 MB then).
+SLOTS, STORED = 1 << 21, 1 << 24
 #: Characters of texts that callers should hand over at a time; what is worked on takes about 100 bytes a character.
 CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -97,6 +98,8 @@ class Encoder:
         self.keys, self.entry = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
         self.at, self.size = np.zeros(SLOTS // 2 + 1, np.int64), np.zeros(SLOTS // 2 + 1, np.int32)
         self.pool, self.used, self.known = np.zeros(1 << 16, self.kind), 0, 0
+        self.char_at, self.char_size = np.zeros(SLOTS // 2 + 1, np.int64), np.zeros(SLOTS // 2 + 1, np.int32)
+        self.chars, self.written = np.zeros(1 << 16, np.uint16), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype=self.kind) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -132,6 +135,30 @@ class Encoder:
             open_, slot = open_[more], (slot[more] + 1) & (SLOTS - 1)
         return out
 
+    def _store(self, begin: np.ndarray, end: np.ndarray, code: np.ndarray) -> None:
+        """Keep the characters code[begin : end] of the entries that come next."""
+        sizes = end - begin
+        total = int(sizes.sum())
+        if self.written + total > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros(max(total, len(self.chars)), np.uint16)])
+        new, upto = np.arange(self.known, self.known + len(begin)), np.cumsum(sizes)
+        self.char_at[new], self.char_size[new] = self.written + upto - sizes, sizes
+        self.chars[self.written : self.written + total] = code[np.repeat(begin - (upto - sizes), sizes) + np.arange(total)]
+        self.written += total
+
+    def _others(self, found: np.ndarray, begin: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Which pre-tokens (one after another, all of code) are not their entry's characters, though the hash is the same."""
+        size = end - begin
+        wrong = self.char_size[found] != size
+        at = np.where(wrong, 0, self.char_at[found]) - begin
+        place = np.repeat(at, size) + np.arange(len(code))
+        if wrong.any():
+            place[place >= len(self.chars)] = 0
+        differs = np.flatnonzero(self.chars[place] != code)
+        if len(differs):
+            wrong[np.searchsorted(begin, differs, side="right") - 1] = True
+        return np.flatnonzero(wrong)
+
     def _add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
@@ -173,18 +200,26 @@ class Encoder:
         missed = np.flatnonzero(found < 0)
         if len(missed):
             new, one = np.unique(h[missed], return_index=True)
-            if self.known + len(new) > SLOTS // 2:
+            if self.known + len(new) > SLOTS // 2 or max(self.written, self.used) > STORED:
                 self._clear()
                 missed = np.arange(len(h))
                 new, one = np.unique(h, return_index=True)
                 if len(new) > SLOTS // 2:
                     ids = self._whole(texts)
                     return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add(new, self._ids([whole[a:b] for a, b in zip(begin[missed[one]].tolist(), end[missed[one]].tolist(), strict=True)]))
+            first = missed[one]
+            self._store(begin[first], end[first], code)
+            self._add(new, self._ids([whole[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]))
             found[missed] = self._find(h[missed])
-        sizes = self.size[found].astype(np.int64)
+        at, sizes, pool = self.at[found], self.size[found].astype(np.int64), self.pool
+        other = self._others(found, begin, end, code)
+        if len(other):  # of equal hash alone
+            own = self._ids([whole[a:b] for a, b in zip(begin[other].tolist(), end[other].tolist(), strict=True)])
+            sizes[other] = np.fromiter(map(len, own), np.int64, len(own))
+            at[other] = self.used + np.cumsum(sizes[other]) - sizes[other]
+            pool = np.concatenate([pool[: self.used], *own])
         stop = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.at[found] - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
+        ids = pool[np.repeat(at - (stop - sizes), sizes) + np.arange(int(stop[-1]))]
         upto = np.append(0, stop)[np.searchsorted(begin, np.cumsum(size))]
         return ids, np.diff(np.append(0, upto))
 
