@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,8 +133,24 @@ def test_store_round_trip(spark, odd, none, library):
     assert token_store.read(spark, folder).count() == 0
 
 
+def check_pieces(pieces, want):
+    """Every piece holds the library's ids at its start, and together they are the documents."""
+    own = {}
+    for p in pieces:
+        got = np.frombuffer(bytes(p["ids"]), "<u4").tolist()
+        ids = want[p["doc_id"]]
+        assert got == ids[p["start"] : p["start"] + p["length"]] and len(got) == p["length"] and p["doc_tokens"] == len(ids)
+        own.setdefault(p["doc_id"], []).append((p["start"], p["length"]))
+    for key, ids in want.items():
+        at = 0
+        for start, length in sorted(own[key]):
+            assert start == at
+            at += length
+        assert at == len(ids)
+
+
 def test_packing(spark, odd, none, library):
-    more = spark.createDataFrame([(100 + i % 5, "word " * (i * 37 % 900), "en", "s", 1) for i in range(300)], DOCS)
+    more = spark.createDataFrame([(100 + i, "word " * (i * 37 % 900), "en", "s", 1) for i in range(300)], DOCS)
     docs = odd.unionByName(more)
     pieces = [r for r in packing.packed(docs).collect()]
     texts = [tuple(ids_of(library, r["text"], 0)) for r in docs.collect()]
@@ -150,14 +167,10 @@ def test_packing(spark, odd, none, library):
         assert at <= 1024
     assert sorted(own) == list(range(len(own)))
     assert 1024 * len(own) - sum(map(len, texts)) < 1024
-    by_doc = {}
-    for p in pieces:
-        if p["doc_id"] < 100:
-            by_doc.setdefault(p["doc_id"], []).append(p)
-    for i, text in enumerate(ODD):
-        got = b"".join(bytes(p["ids"]) for p in sorted(by_doc[i], key=lambda p: p["start"]))
-        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text, 0)
+    check_pieces(pieces, {r["doc_id"]: ids_of(library, r["text"], 0) for r in docs.collect()})
     assert packing.packed(none).count() == 0
+    twice = packing.packed(odd.union(odd).withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))).collect()
+    assert sum(p["length"] for p in twice) == 2 * sum(len(ids_of(library, t, 0)) for t in ODD)
 
 
 def test_combinations_fill_the_window():
@@ -184,7 +197,55 @@ def test_token_counts(spark, odd, none):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(2000)]
     assert m.count(texts).tolist() == [len(model.encode(t)) for t in texts]
     for t in texts[:150]:
-        assert token_count.count_long(t, m, 5) == len(model.encode(t))
+        assert m.count([t], piece=5)[0] == len(model.encode(t))
+    # without a space, chunks have no constant maps; the last are periodic
+    for t in ("".join(rng.choice("etaoinsh") for _ in range(3000)), "x" * 5000, "ab" * 4000, "日本語中文字" * 500):
+        assert m.count([t])[0] == m.count([t, ""])[0] == m.count([t], piece=100)[0] == len(model.encode(t))
+
+
+def test_token_counts_without_spaces_take_linear_time():
+    m = token_count.machine(encoding.default_path("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60000))
+    m.count([text])
+    begin = time.perf_counter()
+    m.count([text])
+    assert time.perf_counter() - begin < 1
+
+
+# words of equal hash under any odd base
+def thue_morse(n, letters):
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return ["".join(letters[x ^ flip] for x in word) for flip in (0, 1)]
+
+
+HARD = [(n, letters) for n in (1024, 2048, 4096) for letters in ("at", "xy")]
+
+
+def test_equal_hashes_are_told_apart(library):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=encoding.default_path("piece_bpe_32k.model"))
+    enc, m = encoding.encoder(encoding.default_path("byte_bpe_50k.json")), token_count.machine(encoding.default_path("piece_bpe_32k.model"))
+    for n, letters in HARD:
+        a, b = thue_morse(n, letters)
+        for batch in ([a, b], [a], [b], [b, a, b], [f"{b} {a}"]):  # in one batch and across batches
+            ids, counts = enc.encode(batch)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in library.encode_batch(batch, add_special_tokens=False)]
+            assert m.count(batch).tolist() == [len(x) for x in model.encode(batch)]
+
+
+def test_equal_hashes_in_queries(spark, library):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    model = sentencepiece.SentencePieceProcessor(model_file=encoding.default_path("piece_bpe_32k.model"))
+    texts = [t for n, letters in HARD for t in thue_morse(n, letters)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).coalesce(1)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_count.counted(df).collect()} == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+    folder = token_store.new_folder(spark)
+    token_store.write(df, folder)
+    assert {r["key"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in token_store.read(spark, folder).collect()} == {i: ids_of(library, t, 2) for i, t in enumerate(texts)}
+    check_pieces(packing.packed(df).collect(), {i: ids_of(library, t, 0) for i, t in enumerate(texts)})
 
 
 # op5
