@@ -93,17 +93,20 @@ def dense_rows(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k // SLICE], pa.int32()), pa.array([context.partitionId() if context else 0], pa.int32()), pa.array([counts[k : k + SLICE].astype("<i8").tobytes()], pa.binary())], ["slice", "pid", "counts"])
 
 
+#: Rows of a slice that one task sums (128 KB each).
+FAN = 1 << 10
+
+
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(x, "<i8") for x in pdf["counts"])
-    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "pid": pdf["pid"].iloc[:1] // 64, "counts": [total.tobytes()]})
+    return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "pid": pdf["pid"].iloc[:1] // FAN, "counts": [total.tobytes()]})
 
 
 def dense_sum(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of all partitions' dense_rows, 64 of a slice at a time, on the driver: a table of fixed size."""
+    """The sum of all partitions' dense_rows on the driver: a table of fixed size, of which one row a slice arrives from up to FAN * FAN partitions."""
     schema = "slice int, pid int, counts binary"
-    parts = cut(parts)
     for _ in range(2):
-        parts = parts.groupBy("slice", F.floor(F.col("pid") / 64)).applyInPandas(_summed, schema)
+        parts = parts.groupBy("slice", F.floor(F.col("pid") / FAN)).applyInPandas(_summed, schema)
     out = np.zeros(-(-size // SLICE) * SLICE, np.int64)
     for r in parts.collect():
         got = np.frombuffer(bytes(r["counts"]), "<i8")

@@ -2,12 +2,13 @@
 
 Features are the presences of hashed n-grams of the lower-cased text (orders 3 to 6 over code points, whole texts). Over all labelled training rows Spark counts in
 how many texts of each class a feature occurs; the log ratio of the smoothed shares is the feature's scale, and a feature whose ratio is
-within ``Z`` standard errors of 0 has scale 0. A logistic regression with L2 penalty is then fitted on the scaled features of a bounded sample
-of the labelled rows (``FIT_ROWS`` of each class at most, by hash of the key), and every text is scored by its features' sum.
+within ``Z`` standard errors of 0 has scale 0; all others have a weight, however many they are. A logistic regression with L2 penalty is then fitted on the scaled features of a bounded sample
+of the labelled rows (``FIT_ROWS`` of each class at most, by hash of the key; both classes count alike in sum), and every text is scored by its features' sum. Orders, ``Z`` and the classes' balance
+were chosen on a split of the training rows.
 
 Cases: a null or empty text has no features and gets the score of the intercept; rows that repeat a key are scored alike; labelled rows whose label
 or key is null, and texts without a label, are not learnt from; without rows of both classes every score is the share of label 1 (0 without rows);
-an empty table gives an empty result; other columns are not read. Contradicting labels of one key count once each.
+an empty table gives an empty result; other columns are not read, whatever their names. Contradicting labels of one key count once each.
 """
 
 from __future__ import annotations
@@ -25,20 +26,19 @@ from lodestone.llm._base import dense_rows, dense_sum, picked, prepared, text_pa
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
-FIT_ROWS = 1500
-#: Features with a scale, those farthest from 0 in standard errors.
-FEATURES = 20_000
+FIT_ROWS = 3000
 #: So many labels or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
-#: Characters of texts worked on at a time; a longer text is worked on alone.
+#: Characters of texts worked on at a time; a longer text is worked on alone, in pieces of as many.
 CHUNK = 1 << 18
+#: Presences that the fit works on at a time.
+PART = 1 << 22
 Z, SMOOTHING, PENALTY, ROUNDS = 3.0, 1.0, 0.1, 12
 _ODD = np.array([0x7FEB352D, 0x846CA68B, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
-def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature), distinct, ascending by text."""
-    low = [f" {t.lower()} " if t else "" for t in texts]
+def _hashed(low: list[str], bits: int) -> np.ndarray:
+    """text number << bits | feature, distinct, ascending, of lower-cased texts."""
     size = np.fromiter(map(len, low), np.int64, len(low))
     code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
     doc = np.repeat(np.arange(len(low), dtype=np.uint64), size)
@@ -55,40 +55,57 @@ def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.
         key = (doc[: len(h)] << np.uint64(bits)) | (h >> np.uint32(32 - bits)).astype(np.uint64)
         found.append(key[inside])
     keys = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature), distinct, ascending by text."""
+    low = [f" {t.lower()} " if t else "" for t in texts]
+    if len(low) == 1 and len(low[0]) > CHUNK:  # pieces that overlap, so that no n-gram is lost
+        keys = np.zeros(0, np.uint64)
+        for a in range(0, len(low[0]), CHUNK):
+            keys = np.union1d(keys, _hashed([low[0][a : a + CHUNK + max(ORDERS) - 1]], bits))
+    else:
+        keys = _hashed(low, bits)
     return (keys >> np.uint64(bits)).astype(np.int64), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def ratios(counts: np.ndarray, rows: np.ndarray, z: float = Z, most: int = FEATURES) -> np.ndarray:
-    """Log ratio of the classes' smoothed shares by feature; 0 where it is within z standard errors of 0 or not among the ``most`` farthest from it. counts: 2 x features, rows: texts of each class."""
+def ratios(counts: np.ndarray, rows: np.ndarray, z: float = Z) -> np.ndarray:
+    """Log ratio of the classes' smoothed shares by feature; 0 where it is within z standard errors of 0. counts: 2 x features, rows: texts of each class."""
     share = (counts + SMOOTHING) / (rows + 2 * SMOOTHING)[:, None]
     r = np.log(share[1] / share[0])
     error = np.sqrt(((1 - share) / (counts + SMOOTHING)).sum(axis=0))
-    sure = np.abs(r) / error
-    least = max(z, np.partition(sure, len(sure) - most)[len(sure) - most]) if len(sure) > most else z
-    return np.where(sure >= least, r, 0.0)
+    return np.where(np.abs(r) >= z * error, r, 0.0)
 
 
-def fit(doc: np.ndarray, value: np.ndarray, of: np.ndarray, n_features: int, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on the weights, by Newton steps whose systems conjugate gradients solve in part."""
-    n = len(y)
+def fit(doc: np.ndarray, of: np.ndarray, scale: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with an L2 penalty on the weights, by Newton steps whose systems conjugate gradients solve in part. Text doc[i] has the feature of[i],
+    whose value is scale[of[i]]; a text counts mass times; no array but these two is as long, as sums go over PART presences at a time."""
+    n, n_features = len(y), len(scale)
+    parts = [slice(k, k + PART) for k in range(0, len(of), PART)]
 
     def across(w: np.ndarray) -> np.ndarray:
-        return np.bincount(doc, value * w[of], minlength=n) + w[-1]
+        own, total = w[:-1] * scale, np.zeros(n)
+        for p in parts:
+            total += np.bincount(doc[p], own[of[p]], minlength=n)
+        return total + w[-1]
 
     def along(d: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(of, value * d[doc], minlength=n_features), d.sum())
+        total = np.zeros(n_features)
+        for p in parts:
+            total += np.bincount(of[p], d[doc[p]], minlength=n_features)
+        return np.append(total * scale, d.sum())
 
     ridge = np.append(np.full(n_features, PENALTY), 1e-6)
 
     def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, across(w) * (1 - 2 * y)).sum() + (ridge * w * w).sum() / 2)
+        return float((mass * np.logaddexp(0, across(w) * (1 - 2 * y))).sum() + (ridge * w * w).sum() / 2)
 
-    w = np.append(np.zeros(n_features), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    w = np.append(np.zeros(n_features), np.log(((mass * y).sum() + 0.5) / ((mass * (1 - y)).sum() + 0.5)))
     now = loss(w)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(across(w), -35, 35)))
-        grad, bend = along(p - y) + ridge * w, p * (1 - p)
+        grad, bend = along(mass * (p - y)) + ridge * w, mass * p * (1 - p)
         step, rest = np.zeros_like(w), -grad
         way, square = rest.copy(), float(rest @ rest)
         first = square
@@ -136,7 +153,9 @@ def _sampled(kept: np.ndarray):
             for a, b, texts in text_parts(batch.column("text"), CHUNK):
                 doc, of = features(texts)
                 at = kept[of]
-                own = [at[(doc == i) & (at >= 0)].astype("<i4").tobytes() for i in range(b - a)]
+                doc, at = doc[at >= 0], at[at >= 0].astype("<i4")
+                cuts = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
+                own = [at[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(own, pa.binary())], ["h", "y", "at"])
 
     return run
@@ -145,8 +164,8 @@ def _sampled(kept: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", training: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the labelled rows for which training (a condition on the key) holds."""
     spark = prepared(docs.sparkSession)
-    rows = labels.where(training) if training is not None else labels
-    rows = picked(rows, k=key, y=label).where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).select("k", F.col("y").cast("int"), F.xxhash64(F.lit(6), F.col("k")).alias("h"))
+    rows = picked(labels, **{key: key, "_label": label})
+    rows = (rows.where(training) if training is not None else rows).toDF("k", "y").where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).select("k", F.col("y").cast("int"), F.xxhash64(F.lit(6), F.col("k")).alias("h"))
     plain = picked(docs, k=key, text=text)
     small = rows.count() <= BROADCAST_LABELS
     known = plain.join(F.broadcast(rows) if small else rows, "k")
@@ -166,9 +185,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     doc = np.repeat(np.arange(len(of), dtype=np.int32), [len(x) for x in of])
     of, y = np.concatenate(of) if of else np.zeros(0, np.int32), np.array([x["y"] for x in got], np.float64)
     del got
-    w, b = fit(doc, r[chosen].astype(np.float32)[of], of, len(chosen), y)
+    scale = r[chosen]
+    del counted, counts, r
+    mass = np.where(y == 1, (len(y) - y.sum()) / max(1.0, y.sum()), 1.0)
+    w, b = fit(doc, of, scale, y, mass)
     weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * r[chosen]
+    weights[chosen] = w * scale
     return Model(weights, b)
 
 
