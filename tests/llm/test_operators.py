@@ -101,6 +101,103 @@ def test_pii_discovers_by_context_and_redacts(spark):
     assert got[0] == got[10] == "please call me at <PHONE> now" and got[11] == texts[11] and got[12] is None
 
 
+def brute_spans(texts):
+    """Base and discovered spans of each text by the docstring's rules, in plain loops."""
+    base, others = [], []
+    for text in texts:
+        own = [(k, *map(int, x)) for k, *x in (s.split(":") for s in base_spans(text).split(",") if s)]
+        base.append(own)
+        found = []
+        for m in re.finditer(pii.SHAPED, text or ""):
+            value = re.sub(r"^[<(\[{\"']*", "", m.group())
+            start = m.end() - len(value)
+            value = re.sub(r"[>)\]}\"',;.!?]*$", "", value)
+            end, looks = start + len(value), any(re.search(x, value) for x in pii.SHAPES.values())
+            if 5 <= len(value) <= 64 and looks and not any(s < end and start < e for _, s, e in own):
+                found.append((start, end, value, m.start()))
+        others.append(found)
+
+    def left(text, start, last_end):
+        before = text[last_end:start][-pii.CONTEXT :]
+        m = re.search(pii.LEFT, before)
+        return m.group(1).lower() if m else ""
+
+    edges = set()
+    for text, own in zip(texts, base, strict=True):
+        for kind in KINDS:
+            last = 0
+            for m in re.finditer(KINDS[kind], text or ""):
+                if (kind, m.start(), m.end()) in own:
+                    edges.add((left(text, m.start(), last), m.group(), kind))
+                last = m.end()
+    places = []
+    for i, (text, found) in enumerate(zip(texts, others, strict=True)):
+        ends = [0, *(m.end() for m in re.finditer(pii.SHAPED, text or ""))]
+        for start, end, value, begin in found:
+            words = left(text, begin, max(e for e in ends if e <= begin))
+            edges.add((words, value, ""))
+            places.append((i, start, end, value, words))
+    edges = {e for e in edges if e[0]}
+    trusted = {(v, k): 1.0 for _, v, k in edges if k}
+    seeds, scores, patterns = dict(trusted), {}, {}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for words in {e[0] for e in edges}:
+            values = {v for w, v, _ in edges if w == words}
+            for kind in KINDS:
+                mass = [s for (v, k), s in trusted.items() if k == kind and v in values]
+                if len(mass) >= pii.SUPPORT and sum(mass) / (len(values) + 1) >= pii.TRUST:
+                    patterns[words, kind] = sum(mass) / (len(values) + 1)
+        scores = {}
+        for words, value, kind in edges:
+            for (w, k), trust in patterns.items():
+                if not kind and w == words and re.search(pii.SHAPES[k], value):
+                    scores[value] = max(scores.get(value, (0.0, "")), (trust, k))
+        trusted = {**seeds, **{(v, k): t for v, (t, k) in scores.items()}}
+    out = []
+    for i, own in enumerate(base):
+        more = {(scores[v][1], s, e) for j, s, e, v, w in places if j == i and v in scores and (w, scores[v][1]) in patterns}
+        out.append(",".join(f"{k}:{s}:{e}" for kind in KINDS for k, s, e in sorted(x for x in [*own, *more] if x[0] == kind)))
+    return out
+
+
+def test_pii_discovery_is_brute_force(spark):
+    rng = random.Random(6)
+    leads = ["please call me at", "my number is", "write to me on", "server runs on host", "paid with my card", "order number was", "meet at room"]
+    kinds = {
+        "seed phone": lambda: f"+1 (243) 555-{rng.randint(1000, 9999)}", "bare phone": lambda: f"555{rng.randint(1000, 9999)}", "email": lambda: f"u{rng.randint(0, 99)}@mail.org",
+        "odd email": lambda: f"u{rng.randint(0, 99)}[at]mail.org", "ip": lambda: f"10.0.{rng.randint(0, 255)}.7", "six": lambda: f"fe80:{rng.randint(1, 9)}::1:2", "item": lambda: f"x{rng.randint(10000, 99999)}",
+    }
+    likely = {"please call me at": ["seed phone"] * 9 + ["bare phone"], "write to me on": ["email"] * 9 + ["odd email"], "server runs on host": ["ip"] * 9 + ["six"]}
+    texts = []
+    for _ in range(260):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            lead = rng.choice(leads)
+            parts.append(f"{lead} {rng.choice(['', '(', '<'])}{kinds[rng.choice(likely.get(lead, list(kinds)))]()}{rng.choice(['', '.', ')', ','])} and more words")
+        texts.append(" ".join(parts))
+    texts += [None, "", "a@b.co", "555 1234", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(df).collect()}
+    want = brute_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    plain = [base_spans(t) for t in texts]
+    assert sum(a != b for a, b in zip(want, plain, strict=True)) > 10
+
+
+def test_pii_of_many_spans_in_one_text(spark):
+    """More than one block of spans, instances and pieces; time linear in the text."""
+    n = 20000
+    parts = [f"u{i}@x.org, no. 55{i:05d};" for i in range(n)]
+    df = spark.createDataFrame([(1, "é " + " ".join(parts)), (2, "\n".join(["1.2.3.4"] * 300))], "doc_id long, text string")
+    begin = time.perf_counter()
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
+    rows = {r["doc_id"]: r for r in pii.digest(df).collect()}
+    assert time.perf_counter() - begin < 40
+    assert out[1] == "é " + " ".join(f"<EMAIL>, no. 55{i:05d};" for i in range(n)) and out[2] == "\n".join(["<IP>"] * 300)
+    assert rows[1]["n_email"] == n and rows[1]["base_sha256"] == hashlib.sha256(base_spans(df.first()["text"]).encode()).hexdigest() and rows[2]["n_ip"] == 300
+
+
 # op2, op4
 def test_encoder_is_the_library(library):
     rng = random.Random(3)
