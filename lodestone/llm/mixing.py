@@ -2,12 +2,13 @@
 
 Within a source the words to take are ``ratio * size`` for every document: ``floor(ratio)`` whole copies are certain, and
 the fraction is the document's inclusion probability (unequal between sources). Documents are ranked by their random
-odds divided by their inclusion odds; the sample is fixed in size, counted in words: the longest prefix of that order whose
-words stay within what is left of the target, and then, one at a time, the document whose size is nearest to the gap, until the gap is
-under a thousandth of the target or nothing comes nearer. Random numbers are hashes of the id, so reruns agree.
+odds divided by their inclusion odds; the sample is fixed in size, counted in words: going down that order, each document is taken that still
+fits into what is left of the target. This is done in runs: a run takes, of the documents no larger than what is left at its start, the longest stretch that
+fits; the next run goes on behind the document that did not fit, until what is left is under a thousandth of the target or no document
+fits any more. Random numbers are hashes of the id, so reruns agree.
 
 Cases: null or empty texts have size 0; a null source is a source of its own, last in order; a null id ranks as any other
-value; repeated rows rank alike and are decided alike; a source without words has target 0 and nothing of it is taken; an
+value; repeated rows rank alike and are decided alike (both count, so a target smaller than the two takes neither); a source without words has target 0 and nothing of it is taken; an
 empty table gives an empty result. Other columns of the input stay as they are in ``mixed`` and are dropped in ``decided``.
 """
 
@@ -17,20 +18,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import cut, picked, prepared, word_count
+from lodestone.llm._base import cut, partition_offsets, picked, prepared, word_count
 
-#: Bits of the order's value that one step of the search for the cut reads, and the steps.
-BITS, STEPS = 12, 3
-#: Documents added at most after the prefix, and the gap (as a share of the target) that needs none.
-TOPS, NEAR = 8, 0.001
+#: Bits of the order's value that one step of the search for a run's end reads, and the steps.
+BITS, STEPS = 18, 2
+#: The gap (as a share of the target) that needs no further run.
+NEAR = 0.001
 #: A plan of so many sources or fewer is broadcast (under 20 MB); a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """(source, source_size) to these and ``target``: shares of all sizes by weight, at most cap times a source's size, the excess
-    given to the others by weight until none is above. Sources take the weights in turn by code point, null last."""
-    rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
+    given to the others by weight until none is above. Sources take the weights in turn by code point, null last; their ranks are places in range partitions
+    plus the rows of those before."""
+    order = F.col("source").isNull(), F.col("source")
+    sources = cut(sources.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    sources = sources.withColumn("pid", F.shiftright("at", 33))
+    before = partition_offsets(sources.groupBy("pid").agg(F.count("*").alias("n"))).select("pid", "before")
+    sources = sources.join(before, "pid")
+    rank = F.col("before") + F.col("at") - F.shiftleft("pid", 33)
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (rank % len(weights) + 1).cast("int"))
     ranked = cut(sources.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(cap)).alias("most")))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
@@ -54,51 +61,53 @@ def order_code(key: Column, chance: Column, seed: int) -> Column:
 
 
 def plan(sized: DataFrame, key: str, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 20) -> DataFrame:
-    """sized: key, source, size. One row a source: source_size, target, whole (certain copies), chance, and what the sample holds: codes under
-    ``below`` and the documents in ``tops``.
+    """sized: key, source, size. One row a source: source_size, target, whole (certain copies), chance, and the sample as ``runs``: documents with a code from
+    ``low`` to below ``high`` and at most ``most`` words.
 
-    The search for the cut sums words by 4096 ranges of the order's value in each source, takes the ranges that fit and goes on
-    inside the next one; no task holds the rows of a source.
+    The search for a run's end sums words by ranges of the order's value in each source, and again inside the range that does not fit; no task holds the rows of
+    a source. Documents of equal code are taken together or not at all.
     """
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goals = cut(goals.select("source", "source_size", "target", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("chance")))
     rows = sized.alias("d").join(goals.alias("g"), F.expr("d.source <=> g.source")).select(
-        F.col("d.source").alias("source"), F.col(f"d.{key}").alias("key"), "size", order_code(F.col(f"d.{key}"), F.col("chance"), seed).alias("code"))
-    rows = cut(rows)
-    state = goals.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix"))
-    for step in range(1, STEPS + 1):
-        low = BITS * (STEPS - step)
-        inside = rows.alias("r").join(state.alias("s"), F.expr(f"r.source <=> s.source AND shiftright(r.code, {low + BITS}) = s.prefix"))
-        sums = inside.groupBy(F.col("r.source").alias("source"), "left", "prefix", F.shiftright("code", low).bitwiseAND(F.lit((1 << BITS) - 1)).alias("bin")).agg(F.sum("size").alias("words"))
-        sums = sums.withColumn("run", F.sum("words").over(W.partitionBy("source").orderBy("bin")))
-        fits = F.col("run") <= F.col("left")
-        state = cut(sums.groupBy("source").agg(
-            (F.first("left") - F.coalesce(F.max(F.when(fits, F.col("run"))), F.lit(0))).alias("left"),
-            (F.first("prefix") * (1 << BITS) + F.coalesce(F.min(F.when(~fits, F.col("bin"))), F.lit(0))).alias("prefix")))
-    state = cut(state.join(goals.select(F.col("source").alias("of"), "target"), F.expr("source <=> of")).select("source", "left", "prefix", (F.col("target") * F.lit(NEAR)).alias("near"), F.array().cast("array<struct<code:bigint,key:" + rows.schema["key"].dataType.simpleString() + ">>").alias("tops")))
-    for _ in range(TOPS):
-        open_ = state.where("left > near")
+        F.col("d.source").alias("source"), "size", order_code(F.col(f"d.{key}"), F.col("chance"), seed).alias("code"))
+    rows, end = cut(rows.where("size > 0")), 1 << BITS * STEPS
+    state = goals.select("source", (F.col("target") * F.lit(NEAR)).alias("near"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"),
+        F.lit(0).cast("long").alias("low"), F.array().cast("array<struct<low:bigint,high:bigint,most:double>>").alias("runs"))
+    state = cut(state)
+    while True:
+        open_ = state.where(f"left > near AND left >= 1 AND low < {end}")
         if open_.isEmpty():
             break
-        rest = rows.alias("r").join(open_.alias("s"), F.expr("r.source <=> s.source"))
-        rest = rest.where("code >= prefix AND abs(left - size) < left AND NOT exists(tops, t -> t.code = r.code AND t.key <=> r.key)")
-        top = rest.groupBy(F.col("r.source").alias("source")).agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), F.col("size").alias("size"), F.struct("code", "key").alias("doc"))).alias("top"))
-        added = state.alias("s").join(top.alias("t"), F.expr("s.source <=> t.source"), "left")
-        was, state = state, cut(added.select("s.source", (F.col("left") - F.coalesce(F.col("top.size"), F.lit(0))).alias("left"), "prefix", "near", F.when(F.col("top").isNull(), F.col("tops")).otherwise(F.concat("tops", F.array("top.doc"))).alias("tops")))
-        if state.agg(F.sum("left")).first() == was.agg(F.sum("left")).first():
-            break
+        # first: what the run takes up to the range looked into, and that range (null: the run goes to the end)
+        found = open_.select("source", F.col("left").cast("double").alias("most"), "low", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("prefix"))
+        for step in range(1, STEPS + 1):
+            shift = BITS * (STEPS - step)
+            inside = rows.alias("r").join(found.alias("s"), F.expr(f"r.source <=> s.source AND shiftright(r.code, {shift + BITS}) = s.prefix AND r.code >= s.low AND r.size <= s.most"))
+            sums = inside.groupBy(F.col("r.source").alias("source"), F.shiftright("r.code", shift).alias("bin")).agg(F.sum("size").alias("words"), F.first("taken").alias("taken"), F.first("most").alias("most"))
+            sums = sums.withColumn("run", F.col("taken") + F.sum("words").over(W.partitionBy("source").orderBy("bin")))
+            fits = F.col("run") <= F.col("most")
+            ends = sums.groupBy("source").agg(F.max(F.when(fits, F.col("run"))).alias("run"), F.min(F.when(~fits, F.col("bin"))).alias("bin"))
+            found = cut(found.alias("s").join(ends.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.source", "most", "low", F.coalesce("run", "taken").alias("taken"), F.when(F.col("prefix").isNotNull(), F.col("bin")).alias("prefix")))
+        high = F.coalesce("prefix", F.lit(end))
+        run = F.struct("low", high.alias("high"), "most")
+        was = found.select(F.col("source").alias("of"), "taken", run.alias("run"), (high + 1).alias("next"))
+        state = state.join(was, F.expr("source <=> of"), "left").select("source", "near", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), F.coalesce("next", "low").alias("low"),
+            F.when(F.col("taken") > 0, F.array_append("runs", F.col("run"))).otherwise(F.col("runs")).alias("runs"))
+        state = cut(state)
     out = goals.alias("g").join(state.alias("s"), F.expr("g.source <=> s.source"))
-    return cut(out.select("g.source", "source_size", "target", "whole", "chance", F.col("prefix").alias("below"), "tops"))
+    return cut(out.select("g.source", "source_size", "target", "whole", "chance", "runs"))
 
 
-def _copies(df: DataFrame, key: str, source: str, made: DataFrame, seed: int) -> DataFrame:
+def _copies(df: DataFrame, key: str, source: str, size: Column, made: DataFrame, seed: int) -> DataFrame:
     """df with the plan's columns and ``_copies``."""
     made = made.select(*(F.col(c).alias(f"_mix_{c}") for c in made.columns))
     made = F.broadcast(made) if made.count() <= BROADCAST_SOURCES else made
     out = df.join(made, df[source].eqNullSafe(made["_mix_source"]))
     code = order_code(F.col(key), F.col("_mix_chance"), seed)
-    chosen = (code < F.col("_mix_below")) | F.exists("_mix_tops", lambda t: (t["code"] == code) & t["key"].eqNullSafe(F.col(key)))
+    out = out.withColumn("_code", code)
+    chosen = F.exists("_mix_runs", lambda r: (F.col("_code") >= r["low"]) & (F.col("_code") < r["high"]) & (size <= r["most"]))
     return out.withColumn("_copies", F.col("_mix_whole") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0))
 
 
@@ -110,7 +119,7 @@ def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     """One row a document: key, size, source_size, target, copies, taken (words, repeats counted)."""
     prepared(docs.sparkSession)
     sized = cut(_sized(docs, key, text, source))
-    out = _copies(sized, "key", "source", plan(sized, "key", weights, cap, seed), seed)
+    out = _copies(sized, "key", "source", F.col("size"), plan(sized, "key", weights, cap, seed), seed)
     return out.select(F.col("key").alias(key), "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), F.col("_copies").alias("copies"), (F.col("size") * F.col("_copies")).alias("taken"))
 
 
@@ -120,5 +129,5 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     made = plan(cut(_sized(docs, key, text, source)), "key", weights, cap, seed)
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]
-    out = _copies(docs.toDF(*plain), plain[names.index(key)], plain[names.index(source)], made, seed)
+    out = _copies(docs.toDF(*plain), plain[names.index(key)], plain[names.index(source)], word_count(F.col(plain[names.index(text)])), made, seed)
     return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*plain).toDF(*names)

@@ -646,6 +646,27 @@ def test_mixing(spark, none):
         taken[source] = taken.get(source, 0) + r["taken"]
         assert r["taken"] <= 3 * r["size"]
     assert all(abs(taken[s] - t) <= max(0.01 * t, 3) for s, t in want.items())
+    # by hand: down the order, each group of equal codes that still fits
+    chances = {s: (want[s] / sizes[s]) % 1 if sizes[s] else 0 for s in sizes}
+    codes = df.select("doc_id", "source", "text", F.col("doc_id").alias("k")).withColumn("chance", F.lit(0.0))
+    codes = codes.withColumn("chance", F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(s)), F.lit(float(c))) for s, c in chances.items())))
+    codes = codes.select("doc_id", "source", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("size"), mixing.order_code(F.col("doc_id"), F.col("chance"), 20).alias("code")).collect()
+    chosen = []
+    for s in sizes:
+        groups, left = {}, want[s] - int(want[s] / sizes[s] if sizes[s] else 0) * sizes[s]
+        for r in codes:
+            if r["source"] == s and r["size"]:
+                groups.setdefault(r["code"], []).append(r)
+        near = want[s] * mixing.NEAR
+        for code in sorted(groups):
+            total = sum(r["size"] for r in groups[code])
+            if total <= left and left > near and left >= 1:
+                left -= total
+                chosen += [(str(r["doc_id"]), r["size"]) for r in groups[code]]
+    extra = sorted((str(r["doc_id"]), r["size"]) for r in got if r["size"] and r["copies"] > int(r["target"] / r["source_size"]))
+    # a run ends when little is left, by hand the walk ends inside one: what is taken beyond is no more than that
+    missing, added = set(chosen) - set(extra), set(extra) - set(chosen)
+    assert not missing and sum(x[1] for x in added) <= sum(max(1, t * mixing.NEAR) for t in want.values())
     out = mixing.mixed(df.withColumn("_copies", F.lit("mine")))
     assert out.columns == [*df.columns, "_copies"] and out.count() == sum(r["copies"] for r in got) == out.where("_copies = 'mine'").count()
     assert mixing.decided(none).count() == mixing.mixed(none).count() == 0
