@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm._base import cut, partition_offsets, picked, prepared, word_count
 
 #: Bits of the order's value that one step of the search for a run's end reads, and the steps.
-BITS, STEPS = 18, 2
+BITS, STEPS = 12, 3
 #: The gap (as a share of the target) that needs no further run.
 NEAR = 0.001
 #: A plan of so many sources or fewer is broadcast (under 20 MB); a larger one is joined by shuffle.
