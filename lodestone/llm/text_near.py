@@ -1,20 +1,22 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Weights: ``(1 + ln times) * (1 + IDF_SHARE * idf)``, where idf runs from 0 (in every text) to 1 and comes from a table of fixed size: over all documents Spark counts
-in how many texts the shingles of each of 2**DF_BITS hash values occur. Each text gets BANDS * ROWS consistent weighted samples: for a shingle of
+in how many texts the shingles of each of 2**DF_BITS hash values occur, and takes off what others than the shingle itself add to its counter on average. Each text gets BANDS * ROWS consistent weighted samples: for a shingle of
 weight w and draws r, c ~ Gamma(2, 1), b ~ U(0, 1) from its hash, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1), and the
 smallest a wins. As a is a function of the winner and its t, its bits stand for the sample, and two texts agree in one with the probability of
 their weighted Jaccard similarity s; some band of ROWS agrees with 1 - (1 - s**ROWS)**BANDS, 0.9998 at 0.8.
 
 Equal texts are one class. Texts that share a band are compared with two leaders of that band; what agrees is linked. In bands whose texts are not all
-connected by then, the samples of all texts meet, in tiles of bounded size. The texts of those with an unconnected partner that agrees in AGREE of
-the samples (of similar pairs all but 2 in 100,000 do) meet once more in such tiles, each pair in the first band that it shares, and are
+connected by then, all texts meet: first split by their whole weight (of two texts with a similarity of LEAST the lighter weighs at least LEAST of the heavier, so
+they are in the same or in neighbouring classes of weight), then in tiles of bounded size. For a pair that is still unconnected, a bound comes first: the sum over SKETCH
+buckets of the smaller of both texts' weights there is no less than the weight that they share, so a pair that it keeps below LEAST is dissimilar for certain.
+The texts of the pairs left meet once more in such tiles, each pair in the first band that it shares, and are
 compared unless links have connected them meanwhile. So every pair that shares a band is connected, compared, or surely dissimilar; none is capped,
 and no task or frame holds a group's pairs. A link needs a weighted Jaccard similarity of LEAST, computed from the whole texts.
 
 Cases: a null text is empty; texts without words link only with equal texts (all empty texts are equal); each distinct text is one node, whatever keys
-its rows have, so a key with two texts may be in two classes; a null key gets its text's class but can name none; an empty table gives an empty
-result. Other columns stay as they are.
+its rows have, so a key with two texts may be in two classes; a null key gets its text's class but can name none; keys may be of any type that has an
+order; an empty table gives an empty result. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import components, cut, dense_rows, dense_sum, picked, prepared, small_batches
+from lodestone.llm._base import components, cut, dense_rows, dense_sum, picked, prepared, small_batches, table
 from lodestone.llm.shingles import distinct, shingles, text_slices
 
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
-#: Samples of BANDS * ROWS that a pair must share to be compared, and texts of a band in one block of a tile.
-AGREE, BLOCK = 18, 512
-TILE = ["band", "lo", "hi"]
+#: Buckets of the weights' sketch, and texts (or bytes of them) of a band and class of weight in one block of a tile.
+SKETCH, BLOCK, BLOCK_BYTES = 128, 512, 1 << 24
+TILE = ["band", "cell", "lo", "hi"]
 #: So many ids or fewer are broadcast, with keys and hashes (about 100 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(5)
@@ -56,8 +58,11 @@ def _tables() -> list[np.ndarray]:
 
 
 def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    """IDF from 0 to 1 by hash value, of n texts."""
-    return np.log((1 + n) / np.minimum(1 + counts, 1 + n)) / np.log(1 + max(n, 1)) if n else np.zeros(len(counts))
+    """IDF from 0 to 1 by hash value, of n texts: a counter less what the other shingles put into one on average, 1 at least."""
+    if not n:
+        return np.zeros(len(counts))
+    own = np.maximum(1, counts - (counts.sum() - counts) / max(1, len(counts) - 1))
+    return np.log((1 + n) / np.minimum(1 + own, 1 + n)) / np.log((1 + n) / 2 if n > 1 else 2)
 
 
 def weights(shingle: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -98,19 +103,42 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from dense_rows(np.append(total, n))
 
 
-def _banding(idf: np.ndarray):
+def sketches(shingle: np.ndarray, weight: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Weights of each of n texts' shingles by bucket."""
+    bucket = ((shingle * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SKETCH
+    return np.bincount(doc * SKETCH + bucket, weight, minlength=n * SKETCH).reshape(n, SKETCH).astype(np.float32)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of sketches can be of texts with a similarity of least. Sums of neighbouring buckets bound it too, and come first."""
+    maybe = np.arange(len(a))
+    for buckets in (8, SKETCH):
+        for k in range(0, len(maybe), 1 << 14):
+            own = maybe[k : k + (1 << 14)]
+            x, y = (v[own].reshape(len(own), buckets, -1).sum(axis=2) for v in (a, b))
+            both, total = np.minimum(x, y).sum(axis=1), x.sum(axis=1) + y.sum(axis=1)
+            maybe[k : k + (1 << 14)] = np.where(both * (1 + 1e-4) >= least * (total - both), own, -1)
+        maybe = maybe[maybe >= 0]
+    return maybe
+
+
+def _banding(idf: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.log(1 / least) * (1 + 1e-5)
         for batch in batches:
             bands: list[bytes | None] = [None] * len(batch)
+            weight, level = list(bands), np.zeros(len(batch), np.int32)
             for a, _, data, offsets in text_slices(batch.column("text")):
                 doc, shingle, times = distinct(*shingles(data, offsets))
                 if not len(doc):
                     continue
                 starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                got = samples(shingle, weights(shingle, times, idf), starts)
-                for row, own in zip(doc[starts].tolist(), got, strict=True):
-                    bands[a + row] = own.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), pa.array(bands, pa.binary())], ["key", "hash", "samples"])
+                own = weights(shingle, times, idf)
+                got, heavy = samples(shingle, own, starts), sketches(shingle, own, doc, int(doc[-1]) + 1)
+                for row, marks in zip(doc[starts].tolist(), got, strict=True):
+                    bands[a + row], weight[a + row] = marks.tobytes(), heavy[row].tobytes()
+                level[a + doc[starts]] = np.floor(np.log(heavy[doc[starts]].sum(axis=1)) / width)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hash"), batch.column("size"), pa.array(bands, pa.binary()), pa.array(weight, pa.binary()), pa.array(level)], ["key", "hash", "size", "samples", "sketch", "level"])
 
     return run
 
@@ -130,43 +158,51 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _partners(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of unconnected texts that agree in AGREE samples and share no band before this one."""
+def _partners(tile: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of unconnected texts that may be similar and share no band before this one. Of the lighter class of weight in a cell, no two are paired."""
     own, lo, hi = (tile.column(c).to_numpy() for c in ("own", "lo", "hi"))
     component, at = tile.column("component").to_numpy(), int(tile.column("k")[0].as_py())
     marks = np.frombuffer(b"".join(tile.column("samples").to_pylist()), np.uint32).reshape(len(own), -1)
+    light = tile.column("level").to_numpy() < tile.column("cell").to_numpy()
     left = np.flatnonzero(own == lo)
     right = left if lo[0] == hi[0] else np.flatnonzero(own == hi)
-    equal = np.zeros((len(left), len(right)), np.uint8)
-    before = np.zeros(equal.shape, bool)
-    for k in range(BANDS):
-        band = np.ones(equal.shape, bool)
+    open_ = (component[left][:, None] != component[right][None, :]) & ~(light[left][:, None] & light[right][None, :])
+    if lo[0] == hi[0]:
+        open_ = np.triu(open_, 1)
+    for k in range(at if open_.any() else 0):
+        band = open_.copy()
         for r in range(ROWS):
-            same = marks[left, k * ROWS + r][:, None] == marks[right, k * ROWS + r][None, :]
-            equal += same
-            band &= same
-        if k < at:
-            before |= band
-    i, j = np.nonzero((equal >= AGREE) & ~before & (component[left][:, None] != component[right][None, :]))
+            band &= marks[left, k * ROWS + r][:, None] == marks[right, k * ROWS + r][None, :]
+        open_ &= ~band
+    i, j = np.nonzero(open_)
+    if not len(i):
+        return i, j
+    heavy = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), np.float32).reshape(len(own), -1)
     i, j = left[i], right[j]
-    once = (i < j) if lo[0] == hi[0] else np.ones(len(i), bool)
-    return i[once], j[once]
+    found = [np.zeros(0, np.int64)]
+    for k in range(0, len(i), 1 << 16):
+        found.append(k + may_be_similar(heavy[i[k : k + (1 << 16)]], heavy[j[k : k + (1 << 16)]], least))
+    at = np.concatenate(found)
+    return i[at], j[at]
+
 
+def _with_partners(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of tiles that have a partner there."""
+        for tile in _tiles(batches):
+            if len(tile) > 1:
+                i, j = _partners(tile, least)
+                if len(i):
+                    yield from tile.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
 
-def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of tiles that have a partner there."""
-    for tile in _tiles(batches):
-        if len(tile) > 1:
-            i, j = _partners(tile)
-            if len(i):
-                yield from tile.take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+    return run
 
 
 def _linking(idf: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links that connect what is similar in each tile; pairs that they connect already are not compared."""
         for tile in _tiles(batches):
-            i, j = _partners(tile)
+            i, j = _partners(tile, least)
             sets: list[tuple[np.ndarray, np.ndarray]] = []
             for s, e, data, offsets in text_slices(tile.column("text").combine_chunks()) if len(i) else ():
                 doc, shingle, times = distinct(*shingles(data, offsets))
@@ -251,38 +287,49 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndar
 
 
 def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
-    """Links (a, b) between texts of one band that label (k, band, id, component) has in different components."""
-    mixed = label.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    mixed = cut(mixed.where("low < high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks")))
-    tiles = label.join(mixed, "band").join(equal.select("id", "samples"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    """Links (a, b) between texts of one band and neighbouring classes of weight that label (k, band, id, component) has in different components."""
+    placed = label.join(equal.select("id", "level", "size"), "id").withColumn("cell", F.explode(F.array("level", F.col("level") + 1)))
+    heavy = F.max(F.col("level") == F.col("cell"))
+    cells = placed.groupBy("band", "cell").agg(F.min("component").alias("low"), F.max("component").alias("high"), heavy.alias("some"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    mixed = cells.where("low < high AND some").select("band", "cell", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("blocks"))
+    tiles = placed.join(cut(mixed), ["band", "cell"]).join(equal.select("id", "samples", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = tiles.select("k", "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "samples")
+    tiles = tiles.select("k", "band", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "level", "samples", "sketch")
     dealt = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
-    close = cut(dealt.mapInArrow(_with_partners, tiles.schema))
+    close = cut(dealt.mapInArrow(_with_partners(least), tiles.schema))
     moved = _moved(cut(nodes.join(close.select("id").distinct(), "id")), texts)
     close = close.join(moved, "id").select(*tiles.columns, "text").repartition(*TILE).sortWithinPartitions(*TILE)
     with small_batches(close.sparkSession):
         return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
 
 
+def _plain(docs: DataFrame, **roles: str) -> DataFrame:
+    """Columns by role; a key that is a whole number is a long."""
+    out = picked(docs, **roles)
+    return out.withColumn("key", F.col("key").cast("long")) if isinstance(out.schema["key"].dataType, T.IntegralType) else out
+
+
 def _numbered(equal: DataFrame) -> DataFrame:
-    """equal (hash, key: the smallest, samples) with ``id``: the key, or where some text has none of its own, a number by key and hash."""
-    shared = equal.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    if equal.where("key is null").isEmpty() and shared.isEmpty():
-        return equal.withColumn("id", F.col("key"))
+    """equal (hash, key: the smallest, samples) with ``id``: the key, or where keys are no whole numbers or some text has none of its own, a number by key and hash."""
+    if isinstance(equal.schema["key"].dataType, T.LongType):
+        shared = equal.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        if equal.where("key is null").isEmpty() and shared.isEmpty():
+            return equal.withColumn("id", F.col("key"))
     return cut(equal.orderBy(F.col("key").asc_nulls_last(), "hash").withColumn("id", F.monotonically_increasing_id()))
 
 
 def _grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, hash of the text) and one row a distinct text: of (its hash), component, exact_id (smallest key), class_id (smallest key of its group), n_links."""
+    """Rows (key, hash of the text) and one row a distinct text: of (its hash), component, exact_id (smallest key), class_id (smallest key of its group)."""
     prepared(docs.sparkSession)
-    plain = picked(docs, key=key, text=text).select(F.col("key").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = _plain(docs, key=key, text=text).select("key", F.coalesce("text", F.lit("")).alias("text"))
     counted = dense_sum(plain.select("text").mapInArrow(_counting, "slice int, pid int, counts binary"), (1 << DF_BITS) + 1)
     idf = idf_table(counted[:-1], int(counted[-1])).astype(np.float32)
     hashed = plain.select("key", F.md5("text").alias("hash"), "text")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("samples", T.BinaryType())])
-    rows = cut(hashed.mapInArrow(_banding(idf), schema))
-    equal = _numbered(cut(rows.groupBy("hash").agg(F.min("key").alias("key"), F.first("samples").alias("samples"))))
+    kind, sized = plain.schema["key"].dataType, hashed.withColumn("size", F.octet_length("text").cast("long"))
+    own = [("size", T.LongType()), ("samples", T.BinaryType()), ("sketch", T.BinaryType()), ("level", T.IntegerType())]
+    schema = T.StructType([T.StructField("key", kind), T.StructField("hash", T.StringType()), *(T.StructField(*x) for x in own)])
+    rows = table(sized.mapInArrow(_banding(idf, least), schema))
+    equal = _numbered(table(rows.groupBy("hash").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c, _ in own))))
     nodes = equal.select("id", F.col("key").alias("of_key"), F.unhex("hash").alias("of_hash"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("samples", k * 4 * ROWS + 1, 4 * ROWS)))
     members = equal.where("samples is not null").select("id", F.posexplode(bands).alias("k", "band"))
@@ -297,18 +344,17 @@ def _grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFr
     label = members.withColumn("component", F.col("id")) if group is None else members.join(group, members["id"] == group["node"], "left").select("k", "band", "id", F.coalesce("component", "id").alias("component"))
     links = cut(links.union(_rest(cut(label), equal, hashed, nodes, idf, least)))
     group = components(links)
-    count = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    own = equal.select("hash", "key", "id").join(group.withColumnRenamed("node", "id"), "id", "left").join(count.withColumnRenamed("node", "id"), "id", "left")
-    own = cut(own.select(F.col("hash").alias("of"), F.col("key").alias("exact_id"), F.coalesce("component", "id").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    own = equal.select("hash", "key", "id").join(group.withColumnRenamed("node", "id"), "id", "left")
+    own = cut(own.select(F.col("hash").alias("of"), F.col("key").alias("exact_id"), F.coalesce("component", "id").alias("component")))
     smallest = own.groupBy("component").agg(F.min("exact_id").alias("class_id"))
     return rows.select("key", "hash"), cut(own.join(smallest, "component"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group), n_links (distinct other texts it was found similar to) and kept."""
+    """One row a document: key, exact_id (smallest key of its equal texts), class_id (smallest key of its group) and kept."""
     rows, named = _grouped(docs, key, text, least)
     out = rows.join(named, F.col("hash") == F.col("of"))
-    return out.select(F.col("key").alias(key), "exact_id", "class_id", "n_links", F.coalesce(F.col("key") == F.col("class_id"), F.lit(False)).alias("kept"))
+    return out.select(F.col("key").alias(key), "exact_id", "class_id", F.coalesce(F.col("key") == F.col("class_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
@@ -320,11 +366,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     gone = cut(judged.where("of is null or n > 1").select(F.col("key").alias("_key"), F.unhex("hash").alias("_hash"), F.col("of").isNotNull().alias("_repeated")))
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key_at, text_at = f"c{names.index(key)}", f"c{names.index(text)}"
+    key_at, text_at = F.col(f"c{names.index(key)}").cast(rows.schema["key"].dataType), f"c{names.index(text)}"
 
     def met(those: DataFrame, how: str) -> DataFrame:
         those = F.broadcast(those) if those.count() <= BROADCAST_IDS else those
-        same = (F.unhex(F.md5(F.coalesce(text_at, F.lit("")))) == F.col("_hash")) & F.col(key_at).cast("long").eqNullSafe(F.col("_key"))
+        same = (F.unhex(F.md5(F.coalesce(text_at, F.lit("")))) == F.col("_hash")) & key_at.eqNullSafe(F.col("_key"))
         return plain.join(those, same, how)
 
     out = met(gone, "left_anti")

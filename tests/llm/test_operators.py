@@ -422,16 +422,65 @@ def test_samples_agree_as_similarity():
 def test_unconnected_texts_meet_in_tiles():
     import pyarrow as pa
 
-    marks = [np.full(36, v, np.uint32).tobytes() for v in (1, 1, 2, 1)]
+    from lodestone.llm.shingles import distinct, shingles, text_slices
+
     text = " ".join(f"w{i}" for i in range(40))
-    columns = {"k": [0] * 4, "band": [7] * 4, "lo": [0] * 4, "hi": [0] * 4, "own": [0] * 4, "id": [1, 2, 3, 4], "component": [1, 2, 3, 1], "samples": marks, "text": [text, text + " more", "other", "else entirely"]}
+    texts, idf = [text, text + " more", "other", "else entirely"], np.zeros(1 << text_near.DF_BITS, np.float32)
+    (_, _, data, offsets), *_ = text_slices(pa.array(texts))
+    doc, shingle, times = distinct(*shingles(data, offsets))
+    heavy = [x.tobytes() for x in text_near.sketches(shingle, text_near.weights(shingle, times, idf), doc, 4)]
+    marks = [np.full(36, v, np.uint32).tobytes() for v in (1, 1, 1, 1)]
+    columns = {"k": [0] * 4, "band": [7] * 4, "cell": [16] * 4, "lo": [0] * 4, "hi": [0] * 4, "own": [0] * 4, "id": [1, 2, 3, 4], "component": [1, 2, 3, 1], "level": [16] * 4, "samples": marks, "sketch": heavy, "text": texts}
     batch = pa.RecordBatch.from_pydict(columns)
-    kept = pa.Table.from_batches(list(text_near._with_partners(iter([batch.slice(0, 2), batch.slice(2)]))))
-    assert kept.column("id").to_pylist() == [1, 2, 4]
-    idf = np.zeros(1 << text_near.DF_BITS, np.float32)
+    kept = pa.Table.from_batches(list(text_near._with_partners(0.8)(iter([batch.slice(0, 2), batch.slice(2)]))))
+    assert kept.column("id").to_pylist() == [1, 2]
     found = pa.Table.from_batches(list(text_near._linking(idf, 0.8)(iter(kept.to_batches()))))
     assert found.to_pylist() == [{"a": 1, "b": 2}]
-    assert list(text_near._with_partners(iter([batch.set_column(0, "k", pa.array([1] * 4))]))) == []
+    # met in an earlier band, connected already, or both in the lighter class
+    for name, values in (("k", [1] * 4), ("component", [1] * 4), ("cell", [17] * 4)):
+        at = batch.schema.get_field_index(name)
+        assert list(text_near._with_partners(0.8)(iter([batch.set_column(at, name, pa.array(values))]))) == []
+
+
+def test_sketches_bound_similarity():
+    rng, idf = np.random.default_rng(4), np.zeros(1 << text_near.DF_BITS, np.float32)
+    for n in (3, 40, 900):
+        for share in (0.5, 0.75, 0.8, 0.85, 1.0):
+            common = rng.integers(1, 1 << 44, int(n * share) + 1, dtype=np.uint64)
+            sets = [np.unique(np.append(common, rng.integers(1, 1 << 44, n - int(n * share), dtype=np.uint64))) for _ in range(2)]
+            own = [rng.uniform(1, 3, len(x)) for x in sets]
+            total = sum(float(w.sum()) for w in own)
+            heavy = [text_near.sketches(x, w, np.zeros(len(x), np.int64), 1) for x, w in zip(sets, own, strict=True)]
+            for least in (0.5, 0.6, 0.8):
+                if text_near.similar(sets[0], own[0], sets[1], own[1], total, least):
+                    assert len(text_near.may_be_similar(*heavy, least)) == 1
+    far = [text_near.sketches(rng.integers(1, 1 << 44, 100, dtype=np.uint64), np.ones(100), np.zeros(100, np.int64), 1) for _ in range(2)]
+    assert len(text_near.may_be_similar(*far, 0.8)) == 0 and idf.sum() == 0
+
+
+def test_idf_takes_collisions_off():
+    rng = np.random.default_rng(5)
+    counts = rng.poisson(1000, 1 << 12).astype(np.int64)
+    counts[7] += 40_000
+    idf = text_near.idf_table(counts, 50_000)
+    assert idf[7] < 0.1 < 0.5 < np.median(np.delete(idf, 7)) <= 1 and text_near.idf_table(np.ones(8, np.int64), 1).max() <= 1
+    assert text_near.idf_table(np.zeros(8, np.int64), 0).sum() == 0
+
+
+def test_one_band_of_many_unconnected_texts(spark, words, monkeypatch):
+    """More texts than a block in one band, alike in a passage only; the similar ones among them are found."""
+    monkeypatch.setattr(text_near, "BLOCK", 16)
+    vocabulary, rng = words
+    common = " ".join(rng.choice(vocabulary) for _ in range(120))
+    texts = []
+    for _ in range(60):
+        texts.append(common + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.choice([20, 60, 150]))))
+    texts += [t + " tail" for t in texts[::7]]
+    df = spark.createDataFrame([(f"k{i:03d}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in text_near.classes(df).collect()}
+    for i in range(60, len(texts)):
+        assert rows[f"k{i:03d}"]["class_id"] == rows[f"k{(i - 60) * 7:03d}"]["class_id"]
+    assert {r["doc_id"] for r in text_near.deduplicated(df).collect()} == {k for k, r in rows.items() if r["kept"]}
 
 
 # op6
