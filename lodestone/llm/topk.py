@@ -1,13 +1,14 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Candidates are grouped by length (powers of ``RATIO``); a bucket above ``BLOCK`` rows is dealt into blocks, so no task holds an unbounded
-group. The longest rows give each query a first k-th score. Then every block meets every query block: from the query's
+group. The longest rows give each query a first k-th score, and that the length a candidate must have at least. Queries that need alike lengths share a part, and
+pairs of parts and blocks are chosen by these lengths before any vector moves. In a task, from the query's
 k-th score and the block's longest row comes the cosine a candidate needs at least; above 1 the block is skipped for that query.
 Otherwise the block prunes by length (a candidate must have length >= score / |query|) or, where the cosine needed is high, by the query's largest
 coordinate (on which a unit vector with that cosine can only lie in a narrow range). What is left is verified by exact products.
 
 Cases: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; zero vectors do; rows that repeat an id
-are candidates each, but never of a query of the same id; fewer than k candidates give fewer rows; ties go to the smaller id.
+are candidates each, but never of a query of the same id, and queries that repeat an id share one ranking of all their scores; fewer than k candidates give fewer rows; ties go to the smaller id.
 Vectors shorter than others count as padded by zeros.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm._base import cut, prepared
+from lodestone.llm._base import cut, picked, prepared
 
 BLOCK, QUERIES, RATIO = 4096, 2048, 1.05
 #: From this cosine on, a block prunes by coordinate.
@@ -94,42 +95,53 @@ def _task(k: int):
     return run
 
 
+def _salted(rows: DataFrame, by: str, salt: str, most: int) -> DataFrame:
+    """rows with ``salt``, so that (by, salt) has about ``most`` rows."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    return rows.join(sizes, by).withColumn(salt, F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / most))).drop("_n")
+
+
 def search(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0) -> DataFrame:
-    """Rows where is_query holds against all rows but their own id: query_id, rank, vec_id, score; of vectors floor(scale * x)."""
+    """Rows where is_query (a condition on the key) holds against all rows but their own id: query_id, rank, vec_id, score; of vectors floor(scale * x)."""
     prepared(vectors.sparkSession)
-    x = F.col(vector)
+    x = F.col("_vector")
     bad = F.coalesce(F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf")))), F.lit(True)) | F.col(key).isNull() | (F.size(x) < 1)
     whole = F.transform(x, lambda e: _floor(e, scale))
-    rows = vectors.where(~bad).select(F.col(key).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), whole.alias("v"))
+    rows = picked(vectors, **{key: key, "_vector": vector}).where(~bad).select(F.col(key).alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), whole.alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)
-    rows = cut(rows.withColumn("bucket", F.when(norm > 0, F.floor(F.log(norm) / 2 / F.log(F.lit(RATIO)))).otherwise(-1)))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    salted = rows.join(sizes, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)))
-    salted = cut(salted.select("id", "asks", "v", F.struct(F.col("bucket").alias("b"), F.col("salt").alias("s")).alias("block")))
-    blocks = cut(salted.groupBy("block").agg(F.count("*").alias("n")))
-    # the longest blocks that hold more than k rows together give each query its first k-th score
-    first = blocks.orderBy(F.desc("block")).limit(k + 1).withColumn("run", F.sum("n").over(W.orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1))).where(f"coalesce(run, 0) <= {k}").select("block")
-    asking = salted.where("asks").select("id", "v")
-    n = asking.count()
-    asking = asking.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // QUERIES)))))
-    parts = asking.select("part").distinct()
-    schema = "query_id long, vec_id long, score long"
-
-    def tiles(queries: DataFrame, wanted: DataFrame) -> DataFrame:
-        """Both sides meet in one task for each query block and candidate block."""
-        left = queries.crossJoin(wanted).select(F.col("part").alias("lp"), F.col("block").alias("lb"), F.col("id").alias("lid"), F.col("v").alias("lv"), "need")
-        right = salted.join(wanted, "block").crossJoin(parts).select(F.col("part").alias("rp"), F.col("block").alias("rb"), F.col("id").alias("rid"), F.col("v").alias("rv"))
-        return left.groupBy("lp", "lb").cogroup(right.groupBy("rp", "rb")).applyInPandas(_task(k), schema)
-
-    none = F.lit(None).cast("double").alias("need")
-    start = tiles(asking.select("part", "id", "v", none), cut(first))
+    rows = cut(rows.withColumn("norm", norm).withColumn("bucket", F.when(F.col("norm") > 0, F.floor(F.log("norm") / 2 / F.log(F.lit(RATIO)))).otherwise(-1)))
+    salted = cut(_salted(rows, "bucket", "salt", BLOCK))
+    blocks = cut(salted.groupBy("bucket", "salt").agg(F.count("*").alias("n")))
     by_query = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    start = start.withColumn("rank", F.row_number().over(by_query)).where(f"rank <= {k}")
-    kth = cut(start.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("need")))
-    asking = asking.join(kth, asking["id"] == kth["query_id"], "left").select("part", "id", "v", "need")
-    found = tiles(asking, blocks.select("block"))
-    found = found.withColumn("rank", F.row_number().over(by_query)).where(f"rank <= {k}")
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def met(queries: DataFrame, tiles: DataFrame) -> DataFrame:
+        """Both sides meet in one task for each of the tiles (least, part, bucket, salt): nothing moves but for these. The k best of each query."""
+        left = queries.join(tiles, ["least", "part"]).select(F.struct("least", "part", "bucket", "salt").alias("lt"), F.col("id").alias("lid"), F.col("v").alias("lv"), "need")
+        right = salted.join(tiles, ["bucket", "salt"]).select(F.struct("least", "part", "bucket", "salt").alias("rt"), F.col("id").alias("rid"), F.col("v").alias("rv"))
+        found = left.groupBy("lt").cogroup(right.groupBy("rt")).applyInPandas(_task(k), "query_id long, vec_id long, score long")
+        return found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+
+    asking = salted.where("asks").select("id", "v", "norm")
+    # the longest blocks that hold more than k rows together (k + 1 at most) give each query its first k-th score
+    first, held = [], 0
+    for r in blocks.orderBy(F.desc("bucket"), "salt").limit(k + 1).collect():
+        if held <= k:
+            first.append(F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["salt"]).alias("salt")))
+            held += r["n"]
+    everything = F.lit(-1).cast("long")
+    queries = _salted(asking.select("id", "v", F.lit(None).cast("double").alias("need"), everything.alias("least")), "least", "part", QUERIES)
+    start = F.explode(F.array(*first)) if first else F.explode(F.array().cast("array<struct<bucket:bigint,salt:bigint>>"))
+    tiles = queries.select("least", "part").distinct().select("least", "part", start.alias("b")).select("least", "part", "b.bucket", "b.salt")
+    kth = cut(met(queries, tiles).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("need")))
+    asking = asking.join(kth, asking["id"] == kth["query_id"], "left").select("id", "v", "need", "norm")
+    # no candidate shorter than need / |query| can come in; queries that need alike lengths share a part, and each part meets the blocks of its lengths
+    length = F.col("need") / F.sqrt("norm") * (1 - 1e-9)
+    least = F.when((F.col("need") > 0) & (F.col("norm") > 0) & (length >= 1), F.floor(F.log(length) / F.log(F.lit(RATIO)))).otherwise(everything)
+    queries = cut(_salted(asking.select("id", "v", "need", least.alias("least")), "least", "part", QUERIES))
+    most = blocks.agg(F.max("bucket")).first()[0]
+    lengths = F.explode(F.sequence(F.col("least"), F.greatest("least", F.lit(-1 if most is None else most).cast("long"))))
+    tiles = queries.select("least", "part").distinct().withColumn("bucket", lengths).join(blocks.select("bucket", "salt"), "bucket")
+    return met(queries, cut(tiles)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _floor(e: Column, scale: float) -> Column:

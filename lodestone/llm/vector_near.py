@@ -35,6 +35,7 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 def linked(left: np.ndarray, right: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows with cosine >= least in double precision; i < j where left and right are the same block."""
+    left, right = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1))[1][:, None]) for v in (left, right))  # so that no square leaves the range of doubles
     norm_l, norm_r = np.linalg.norm(left, axis=1), np.linalg.norm(right, axis=1)
     ql, sl, nl, el = quantised(left / norm_l[:, None])
     qr, sr, _, er = quantised(right / norm_r[:, None])
@@ -99,7 +100,7 @@ def near(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", lab
     bad = F.coalesce(F.exists(size, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))), F.lit(True)) | F.coalesce(F.forall(size, lambda x: x == 0), F.lit(True))
     plain = F.transform(size, lambda x: x.cast("double") + F.lit(0.0))  # makes -0.0 and 0.0 one value
     rows = vectors.select("vec", "label", F.when(~bad & F.col("label").isNotNull() & F.col("vec").isNotNull(), plain).alias("vector"))
-    rows = cut(rows.withColumn("hash", F.when(F.col("vector").isNotNull(), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>"), F.col("label").cast("string")), 256))))
+    rows = cut(rows.withColumn("hash", F.when(F.col("vector").isNotNull(), F.sha2(F.concat(F.concat_ws(",", F.col("vector").cast("array<string>")), F.lit("|"), F.col("label").cast("string")), 256))))
     good = rows.where("vector is not null")
     classes = cut(good.groupBy("hash").agg(F.min("vec").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")))
     blocks = classes.groupBy("label").agg(F.ceil(F.count("*") / block).alias("blocks"))

@@ -607,6 +607,13 @@ def test_near_vectors(spark):
     assert vector_near.near(df.limit(0)).count() == 0
 
 
+def test_near_vectors_far_from_one_and_text_labels(spark):
+    rows = [(1, [1e-200, 2e-200], "a,1"), (2, [1e200, 2.0001e200], "a,1"), (3, [1e-200, -2e-200], "a,1"), (4, [1.0, 2.0], "a"), (5, [1.0, 2.0, 1.0], "a"), (6, [3.0, 6.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").select("*", F.lit(1).alias("VEC_ID"), F.lit(1).alias("LABEL"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_near.near(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (0, 5), 6: (1, 4)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(6)
     v = rng.normal(size=(200, 32))
@@ -622,7 +629,7 @@ def test_topk(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 5])]) for i in range(400)]
     rows += [(400 + i, list(rows[3][1])) for i in range(40)] + [(500, None), (501, [float("inf")] * 8), (502, [0.0] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit(1).alias("score"), F.lit("x").alias("VEC_ID"), F.lit(2).alias("Embedding"))
     plain = [(i, np.floor(64 * np.array(v))) for i, v in rows if i is not None and i not in (500, 501)]
     got = {}
     for r in topk.search(df, F.col("vec_id") % 20 == 0).collect():
@@ -633,6 +640,8 @@ def test_topk(spark, monkeypatch):
             assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert len(topk.search(df.limit(5), F.col("vec_id") % 20 == 0).collect()) == 4
     assert topk.search(df.limit(0), F.lit(True)).count() == 0
+    plan = topk.search(df, F.col("vec_id") % 20 == 0)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
 def test_products_beyond_double():
@@ -728,3 +737,6 @@ def test_columns_that_differ_in_case_alone(spark):
     assert pii.redacted(df).columns == text_near.deduplicated(df).columns == mixing.mixed(df).columns == df.columns
     assert [tuple(r)[1] for r in pii.redacted(df).collect()][1] == "mail <EMAIL> now"
     assert packing.packed(df).count() == token_count.counted(df).count() == 2 and licenses.scanned(df).count() == 0
+    folder = token_store.new_folder(spark)
+    token_store.write(df, folder)
+    assert token_store.read(spark, folder).count() == 2
