@@ -23,8 +23,8 @@ def verdicts(outcome, column):
 
 @pytest.mark.parametrize(
     ("tree", "claims", "column"),
-    [(trees.APP, trees.APP_CLAIMS, "class"), (trees.TASKS, trees.TASKS_CURATED, "reason"), (trees.TASKS, trees.TASKS_GENERATED, "reason"), (trees.NOTES, trees.NOTES_CLAIMS, "reason"), (trees.CRATE, trees.CRATE_CLAIMS, "class")],
-    ids=["app", "tasks-curated", "tasks-generated", "notes", "crate"],
+    [(trees.APP, trees.APP_CLAIMS, "class"), (trees.FLEET, trees.FLEET_CLAIMS, "reason"), (trees.BOARD, trees.BOARD_CLAIMS, "reason"), (trees.LEDGER, trees.LEDGER_CLAIMS, "reason")],
+    ids=["app", "fleet", "board", "ledger"],
 )
 def test_verdicts(spark, tree, claims, column):
     outcome = analyzed(spark, tree, claims)
@@ -48,18 +48,18 @@ def test_app_baseline(spark):
     assert drift.strict_failures(drift.with_baseline(findings, baseline)).count() == 1
 
 
-def test_curated_undocumented(spark):
-    outcome = analyzed(spark, trees.TASKS, trees.TASKS_CURATED)
+def test_undocumented_edges_show_their_evidence(spark):
+    outcome = drift_check.analyze(*trees.frames(spark, trees.FLEET, trees.FLEET_CLAIMS), drift.Settings(min_imports=2))
     (row,) = outcome.findings.where("class = 'undocumented'").collect()
-    assert (row["from"], row["to"], row["detail"]) == ("src/services", "src/core", "4 import site(s)")
-    assert [(e["file"], e["line"]) for e in row["evidence"]] == [("src/services/mail.py", 2), ("src/services/mail.py", 3), ("src/services/report.py", 2)]
-    assert drift.coverage(outcome.findings).first()["ratio"] == round(8 / 11, 4)
+    assert (row["from"], row["to"], row["detail"]) == ("fleet/depot", "fleet/geo.py", "2 import site(s)")
+    assert [(e["file"], e["line"]) for e in row["evidence"]] == [("fleet/depot/doors.py", 1), ("fleet/depot/stock.py", 2)]
+    assert drift.coverage(outcome.findings).first().asDict() == {"checked": 6, "total": 13, "ratio": round(6 / 13, 4)}
 
 
-@pytest.mark.parametrize(("tree", "claims", "n"), [(trees.TASKS, trees.TASKS_GENERATED, 4), (trees.NOTES, trees.NOTES_CLAIMS, 2)])
-def test_thin_edges(spark, tree, claims, n):
+@pytest.mark.parametrize(("tree", "claims", "n"), [(trees.FLEET, trees.FLEET_CLAIMS, {"u2_containment": 3, "u8_thin": 3}), (trees.BOARD, trees.BOARD_CLAIMS, {"u8_thin": 2}), (trees.LEDGER, trees.LEDGER_CLAIMS, {"u3_weak_evidence": 3, "u8_thin": 3})])
+def test_filtered_edges(spark, tree, claims, n):
     outcome = analyzed(spark, tree, claims)
-    assert {r["filter"]: r["n"] for r in outcome.filtered.collect()} == {"u8_thin": n}
+    assert {r["filter"]: r["n"] for r in outcome.filtered.collect()} == n
 
 
 def edges(spark, pairs, kind="Import"):

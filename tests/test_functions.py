@@ -71,7 +71,7 @@ def test_lenient_structures(spark):
     assert jsons.checked({"a": "x"}, {"a": int}) is None
 
 
-@pytest.mark.parametrize(("text", "value"), [('{"a": 1}', {"a": 1}), ('x\n```json\n{"a": [1]}\n```', {"a": [1]}), ('so {"a": "}{\\"", "b": 2} end', {"a": '}{"', "b": 2}), ("none", None), ("{broken", None)])
+@pytest.mark.parametrize(("text", "value"), [('{"a": 1}', {"a": 1}), ('x\n```json\n{"a": [1]}\n```', {"a": [1]}), ('so {"a": "}{\\"", "b": 2} end', {"a": '}{"', "b": 2}), ("none", jsons.NOTHING), ("{broken", jsons.NOTHING), ("null", None), ("NaN", jsons.NOTHING), ('{"a": Infinity}', jsons.NOTHING), ("```json\n[1] x\n```", [1]), ("```json\n{", jsons.NOTHING)])
 def test_find_json(text, value):
     assert jsons.find_json(text) == value
 
