@@ -66,8 +66,9 @@ def dir_grouping(v: Views) -> DataFrame:
 @query("""WITH d AS (SELECT DISTINCT dir FROM files UNION SELECT DISTINCT regexp_replace(dir, '/[^/]*$', '') FROM files)
 SELECT d.dir, count(c.dir) AS n FROM (SELECT DISTINCT regexp_replace(dir, '/[^/]*$', '') AS dir FROM files) d JOIN (SELECT DISTINCT dir FROM files) c ON regexp_replace(c.dir, '/[^/]*$', '') = d.dir GROUP BY d.dir""")
 def subdir_count(v: Views) -> DataFrame:
-    dirs = v.files().select(paths.parent(F.col("rel_path")).alias("dir")).distinct()
-    return dirs.groupBy(paths.parent(F.col("dir")).alias("dir")).agg(F.count("*").alias("n"))
+    own = v.files().select("rel_path", "size")
+    above = own.select(F.concat(paths.parent(paths.parent(F.col("rel_path"))), F.lit("/list")).alias("rel_path"), "size")
+    return insights.directories(own.union(above)).where("subdirectories > 0").select("dir", F.col("subdirectories").alias("n"))
 
 
 @query("SELECT extension, count(*) AS n FROM files GROUP BY extension")
@@ -93,7 +94,7 @@ def evidence_top3(v: Views) -> DataFrame:
 
 @query("SELECT node_id, degree::BIGINT AS degree FROM hubs")
 def hub_nodes(v: Views) -> DataFrame:
-    return graph.hubs(graph.lift(v.file_edges(), v.file_node()), v.kinds())
+    return graph.hubs(graph.lift(v.file_edges(), v.file_node()), v.nodes())
 
 
 @query("SELECT node_id, degree::BIGINT AS degree FROM degrees")
@@ -143,10 +144,10 @@ def suffix_unique_match(v: Views) -> DataFrame:
 
 
 def _graph(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
-    nodes, edges = kept(v.file_node()), v.file_edges()
-    g_all = kept(graph.lift(edges, nodes, True))
+    file_node, nodes, _ = v.built()
+    g_all = kept(graph.lift(v.file_edges(), file_node, True))
     g_full = g_all.where("kind <> 'ModDecl'")
-    return g_all, g_full, kept(graph.hubs(g_full, v.kinds()))
+    return g_all, g_full, kept(graph.hubs(g_full, nodes))
 
 
 @query("SELECT a AS from_node, b AS to_node, array_to_string(path, ' -> ') AS via FROM routes JOIN claims ON f = a AND t = b WHERE a <> b UNION ALL SELECT f, t, f FROM claims WHERE f = t")
@@ -158,9 +159,24 @@ def transitive_paths(v: Views) -> DataFrame:
 _NEAR = "WITH RECURSIVE r AS (SELECT DISTINCT f, t, 1 AS hops FROM claims WHERE f <> t UNION SELECT r.f, c.t, hops + 1 FROM r JOIN claims c ON r.t = c.f WHERE hops < 6 AND r.f <> c.t), near AS (SELECT f, t, min(hops) AS hops FROM r GROUP BY f, t)"
 
 
+@query("SELECT node_id, code, supported FROM node_counts UNION ALL SELECT 'd' || x, 0, 0 FROM range(4) r(x) WHERE 'd' || x NOT IN (SELECT node_id FROM node_counts)")
+def build_nodes(v: Views) -> DataFrame:
+    return v.built()[2]
+
+
+@query("SELECT node_id, sum(total)::BIGINT AS total, sum(unresolved)::BIGINT AS unresolved FROM node_stats GROUP BY node_id")
+def node_import_stats(v: Views) -> DataFrame:
+    return v.node_stats()
+
+
+@query("SELECT DISTINCT f AS from_node, CASE WHEN f = '' THEN 'empty' WHEN f = 'nowhere/x' THEN 'unknown' ELSE 'dir' END AS ep FROM claims")
+def normalized_claims(v: Views) -> DataFrame:
+    return v.claims().select(F.col("from").alias("from_node"), F.col("from_ep").alias("ep")).distinct()
+
+
 @query(f"{_NEAR} SELECT f AS from_node, t AS to_node, hops FROM near")
 def shortest_distance(v: Views) -> DataFrame:
-    return graph.shortest_distance(kept(v.claims().select("from", "to")), 6).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
+    return graph.shortest_distance(v.claims().select("from", "to"), 6).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
 
 
 @query()
@@ -168,7 +184,7 @@ def claim_distances(v: Views) -> DataFrame:
     return graph.claim_distances(v.claims()).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
 
 
-_FACADES = """e AS (SELECT importer, 'pkg' || CAST(substr(target, 2) AS INT) % 40 || CASE WHEN CAST(substr(target, 2) AS INT) % 2 = 0 THEN '/mod.rs' ELSE '/x.rs' END AS target, kind FROM file_edges),
+_FACADES = """e AS (SELECT 'c' || l_partkey AS importer, 'pkg' || l_suppkey % 40 || CASE WHEN l_suppkey % 2 = 0 THEN '/mod.rs' ELSE '/x.rs' END AS target, CASE l_linenumber % 4 WHEN 0 THEN 'ReExport' WHEN 1 THEN 'Import' WHEN 2 THEN 'InlinePath' ELSE 'ModDecl' END AS kind FROM lineitem),
 more AS (SELECT DISTINCT 'pkg' || p_partkey % 40 || '/mod.rs' AS src, 'pkg' || (p_partkey % 40 * 3 + 1) % 40 || CASE WHEN p_partkey % 2 = 0 THEN '/mod.rs' ELSE '/x.rs' END AS nxt FROM part)"""
 
 
@@ -177,8 +193,9 @@ n2 AS (SELECT root, nxt FROM (SELECT n1.root, m.nxt FROM n1 JOIN more m ON n1.nx
 n3 AS (SELECT n2.root, m.nxt FROM n2 JOIN more m ON n2.nxt = m.src WHERE m.nxt <> n2.root)
 SELECT importer, nxt AS target, count(*) AS n FROM e JOIN (SELECT * FROM n1 UNION SELECT * FROM n2 UNION SELECT * FROM n3) x ON x.root = e.target WHERE kind IN ('Import', 'ReExport') GROUP BY importer, nxt""")
 def facade_closure(v: Views) -> DataFrame:
-    i = F.substring("target", 2, 20).cast("int")
-    e = v.file_edges().withColumn("target", F.concat(F.lit("pkg"), (i % 40).cast("string"), F.when(i % 2 == 0, "/mod.rs").otherwise("/x.rs")))
+    i = F.col("l_suppkey")
+    kind = F.element_at(F.array(*map(F.lit, ("ReExport", "Import", "InlinePath", "ModDecl"))), F.col("l_linenumber") % 4 + 1)
+    e = v.read("lineitem").select(F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("importer"), F.concat(F.lit("pkg"), (i % 40).cast("string"), F.when(i % 2 == 0, "/mod.rs").otherwise("/x.rs")).alias("target"), kind.alias("kind"), F.lit(False).alias("test_only"), F.col("l_linenumber").alias("line"))
     k = F.col("p_partkey") % 40
     ahead = F.concat(F.lit("pkg"), ((k * 3 + 1) % 40).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/mod.rs").otherwise("/x.rs"))
     more = v.read("part").select(F.concat(F.lit("pkg"), k.cast("string"), F.lit("/mod.rs")).alias("importer"), ahead.alias("target"), F.lit("ReExport").alias("kind"), F.lit(False).alias("test_only"), F.lit(0).alias("line"))
@@ -188,14 +205,14 @@ def facade_closure(v: Views) -> DataFrame:
 
 def _verdicts(v: Views) -> DataFrame:
     g_all, g_full, hubs = _graph(v)
-    return drift.classified(v.claims(), v.node_counts(), v.node_stats(), g_all, g_full, hubs, v.file_edges())
+    return drift.classified(v.claims(), v.built()[2], v.node_stats(), g_all, g_full, hubs, v.file_edges())
 
 
 _CLASSIFY = """, j AS (SELECT c.*, coalesce(a.code, 0) AS fc, coalesce(a.supported, 0) AS fs, coalesce(b.code, 0) AS tc, coalesce(b.supported, 0) AS ts, coalesce(s.total, 0) AS total, coalesce(s.unresolved, 0) AS lost,
   starts_with(c.t, c.f || '/') OR starts_with(c.f, c.t || '/') AS nested, EXISTS (SELECT 1 FROM g_all g WHERE g.f = c.f AND g.t = c.t) AS in_all, EXISTS (SELECT 1 FROM links g WHERE g.f = c.f AND g.t = c.t) AS direct,
   EXISTS (SELECT 1 FROM links g WHERE g.f = c.t AND g.t = c.f) AS back, r.path, EXISTS (SELECT 1 FROM file_edges) AS any_edge
  FROM claims c LEFT JOIN node_counts a ON a.node_id = c.f LEFT JOIN node_counts b ON b.node_id = c.t LEFT JOIN node_stats s ON s.node_id = c.f LEFT JOIN routes r ON r.a = c.f AND r.b = c.t),
-verdict AS (SELECT f, t, kind, importance, CASE WHEN f = t THEN ['structural', 'self_loop', NULL] WHEN kind = 'data_flow' THEN ['unverifiable', 'kind_not_checkable', NULL]
+verdict AS (SELECT f, t, kind, importance, CASE WHEN f = '' THEN ['unverifiable', 'empty_endpoint', NULL] WHEN f = 'nowhere/x' THEN ['unverifiable', 'unknown_endpoint', NULL] WHEN f = t THEN ['structural', 'self_loop', NULL] WHEN kind = 'data_flow' THEN ['unverifiable', 'kind_not_checkable', NULL]
  WHEN fc = 0 THEN ['unverifiable', 'non_code_endpoint', 'from endpoint ''' || f || ''' has no scanned code files'] WHEN tc = 0 THEN ['unverifiable', 'non_code_endpoint', 'to endpoint ''' || t || ''' has no scanned code files']
  WHEN fs / fc < 0.8 THEN ['unverifiable', 'language_coverage', 'from endpoint ''' || f || ''': ' || fs || '/' || fc || ' files in supported languages']
  WHEN ts / tc < 0.8 THEN ['unverifiable', 'language_coverage', 'to endpoint ''' || t || ''': ' || ts || '/' || tc || ' files in supported languages']
@@ -234,10 +251,10 @@ def baseline_stale(v: Views) -> DataFrame:
     return drift.stale(_verdicts(v), base)
 
 
-_EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs FROM strong GROUP BY f, t),
- shown AS (SELECT node_id FROM nodes UNION SELECT above FROM nodes),
+_EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs, bool_and(importer LIKE '%/utils/%' OR target LIKE '%/utils/%') AS ignored FROM strong GROUP BY f, t),
+ shown AS (SELECT f AS node_id FROM claims UNION SELECT t FROM claims),
  told AS (SELECT l.f, l.t, p.pairs, CASE WHEN l.f NOT IN (SELECT node_id FROM shown) OR l.t NOT IN (SELECT node_id FROM shown) THEN 'u1_unclaimed_end' WHEN starts_with(l.t, l.f || '/') OR starts_with(l.f, l.t || '/') THEN 'u2_containment'
- WHEN p.pairs IS NULL THEN 'u3_weak_evidence' WHEN l.t IN (SELECT node_id FROM hubs) THEN 'u5_hub_target' WHEN EXISTS (SELECT 1 FROM claims c WHERE c.f = l.t AND c.t = l.f) THEN 'u6_reverse_claimed'
+ WHEN p.pairs IS NULL THEN 'u3_weak_evidence' WHEN p.ignored THEN 'u4_ignored' WHEN l.t IN (SELECT node_id FROM hubs) THEN 'u5_hub_target' WHEN EXISTS (SELECT 1 FROM claims c WHERE c.f = l.t AND c.t = l.f) THEN 'u6_reverse_claimed'
  WHEN d.hops >= 3 THEN 'u7_claimed_path' WHEN p.pairs < 2 THEN 'u8_thin' END AS dropped
  FROM links l LEFT JOIN proof p ON p.f = l.f AND p.t = l.t LEFT JOIN near d ON d.f = l.f AND d.t = l.t WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.f = l.f AND c.t = l.t)),
  capped AS (SELECT *, CASE WHEN dropped IS NULL THEN row_number() OVER (PARTITION BY dropped ORDER BY f, t) END AS rn FROM told)"""
@@ -245,8 +262,8 @@ _EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target))
 
 def _edges(v: Views) -> DataFrame:
     _, g_full, hubs = _graph(v)
-    claims = kept(v.claims())
-    return drift.judged_edges(g_full, v.kinds(), hubs, claims, kept(graph.shortest_distance(claims, 6)), drift.Settings(min_imports=2))
+    claims = v.claims()
+    return drift.judged_edges(g_full, v.built()[1], hubs, claims, kept(graph.shortest_distance(claims, 6)), drift.Settings(min_imports=2))
 
 
 @query(f"{_EDGES} SELECT f AS from_node, t AS to_node, pairs || ' import site(s)' AS detail FROM capped WHERE dropped IS NULL AND rn <= 20")
@@ -272,15 +289,15 @@ def cosmetic_dirs(v: Views) -> DataFrame:
     return snapshots.cosmetic_dirs(snapshots.file_changes(v.old_files(), v.new_files()))
 
 
-@query("SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha256(array_to_string(list_sort(list(path || ':' || hash)), chr(0)) || chr(0)) AS sig FROM new_files GROUP BY 1")
+@query("SELECT regexp_replace(path, '/[^/]*$', '') AS dir, sha256(array_to_string(list_sort(list(path || ':' || hash)), chr(0)) || chr(0)) AS sig FROM all_files GROUP BY 1")
 def dir_signature(v: Views) -> DataFrame:
-    return snapshots.dir_signatures(v.new_files())
+    return snapshots.dir_signatures(v.all_files())
 
 
-@query("""WITH m AS (SELECT path, path || ':' || hash AS m, unnest(['.', regexp_extract(path, '^[^/]*'), regexp_replace(path, '/[^/]*$', '')]) AS dir FROM new_files)
+@query("""WITH m AS (SELECT path, path || ':' || hash AS m, unnest(['.', regexp_extract(path, '^[^/]*'), regexp_replace(path, '/[^/]*$', '')]) AS dir FROM all_files)
 SELECT dir, sha256(array_to_string(list(m ORDER BY path), chr(0)) || chr(0)) AS sig FROM m GROUP BY dir""")
 def subtree_signature(v: Views) -> DataFrame:
-    return snapshots.subtree_signatures(v.new_files())
+    return snapshots.subtree_signatures(v.all_files())
 
 
 @query(f"{_CHANGES}, n AS (SELECT count(*) FILTER (WHERE change = 'added') AS a, count(*) FILTER (WHERE change = 'removed') AS r FROM ch) SELECT CASE WHEN a + r > 0 THEN 'structural' ELSE 'cosmetic' END AS significance, CASE WHEN a + r > 0 THEN 'file set changed (+' || a || ' −' || r || ')' ELSE '' END AS reasons FROM n")

@@ -1,30 +1,55 @@
-"""The library's relations over the driver's tables, as frames and as SQL. They are synthetic: keys stand for files, nations for nodes."""
+"""The library's relations over the driver's tables, as frames and as SQL. They are synthetic.
+
+Documents are files of a tree. Parts are files of another: part p lies in d{b % 5}/s{b}, b = p % 40 (those of s15 in its utils). Each lineitem imports: its line number says
+from which directory to which and how, so all rows count and the graph of directories still has weak, thin, ignored, nested and missing edges, a hub and long paths.
+Directories with b % 10 = 9 and s20 are claimed by nobody; files of s20 lift to d0, the others to hidden nodes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import read
+from lodestone.operators import drift, graph
+from lodestone.plans import drift_check
+from lodestone.session import kept, read
+
+#: By line number, the directory that directory b imports.
+_AHEAD = {1: "(l_partkey + 1) % 40", 2: "(l_partkey * 3 + 7) % 40", 3: "11", 4: "l_partkey % 40", 5: "(l_partkey + 5) % 40", 6: "(l_partkey + 2) % 40", 7: "(l_partkey * 7 + 3) % 40"}
+
+
+def _node(b: str) -> str:
+    return f"CASE WHEN {b} = 20 THEN 'd0' ELSE concat('d', {b} % 5, '/s', {b}) END"
+
+
+def _path(key: str) -> str:
+    return f"concat('d', {key} % 5, '/s', {key} % 40, CASE WHEN {key} % 40 = 15 THEN '/utils' ELSE '' END, '/p', {key})"
+
 
 #: The same relations in SQL, each a common table expression; ``with_views`` puts those that a query names in front of it.
 SQL = {
     "files": """SELECT source || '/' || lang || '/doc_' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'ts' WHEN 3 THEN 'md' ELSE 'sql' END AS rel_path,
         source || '/' || lang AS dir, CASE doc_id % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'ts' WHEN 3 THEN 'md' ELSE 'sql' END AS extension, n_chars AS size, text AS content, doc_id FROM documents""",
-    "nodes": """SELECT n_nationkey AS k, r_name || '/' || n_name AS node_id, r_name AS above FROM nation JOIN region ON n_regionkey = r_regionkey""",
-    "file_node": """SELECT 'c' || c_custkey AS file, node_id FROM customer JOIN nodes ON c_nationkey = k UNION ALL SELECT 's' || s_suppkey, node_id FROM supplier JOIN nodes ON s_nationkey = k""",
-    "file_edges": """SELECT 'c' || o_custkey AS importer, 's' || l_suppkey AS target, CASE l_linenumber % 4 WHEN 0 THEN 'ReExport' WHEN 1 THEN 'Import' WHEN 2 THEN 'InlinePath' ELSE 'ModDecl' END AS kind,
-        (l_linestatus = 'O' AND l_linenumber % 3 = 0) AS test_only, l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.09""",
+    "listed": f"""SELECT {_path('p_partkey')} AS file, p_partkey % 40 AS b, {_node('p_partkey % 40')} AS node_id,
+        CASE WHEN p_partkey % 40 = 3 THEN 'other' WHEN p_partkey % 40 = 6 AND p_partkey // 40 % 2 = 0 THEN 'unsupported' ELSE 'rust' END AS lang FROM part""",
+    "nodes": """SELECT node_id FROM listed UNION SELECT 'd' || x FROM range(4) r(x)""",
+    "file_node": """SELECT file, node_id FROM listed""",
+    "file_edges": f"""SELECT {_path('i')} AS importer, {_path('t')} AS target, kind, test_only, line FROM (SELECT
+        CASE WHEN l_linenumber = 3 THEN l_partkey WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN l_partkey % 40 + 40 ELSE l_partkey % 40 + 40 * (1 + l_suppkey % 2) END AS i,
+        CASE l_linenumber {' '.join(f'WHEN {n} THEN {t}' for n, t in _AHEAD.items())} END + 40 * CASE WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN 1 ELSE 1 + l_suppkey % 3 END AS t,
+        ['Import', 'InlinePath', 'Import', 'Import', 'ReExport', 'ModDecl', 'Import'][l_linenumber] AS kind, l_linenumber = 7 AS test_only, l_linenumber AS line FROM lineitem)""",
     "g_all": """SELECT a.node_id AS f, b.node_id AS t, importer, target, kind, test_only, line FROM file_edges JOIN file_node a ON a.file = importer JOIN file_node b ON b.file = target WHERE a.node_id <> b.node_id""",
     "g_full": """SELECT * FROM g_all WHERE kind <> 'ModDecl'""",
     "strong": """SELECT * FROM g_full WHERE NOT test_only AND kind IN ('Import', 'InlinePath', 'ReExport')""",
-    "claims": """SELECT a.node_id AS f, b.node_id AS t, CASE (a.k + b.k) % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'function_call' WHEN 2 THEN 'inheritance' WHEN 3 THEN 'composition' WHEN 4 THEN 'data_flow' ELSE 'module' END AS kind,
-        CAST(a.k * b.k % 5 + 1 AS INT) AS importance FROM nodes a JOIN nodes b ON (a.k * 7 + b.k * 3) % 11 = 0 UNION ALL SELECT above, node_id, 'module', 4 FROM nodes WHERE k % 4 = 0""",
-    "node_counts": """SELECT node_id, count(*) AS code, count(*) FILTER (WHERE c_custkey % CASE WHEN k % 9 = 0 THEN 2 ELSE 20 END <> 0) AS supported FROM customer JOIN nodes ON c_nationkey = k GROUP BY node_id
-        UNION ALL SELECT above, count(*), count(*) FROM customer JOIN nodes ON c_nationkey = k GROUP BY above""",
-    "node_stats": """SELECT node_id, count(*) AS total, count(*) FILTER (WHERE c_custkey % CASE WHEN k % 8 = 3 THEN 2 ELSE 20 END = 0) AS unresolved FROM customer JOIN nodes ON c_nationkey = k GROUP BY node_id""",
+    "claims": f"""SELECT {_node('a')} AS f, {_node('b')} AS t, CASE (a + b) % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'function_call' WHEN 2 THEN 'inheritance' WHEN 3 THEN 'composition' WHEN 4 THEN 'data_flow' ELSE 'module' END AS kind,
+        CAST(a * b % 5 + 1 AS INT) AS importance FROM range(40) x(a) JOIN range(40) y(b) ON (a * 7 + b * 3) % 11 = 0 WHERE a % 10 <> 9 AND b % 10 <> 9 AND a <> 20 AND b <> 20
+        UNION ALL SELECT 'd' || b % 5, {_node('b')}, 'module', 4 FROM range(40) y(b) WHERE b % 5 <> 4 AND b <> 20 AND b // 5 % 2 = 1
+        UNION ALL SELECT * FROM (VALUES ('', 'd0', 'import', 1), ('nowhere/x', 'd0', 'import', 2), ('d1/s21', 'd1/s16', 'import', 3), ('d3/s28', 'd3/s23', 'function_call', 2))""",
+    "node_counts": """SELECT node_id, count(*) FILTER (WHERE lang <> 'other') AS code, count(*) FILTER (WHERE lang = 'rust') AS supported
+        FROM (SELECT node_id, lang FROM listed UNION ALL SELECT 'd' || b % 5, lang FROM listed WHERE b % 5 <> 4 AND b <> 20) GROUP BY node_id""",
+    "node_stats": """SELECT node_id, sum(b % 4 + 1) AS total, sum(CASE WHEN b % 8 = 3 THEN b % 4 + 1 ELSE 0 END) AS unresolved FROM listed GROUP BY node_id""",
     "degrees": """SELECT t AS node_id, sum(n) AS degree FROM (SELECT f, t, count(DISTINCT importer) AS n FROM g_full GROUP BY f, t) GROUP BY t""",
-    "hubs": """SELECT node_id, degree FROM degrees WHERE degree >= 0.5 * (SELECT count(*) + 5 FROM nodes)""",
+    "hubs": """SELECT node_id, degree FROM degrees WHERE degree >= 0.5 * (SELECT count(*) FROM nodes)""",
     "links": """SELECT DISTINCT f, t FROM g_full""",
     "open_links": """SELECT f, t FROM links WHERE t NOT IN (SELECT node_id FROM hubs)""",
     "walks": """SELECT f AS a, t AS b, [f, t] AS path FROM links
@@ -32,6 +57,7 @@ SQL = {
         UNION ALL SELECT x.f, z.t, [x.f, x.t, y.t, z.t] FROM open_links x JOIN open_links y ON x.t = y.f JOIN links z ON y.t = z.f WHERE y.t <> x.f AND z.t NOT IN (x.f, x.t)""",
     "routes": """SELECT a, b, arg_min(path, {'n': len(path), 'p': path}) AS path FROM walks GROUP BY a, b""",
     "old_files": """SELECT rel_path AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(content || '#') ELSE sha256(content) END AS hash FROM files WHERE doc_id % 10 <> 0""",
+    "all_files": """SELECT rel_path AS path, sha256(content) AS hash FROM files""",
     "new_files": """SELECT rel_path AS path, sha256(content) AS hash FROM files WHERE doc_id % 11 <> 0""",
     "calls": """SELECT event_id, ts, 'a' || user_id % 7 AS agent, event_type AS status, value AS secs FROM events""",
 }
@@ -62,6 +88,7 @@ def with_views(query: str) -> str:
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self.made: dict = {}
 
     def read(self, name: str) -> DataFrame:
         return read(self.spark, self.dir, name)
@@ -71,54 +98,66 @@ class Views:
         path = F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit("."), ext)
         return self.read("documents").select(path.alias("rel_path"), ext.alias("extension"), F.col("n_chars").alias("size"), F.col("text").alias("content"), "doc_id")
 
-    def nodes(self) -> DataFrame:
-        rows = self.read("nation").join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return rows.select(F.col("n_nationkey").alias("k"), F.concat("r_name", F.lit("/"), "n_name").alias("node_id"), F.col("r_name").alias("above"))
-
-    def kinds(self) -> DataFrame:
-        """node_id, kind of nations and the regions above them."""
-        nodes = self.nodes()
-        return nodes.select("node_id").union(nodes.select("above").distinct()).withColumn("kind", F.lit("dir"))
-
-    def file_node(self) -> DataFrame:
-        nodes = self.nodes().select("k", "node_id")
-        c = self.read("customer").join(nodes, F.col("c_nationkey") == F.col("k")).select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("file"), "node_id")
-        s = self.read("supplier").join(nodes, F.col("s_nationkey") == F.col("k")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("file"), "node_id")
-        return c.unionByName(s)
+    def listed(self) -> DataFrame:
+        """file, lang of the parts' tree, and its imports as counted by a resolver."""
+        b = F.col("p_partkey") % 40
+        lang = F.when(b == 3, "other").when((b == 6) & (F.floor(F.col("p_partkey") / 40) % 2 == 0), "unsupported").otherwise("rust")
+        lost = F.when(b % 8 == 3, b % 4 + 1).otherwise(0)
+        return self.read("part").select(F.expr(_path("p_partkey")).alias("file"), lang.alias("lang"), (b % 4 + 1).alias("total"), lost.alias("unresolved"))
 
     def file_edges(self) -> DataFrame:
-        rows = self.read("lineitem").where("l_returnflag = 'R' AND l_quantity >= 49 AND l_discount >= 0.09").join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        kind = F.element_at(F.array(*map(F.lit, ("ReExport", "Import", "InlinePath", "ModDecl"))), F.col("l_linenumber") % 4 + 1)
-        return rows.select(
-            F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("importer"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), kind.alias("kind"),
-            ((F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 3 == 0)).alias("test_only"), F.col("l_linenumber").alias("line"))
+        p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+        thin = (line == 2) & (p % 8 == 1)
+        near = F.when(line == 3, p).when(thin, p % 40 + 40).otherwise(p % 40 + 40 * (1 + s % 2))
+        ahead = F.when(F.lit(False), p)
+        for n, to in _AHEAD.items():
+            ahead = ahead.when(line == n, F.expr(to))
+        rows = self.read("lineitem").select(near.alias("i"), (ahead + 40 * F.when(thin, 1).otherwise(1 + s % 3)).alias("t"), line.alias("line"))
+        kind = F.element_at(F.array(*map(F.lit, ("Import", "InlinePath", "Import", "Import", "ReExport", "ModDecl", "Import"))), F.col("line"))
+        return rows.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), kind.alias("kind"), (F.col("line") == 7).alias("test_only"), "line")
+
+    def raw_claims(self) -> DataFrame:
+        """ord, from, to, dependency_type, importance, with endpoints as people write them."""
+        b = self.spark.range(40).where("id % 10 <> 9 AND id <> 20")
+        pairs = b.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b")).where("b % 10 <> 9 AND b <> 20 AND (a * 7 + b * 3) % 11 = 0")
+        names = ("Import", "function call", "extends", "composition", "Data Flow", "owns")
+        near = F.concat(F.element_at(F.array(*map(F.lit, ("`", "./", ""))), (F.col("a") % 3 + 1).cast("int")), F.expr(_node("a")), F.element_at(F.array(*map(F.lit, ("`", "", " (all)"))), (F.col("a") % 3 + 1).cast("int")))
+        rows = pairs.select((F.col("a") * 40 + F.col("b")).alias("ord"), near.alias("from"), F.expr(_node("b")).alias("to"), F.element_at(F.array(*map(F.lit, names)), ((F.col("a") + F.col("b")) % 6 + 1).cast("int")).alias("dependency_type"), (F.col("a") * F.col("b") % 5 + 1).cast("int").alias("importance"))
+        nested = b.where("id % 5 <> 4 AND floor(id / 5) % 2 = 1").select((F.col("id") + 2000).alias("ord"), F.expr("concat('d', id % 5)").alias("from"), F.expr(_node("id")).alias("to"), F.lit("module").alias("dependency_type"), F.lit(4).alias("importance"))
+        odd = self.spark.createDataFrame([(3000, "  ", "d0", "import", 1), (3001, "nowhere/x", "d0", "import", 2), (3002, "d1/s21", "d1/s16", "use", 3), (3003, "d3/s28", "s23", "a call", 2)], "ord long, from string, to string, dependency_type string, importance int")
+        return rows.unionByName(nested).unionByName(odd)
 
     def claims(self) -> DataFrame:
-        """from, to, kind, importance, with both ends directories."""
-        n = self.nodes()
-        a, b = n.select(F.col("k").alias("a"), F.col("node_id").alias("from")), n.select(F.col("k").alias("b"), F.col("node_id").alias("to"))
-        names = ("import", "function_call", "inheritance", "composition", "data_flow", "module")
-        # at most 25 nations by 25
-        pairs = a.crossJoin(F.broadcast(b)).where((F.col("a") * 7 + F.col("b") * 3) % 11 == 0)
-        pairs = pairs.select("from", "to", F.element_at(F.array(*map(F.lit, names)), (F.col("a") + F.col("b")) % 6 + 1).alias("kind"), (F.col("a") * F.col("b") % 5 + 1).cast("int").alias("importance"))
-        nested = n.where("k % 4 = 0").select(F.col("above").alias("from"), F.col("node_id").alias("to"), F.lit("module").alias("kind"), F.lit(4).alias("importance"))
-        return pairs.unionByName(nested).withColumn("from_ep", F.lit("dir")).withColumn("to_ep", F.lit("dir"))
-
-    def node_counts(self) -> DataFrame:
-        rows = self.read("customer").join(self.nodes(), F.col("c_nationkey") == F.col("k"))
-        kept = F.col("c_custkey") % F.when(F.col("k") % 9 == 0, 2).otherwise(20) != 0
-        own = rows.groupBy("node_id").agg(F.count("*").alias("code"), F.count_if(kept).alias("supported"))
-        return own.unionByName(rows.groupBy(F.col("above").alias("node_id")).agg(F.count("*").alias("code"), F.count("*").alias("supported")))
+        """As they are after normalising: each endpoint a place of the tree, or empty or unknown."""
+        if "claims" not in self.made:
+            places = drift_check.places(self.listed().select(F.col("file").alias("rel_path")))
+            self.made["claims"] = kept(drift.deduped(drift.normalized(self.raw_claims(), places)))
+        return self.made["claims"]
+
+    def built(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """file_node, nodes and counts of the claimed tree, as the drift check builds them."""
+        if "built" not in self.made:
+            self.made["built"] = tuple(map(kept, graph.build_nodes(drift.claimed_nodes(self.claims()), self.listed().select("file", "lang"))))
+        return self.made["built"]
+
+    def file_node(self) -> DataFrame:
+        """The same file_node by its rule, for queries that need no claims."""
+        return self.read("part").select(F.expr(_path("p_partkey")).alias("file"), F.expr(_node("p_partkey % 40")).alias("node_id"))
+
+    def nodes(self) -> DataFrame:
+        tops = self.spark.range(4).select(F.expr("concat('d', id)").alias("node_id"))
+        return self.file_node().select("node_id").union(tops).distinct()
 
     def node_stats(self) -> DataFrame:
-        rows = self.read("customer").join(self.nodes(), F.col("c_nationkey") == F.col("k"))
-        lost = F.col("c_custkey") % F.when(F.col("k") % 8 == 3, 2).otherwise(20) == 0
-        return rows.groupBy("node_id").agg(F.count("*").alias("total"), F.count_if(lost).alias("unresolved"))
+        return drift.node_stats(self.listed().select(F.col("file").alias("importer"), "total", "unresolved"), self.built()[0])
 
     def old_files(self) -> DataFrame:
         text = F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit("#"))).otherwise(F.col("content"))
         return self.files().where("doc_id % 10 <> 0").select(F.col("rel_path").alias("path"), F.sha2(text, 256).alias("hash"))
 
+    def all_files(self) -> DataFrame:
+        return self.files().select(F.col("rel_path").alias("path"), F.sha2("content", 256).alias("hash"))
+
     def new_files(self) -> DataFrame:
         return self.files().where("doc_id % 11 <> 0").select(F.col("rel_path").alias("path"), F.sha2("content", 256).alias("hash"))
 
