@@ -161,6 +161,26 @@ def _sampled(kept: np.ndarray):
     return run
 
 
+def _fitting(scale: np.ndarray):
+    """The fit over a sample's rows, in the one task that has them all, so that none of them goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sizes, y = [], [], []
+        for batch in batches:
+            for x in batch.column("at"):
+                of.append(np.frombuffer(x.as_py(), "<i4"))
+                sizes.append(len(of[-1]))
+            y += batch.column("y").to_pylist()
+        if not y:
+            return
+        doc, y = np.repeat(np.arange(len(y), dtype=np.int32), sizes), np.array(y, np.float64)
+        mass = np.where(y == 1, (len(y) - y.sum()) / max(1.0, y.sum()), 1.0)
+        w, b = fit(doc, np.concatenate(of), scale, y, mass)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()], pa.binary()), pa.array([b])], ["weights", "intercept"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", training: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
     """Learn from the labelled rows for which training (a condition on the key) holds."""
     spark = prepared(docs.sparkSession)
@@ -180,17 +200,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     kept[chosen] = np.arange(len(chosen))
     sample = rows.where("y = 0").orderBy("h").limit(fit_rows).union(rows.where("y = 1").orderBy("h").limit(fit_rows))
     sample = plain.join(F.broadcast(sample), "k").select("text", "y", "h")  # 2 * fit_rows labels at most
-    got = sample.mapInArrow(_sampled(kept), "h long, y int, at binary").orderBy("h", "y").collect()  # presences of kept features in these rows
-    of = [np.frombuffer(bytes(x["at"]), "<i4") for x in got]
-    doc = np.repeat(np.arange(len(of), dtype=np.int32), [len(x) for x in of])
-    of, y = np.concatenate(of) if of else np.zeros(0, np.int32), np.array([x["y"] for x in got], np.float64)
-    del got
     scale = r[chosen]
     del counted, counts, r
-    mass = np.where(y == 1, (len(y) - y.sum()) / max(1.0, y.sum()), 1.0)
-    w, b = fit(doc, of, scale, y, mass)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[chosen] = w * scale
+    dealt = sample.mapInArrow(_sampled(kept), "h long, y int, at binary").repartition(1).sortWithinPartitions("h", "y")
+    told = dealt.mapInArrow(_fitting(scale), "weights binary, intercept double").collect()
+    weights, b = np.zeros(1 << BITS, np.float32), 0.0
+    for row in told:  # one; none where no sampled label has a text
+        weights[chosen], b = np.frombuffer(bytes(row["weights"]), "<f8") * scale, row["intercept"]
     return Model(weights, b)
 
 
