@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import picked, prepared
+from lodestone.llm._base import lean, picked, prepared
 from lodestone.llm.shingles import placed, text_slices
 
 LEAST, BANDS = 0.8, 48
@@ -139,4 +139,4 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", templates:
     prepared(docs.sparkSession)
     rows = picked(docs, key=key, text=text)
     schema = T.StructType([T.StructField(key, rows.schema["key"].dataType), T.StructField("license", T.StringType()), T.StructField("containment", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    return rows.mapInArrow(_scanning(tuple((templates or TEMPLATES).items())), schema)
+    return rows.mapInArrow(lean(_scanning(tuple((templates or TEMPLATES).items()))), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import partition_offsets, picked, prepared, table, text_parts
+from lodestone.llm._base import lean, partition_offsets, picked, prepared, table, text_parts
 
 WINDOW, ROUNDS = 1024, 400
 #: Offsets of so many (partition, length) pairs are broadcast (under 50 MB); more are joined by shuffle.
@@ -167,7 +167,7 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     rows = picked(docs, key=key, text=text).withColumn("pid", F.spark_partition_id())
     kind = rows.schema["key"].dataType
     longs = [T.StructField(c, T.LongType()) for c in ("n", "whole", "rank")]
-    encoded = table(rows.mapInArrow(_encode(path, end, window), T.StructType([T.StructField("key", kind), T.StructField("pid", T.IntegerType()), *longs, T.StructField("ids", T.BinaryType())])))
+    encoded = table(rows.mapInArrow(lean(_encode(path, end, window)), T.StructType([T.StructField("key", kind), T.StructField("pid", T.IntegerType()), *longs, T.StructField("ids", T.BinaryType())])))
     rest = F.col("n") % window
     counted = encoded.groupBy("pid", rest.alias("rest")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("n") / window)).alias("w"))
     wholes = counted.groupBy("pid").agg(F.sum("w").alias("n")).select("pid", F.lit(0).cast("long").alias("rest"), "n")
@@ -184,5 +184,5 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     placed = encoded.withColumn("rest", rest).join(wide, "pid").join(own, ["pid", "rest"], "left")
     placed = placed.select("key", "n", (F.col("whole") + F.col("w_before")).alias("whole"), (F.col("rank") + F.coalesce("r_before", F.lit(0))).alias("rank"), "ids")
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "sequence_id", "offset")]
-    pieces = placed.mapInArrow(_pieces(path, layout), T.StructType([T.StructField("key", kind), *longs, T.StructField("ids", T.BinaryType())]))
+    pieces = placed.mapInArrow(lean(_pieces(path, layout)), T.StructType([T.StructField("key", kind), *longs, T.StructField("ids", T.BinaryType())]))
     return pieces.withColumnRenamed("key", key)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import components, cut, dense_rows, dense_sum, picked, prepared, small_batches, table
+from lodestone.llm._base import components, cut, dense_rows, dense_sum, lean, picked, prepared, small_batches, table
 from lodestone.llm.shingles import distinct, shingles, text_slices
 
 LEAST, BANDS, ROWS, DF_BITS, IDF_SHARE = 0.8, 12, 3, 18, 0.25
@@ -283,7 +283,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndar
     own = pairs.join(moved.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     full = own.join(moved.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     with small_batches(full.sparkSession):
-        return cut(full.mapInArrow(_verifying(idf, least), "a long, b long, ok boolean"))
+        return cut(full.mapInArrow(lean(_verifying(idf, least)), "a long, b long, ok boolean"))
 
 
 def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, nodes: DataFrame, idf: np.ndarray, least: float) -> DataFrame:
@@ -296,11 +296,11 @@ def _rest(label: DataFrame, equal: DataFrame, texts: DataFrame, nodes: DataFrame
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select("k", "band", "cell", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "component", "level", "samples", "sketch")
     dealt = tiles.repartition(*TILE).sortWithinPartitions(*TILE)
-    close = cut(dealt.mapInArrow(_with_partners(least), tiles.schema))
+    close = cut(dealt.mapInArrow(lean(_with_partners(least)), tiles.schema))
     moved = _moved(cut(nodes.join(close.select("id").distinct(), "id")), texts)
     close = close.join(moved, "id").select(*tiles.columns, "text").repartition(*TILE).sortWithinPartitions(*TILE)
     with small_batches(close.sparkSession):
-        return cut(close.mapInArrow(_linking(idf, least), "a long, b long").distinct())
+        return cut(close.mapInArrow(lean(_linking(idf, least)), "a long, b long").distinct())
 
 
 def _plain(docs: DataFrame, **roles: str) -> DataFrame:
@@ -322,13 +322,13 @@ def _grouped(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFr
     """Rows (key, hash of the text) and one row a distinct text: of (its hash), component, exact_id (smallest key), class_id (smallest key of its group)."""
     prepared(docs.sparkSession)
     plain = _plain(docs, key=key, text=text).select("key", F.coalesce("text", F.lit("")).alias("text"))
-    counted = dense_sum(plain.select("text").mapInArrow(_counting, "slice int, pid int, counts binary"), (1 << DF_BITS) + 1)
+    counted = dense_sum(plain.select("text").mapInArrow(lean(_counting), "slice int, pid int, counts binary"), (1 << DF_BITS) + 1)
     idf = idf_table(counted[:-1], int(counted[-1])).astype(np.float32)
     hashed = plain.select("key", F.md5("text").alias("hash"), "text")
     kind, sized = plain.schema["key"].dataType, hashed.withColumn("size", F.octet_length("text").cast("long"))
     own = [("size", T.LongType()), ("samples", T.BinaryType()), ("sketch", T.BinaryType()), ("level", T.IntegerType())]
     schema = T.StructType([T.StructField("key", kind), T.StructField("hash", T.StringType()), *(T.StructField(*x) for x in own)])
-    rows = table(sized.mapInArrow(_banding(idf, least), schema))
+    rows = table(sized.mapInArrow(lean(_banding(idf, least)), schema))
     equal = _numbered(table(rows.groupBy("hash").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c, _ in own))))
     nodes = equal.select("id", F.col("key").alias("of_key"), F.unhex("hash").alias("of_hash"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("samples", k * 4 * ROWS + 1, 4 * ROWS)))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import picked, prepared, text_parts
+from lodestone.llm._base import lean, picked, prepared, text_parts
 
 SPACE = "▁"
 #: Transitions kept by a worker (16 bytes each at least, and the states behind them); between two pieces it starts anew beyond.
@@ -350,4 +350,4 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     path = model or encoding.default_path("piece_bpe_32k.model")
     rows = picked(docs, key=key, text=text).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(_counting(path), schema).select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return rows.mapInArrow(lean(_counting(path)), schema).select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

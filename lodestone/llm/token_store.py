@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import encoding
-from lodestone.llm._base import cut, partition_offsets, picked, prepared, shared_dir, slices, table, text_parts
+from lodestone.llm._base import cut, lean, partition_offsets, picked, prepared, shared_dir, slices, table, text_parts
 
 #: Lengths of four codes by control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
@@ -120,8 +120,8 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     rows = rows.withColumn("shard", F.spark_partition_id())
     kind = rows.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("shard", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    encoded = table(rows.mapInArrow(_encode(path, end), schema))
-    counts = encoded.select("ids").mapInArrow(_counts(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    encoded = table(rows.mapInArrow(lean(_encode(path, end)), schema))
+    counts = encoded.select("ids").mapInArrow(lean(_counts(path)), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     by_rank = np.array([r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()], np.int64)  # as many as the vocabulary at most
     ranks = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     ranks[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -129,7 +129,7 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     before = cut(before.select(F.col("pid").alias("shard"), "before"))  # a row for each partition written
     placed = encoded.join(F.broadcast(before), "shard").select("shard", "key", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids").sortWithinPartitions("shard", "start")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("key", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])
-    placed.mapInArrow(_code(path, ranks), schema).sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{folder}/shards")
+    placed.mapInArrow(lean(_code(path, ranks)), schema).sortWithinPartitions("shard", "start").write.partitionBy("shard").parquet(f"{folder}/shards")
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{folder}/ranks")
 
 
@@ -152,7 +152,7 @@ def read(spark: SparkSession, folder: str, key_type: T.DataType | None = None) -
     kind = key_type or T.LongType()
     fields = [T.StructField("key", kind), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType())]
     rows = spark.read.schema(T.StructType([*fields, T.StructField("control", T.BinaryType()), T.StructField("data", T.BinaryType())])).parquet(f"{folder}/shards")
-    return rows.mapInArrow(_decode(np.frombuffer(bytes(ranks["ids"]), "<u4")), T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
+    return rows.mapInArrow(lean(_decode(np.frombuffer(bytes(ranks["ids"]), "<u4"))), T.StructType([*fields, T.StructField("ids", T.BinaryType())]))
 
 
 def new_folder(spark: SparkSession) -> str:

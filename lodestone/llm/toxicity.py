@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import dense_rows, dense_sum, picked, prepared, text_parts
+from lodestone.llm._base import dense_rows, dense_sum, lean, picked, prepared, text_parts
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     small = rows.count() <= BROADCAST_LABELS
     known = plain.join(F.broadcast(rows) if small else rows, "k")
     size = 2 << BITS
-    counted = dense_sum(known.select("text", "y").mapInArrow(_counting, "slice int, pid int, counts binary"), size + 2)
+    counted = dense_sum(known.select("text", "y").mapInArrow(lean(_counting), "slice int, pid int, counts binary"), size + 2)
     counts, n = counted[:size].reshape(2, -1), counted[size:]
     if not n.all():
         return Model(np.zeros(1 << BITS, np.float32), float(np.clip(np.log(n[1] / n[0]) if n[0] and n[1] else (35 if n[1] else -35), -35, 35)))
@@ -202,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = plain.join(F.broadcast(sample), "k").select("text", "y", "h")  # 2 * fit_rows labels at most
     scale = r[chosen]
     del counted, counts, r
-    dealt = sample.mapInArrow(_sampled(kept), "h long, y int, at binary").repartition(1).sortWithinPartitions("h", "y")
-    told = dealt.mapInArrow(_fitting(scale), "weights binary, intercept double").collect()
+    dealt = sample.mapInArrow(lean(_sampled(kept)), "h long, y int, at binary").repartition(1).sortWithinPartitions("h", "y")
+    told = dealt.mapInArrow(lean(_fitting(scale)), "weights binary, intercept double").collect()
     weights, b = np.zeros(1 << BITS, np.float32), 0.0
     for row in told:  # one; none where no sampled label has a text
         weights[chosen], b = np.frombuffer(bytes(row["weights"]), "<f8") * scale, row["intercept"]
@@ -230,7 +230,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text: str) -> Dat
     at = names.index(text)
     wanted += [] if at in wanted else [at]
     rows = docs.toDF(*(f"n{i}" for i in range(len(names)))).select(*(F.col(f"n{i}").alias(f"c{k}") for k, i in enumerate(wanted)))
-    return rows.mapInArrow(_scoring(model, wanted.index(at)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(lean(_scoring(model, wanted.index(at))), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def scored(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:

@@ -565,6 +565,16 @@ def test_toxicity_is_brute_force(spark, words):
         assert abs(got[i] - want) < 0.02
 
 
+def test_counters_are_packed_in_the_bytes_they_need():
+    from lodestone.llm import _base
+
+    for most, width in ((0, 1), (255, 1), (256, 2), (65535, 2), (65536, 4), (2**32 - 1, 4), (2**32, 8), (2**62, 8)):
+        counts = np.array([0, 1, most], np.int64)
+        packed = _base.packed_counts(counts)
+        assert len(packed) == 1 + 3 * width
+        assert _base.unpacked_counts(packed).tolist() == counts.tolist()
+
+
 def test_features_of_a_long_text_are_those_of_its_pieces(monkeypatch):
     text = "".join(random.Random(3).choice("abcÄß 日") for _ in range(3000))
     whole = toxicity.features([text])
