@@ -78,23 +78,48 @@ def ratios(counts: np.ndarray, rows: np.ndarray, z: float = Z) -> np.ndarray:
     return np.where(np.abs(r) >= z * error, r, 0.0)
 
 
+def _times(x: np.ndarray, size: int) -> np.ndarray:
+    return sum((np.bincount(x[k : k + PART], minlength=size) for k in range(0, len(x), PART)), np.zeros(size, np.int64))
+
+
+def by_feature(doc: np.ndarray, of: np.ndarray, n_features: int) -> np.ndarray:
+    """doc in order of the features, of each feature in its own order. Sorted PART at a time, so that no index of all presences is made."""
+    out = np.empty_like(doc)
+    free = np.append(0, np.cumsum(_times(of, n_features)))[:-1]
+    for k in range(0, len(of), PART):
+        order = np.argsort(of[k : k + PART], kind="stable")
+        own, times = of[k : k + PART][order], np.bincount(of[k : k + PART], minlength=n_features)
+        out[np.arange(len(own)) + (free - np.cumsum(times) + times)[own]] = doc[k : k + PART][order]
+        free += times
+    return out
+
+
+def _sums(value: np.ndarray, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of value[at] over runs of so many each, of PART or so at a time."""
+    out, some = np.zeros(len(times)), np.flatnonzero(times)
+    ends = np.cumsum(times[some])
+    a = 0
+    while a < len(some):
+        start = ends[a] - times[some[a]]
+        b = max(a + 1, int(np.searchsorted(ends, start + PART, side="right")))
+        own = ends[a:b] - times[some[a:b]] - start
+        out[some[a:b]] = np.add.reduceat(value.take(at[start : ends[b - 1]]), own)
+        a = b
+    return out
+
+
 def fit(doc: np.ndarray, of: np.ndarray, scale: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L2 penalty on the weights, by Newton steps whose systems conjugate gradients solve in part. Text doc[i] has the feature of[i],
+    """Logistic regression with an L2 penalty on the weights, by Newton steps whose systems conjugate gradients solve in part. Text doc[i] (ascending) has the feature of[i],
     whose value is scale[of[i]]; a text counts mass times; no array but these two is as long, as sums go over PART presences at a time."""
     n, n_features = len(y), len(scale)
-    parts = [slice(k, k + PART) for k in range(0, len(of), PART)]
+    in_text, in_texts = _times(doc, n), _times(of, n_features)
+    doc = by_feature(doc, of, n_features)
 
     def across(w: np.ndarray) -> np.ndarray:
-        own, total = w[:-1] * scale, np.zeros(n)
-        for p in parts:
-            total += np.bincount(doc[p], own[of[p]], minlength=n)
-        return total + w[-1]
+        return _sums(w[:-1] * scale, of, in_text) + w[-1]
 
     def along(d: np.ndarray) -> np.ndarray:
-        total = np.zeros(n_features)
-        for p in parts:
-            total += np.bincount(of[p], d[doc[p]], minlength=n_features)
-        return np.append(total * scale, d.sum())
+        return np.append(_sums(d, doc, in_texts) * scale, d.sum())
 
     ridge = np.append(np.full(n_features, PENALTY), 1e-6)
 

@@ -565,6 +565,19 @@ def test_toxicity_is_brute_force(spark, words):
         assert abs(got[i] - want) < 0.02
 
 
+def test_runs_are_summed_in_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(toxicity, "PART", 50)
+    has = rng.random((30, 40)) < 0.3
+    has[[0, 7, 29]], has[:, [0, 5, 39]], has[3] = False, False, True
+    has[:, 4] = True
+    doc, of = (x.astype(np.int32) for x in np.nonzero(has))
+    assert toxicity.by_feature(doc, of, 40).tolist() == np.nonzero(has.T)[1].tolist()
+    w = rng.random(40)
+    assert np.allclose(toxicity._sums(w, of, has.sum(axis=1)), has @ w)
+    assert toxicity._sums(w, of[:0], np.zeros(3, np.int64)).tolist() == [0, 0, 0]
+
+
 def test_counters_are_packed_in_the_bytes_they_need():
     from lodestone.llm import _base
 
