@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
+from lodestone.session import kept
 
 STRONG = ("Import", "InlinePath", "ReExport")
 FACADE_HOPS = 3
@@ -103,20 +104,31 @@ def hubs(edges: DataFrame, nodes: DataFrame, ratio: float = 0.5, least: int = 10
 
 
 def shortest_paths(edges: DataFrame, wanted: DataFrame, blocked: DataFrame, depth: int = 3) -> DataFrame:
-    """wanted(from, to) to the shortest path of at most depth hops, of equals the first in order; blocked(node_id) nodes only at its ends. A node reaches itself at once."""
-    links = edges.select(F.col("from").alias("at"), F.col("to").alias("next")).distinct()
+    """wanted(from, to) to the shortest path of at most depth hops, of equals the first in order; blocked(node_id) nodes only at its ends. A node reaches itself at once.
+
+    A breadth-first search from each start: a layer has one row for a start and a node, with the first in order of its paths, as a later step does not depend on how the
+    node was reached; a node that a start has reached before is dropped, as no shortest path comes back to it. The last hop comes from the other end: the nodes
+    before each wanted end meet the layer, so nothing is expanded for it. A pair that is found leaves, and a start leaves with its last pair.
+    """
+    links = kept(edges.select(F.col("from").alias("at"), F.col("to").alias("next")).where("at <> next").distinct())
     open_ = links.join(blocked.select(F.col("node_id").alias("next")), "next", "left_anti").select("at", "next")
-    start = wanted.select("from", "to").distinct().withColumn("path", F.array("from"))
-    front, found = start.where("`from` <> `to`"), start.where("`from` = `to`")
+    before = links.withColumnRenamed("next", "to")
+    pairs = wanted.select("from", "to").distinct()
+    found = pairs.where("`from` = `to`").withColumn("path", F.array("from"))
+    left = pairs.where("`from` <> `to`")
+    front = left.select("from", F.col("from").alias("at")).distinct().withColumn("path", F.array("from"))
+    seen = front.select("from", "at")
     for hop in range(1, depth + 1):
-        here = front.withColumn("at", F.element_at("path", -1))
-        last = here.join(links.withColumnRenamed("next", "to"), ["at", "to"]).select("from", "to", F.array_append("path", F.col("to")).alias("path"))
-        found = found.unionByName(last)
+        met = left.join(before, "to").join(front, ["from", "at"]).groupBy("from", "to").agg(F.min(F.array_append("path", F.col("to"))).alias("path"))
         if hop < depth:
-            grown = here.join(open_, "at").where("next <> to AND NOT array_contains(path, next)")
-            front = grown.select("from", "to", F.array_append("path", F.col("next")).alias("path"))
-    best = found.groupBy("from", "to").agg(F.min(F.struct(F.size("path").alias("hops"), "path")).alias("best"))
-    return best.select("from", "to", (F.col("best.hops") - 1).alias("hops"), "best.path")
+            met = kept(met)
+            left = left.join(met, ["from", "to"], "left_anti")
+            near = front.join(left.select("from").distinct(), "from", "left_semi")
+            grown = near.join(open_, "at").groupBy("from", F.col("next").alias("at")).agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
+            front = kept(grown.join(seen, ["from", "at"], "left_anti"))
+            seen = seen.unionByName(front.select("from", "at"))
+        found = found.unionByName(met)
+    return found.select("from", "to", (F.size("path") - 1).alias("hops"), "path")
 
 
 def shortest_distance(links: DataFrame, depth: int) -> DataFrame:
@@ -131,27 +143,44 @@ def shortest_distance(links: DataFrame, depth: int) -> DataFrame:
     return reached
 
 
-def claim_distances(claims: DataFrame) -> DataFrame:
-    """All pairs (from, to) and the distance at which a depth-first search that takes the last of a node's neighbours first discovers them. This is not
-    always the shortest: distances are set on discovery. One task holds one tree's claims."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for a, b in sorted(set(zip(rows["from"], rows["to"], strict=True))):
-            after.setdefault(a, []).append(b)
-        out = []
-        for start in after:
-            seen, stack = {start: 0}, [start]
-            while stack:
-                at = stack.pop()
-                for b in after.get(at, ()):
-                    if b not in seen:
-                        seen[b] = seen[at] + 1
-                        stack.append(b)
-            out += [(start, b, d) for b, d in seen.items()]
-        return pd.DataFrame(out, columns=["from", "to", "hops"])
-
-    return claims.select("from", "to", F.lit(0).alias("tree")).groupBy("tree").applyInPandas(run, "from string, to string, hops int")
+def claim_distances(claims: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Pairs (from, to) and the distance at which a depth-first search that takes the last of a node's neighbours first discovers them. This is not
+    always the shortest: distances are set on discovery. claims(from, to, and tree where there are several); starts(from, and tree): the nodes to search from, all by default.
+
+    What each start reaches is found by joins, a hop at a time; then each (tree, start) has its own search over the neighbours of what it reaches, joined in as arrays, so a task
+    holds one search, not a tree. A start's rows are as many as its results.
+    """
+    own = ["tree"] if "tree" in claims.columns else []
+    links = claims.select(*(own or [F.lit("").alias("tree")]), "from", "to").distinct()
+    after = kept(links.groupBy("tree", F.col("from").alias("at")).agg(F.array_sort(F.collect_list("to")).alias("after")))
+    if starts is None:
+        begin = after.select("tree", F.col("at").alias("start"))
+    else:
+        begin = starts.select(*(own or [F.lit("").alias("tree")]), F.col("from").alias("start")).distinct()
+    front = begin.withColumn("at", F.col("start"))
+    reached = front.join(after, ["tree", "at"], "left_semi").select("tree", "start", "at")
+    front = reached = kept(reached)
+    while True:
+        new = front.join(after, ["tree", "at"]).select("tree", "start", F.explode("after").alias("at")).distinct()
+        front = kept(new.join(reached, ["tree", "start", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        start, known = rows["start"].iloc[0], dict(zip(rows["at"], rows["after"], strict=True))
+        seen, stack = {start: 0}, [start]
+        while stack:
+            at = stack.pop()
+            for b in known.get(at, ()):
+                if b not in seen:
+                    seen[b] = seen[at] + 1
+                    stack.append(b)
+        return pd.DataFrame({"tree": rows["tree"].iloc[0], "from": start, "to": list(seen), "hops": list(seen.values())})
+
+    states = reached.join(after, ["tree", "at"])
+    told = states.groupBy("tree", "start").applyInPandas(search, "tree string, from string, to string, hops int")
+    return told.select(*own, "from", "to", "hops")
 
 
 def any_evidence(edges: DataFrame, importer: Column, target: Column) -> Column:

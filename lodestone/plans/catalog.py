@@ -159,7 +159,7 @@ def transitive_paths(v: Views) -> DataFrame:
 _NEAR = "WITH RECURSIVE r AS (SELECT DISTINCT f, t, 1 AS hops FROM claims WHERE f <> t UNION SELECT r.f, c.t, hops + 1 FROM r JOIN claims c ON r.t = c.f WHERE hops < 6 AND r.f <> c.t), near AS (SELECT f, t, min(hops) AS hops FROM r GROUP BY f, t)"
 
 
-@query("SELECT node_id, code, supported FROM node_counts UNION ALL SELECT 'd' || x, 0, 0 FROM range(4) r(x) WHERE 'd' || x NOT IN (SELECT node_id FROM node_counts)")
+@query("SELECT node_id, code, supported FROM node_counts")
 def build_nodes(v: Views) -> DataFrame:
     return v.built()[2]
 
@@ -169,7 +169,7 @@ def node_import_stats(v: Views) -> DataFrame:
     return v.node_stats()
 
 
-@query("SELECT DISTINCT f AS from_node, CASE WHEN f = '' THEN 'empty' WHEN f = 'nowhere/x' THEN 'unknown' ELSE 'dir' END AS ep FROM claims")
+@query("SELECT DISTINCT f AS from_node, CASE WHEN f = '' THEN 'empty' WHEN f IN (SELECT node_id FROM known) THEN 'dir' ELSE 'unknown' END AS ep FROM claims")
 def normalized_claims(v: Views) -> DataFrame:
     return v.claims().select(F.col("from").alias("from_node"), F.col("from_ep").alias("ep")).distinct()
 
@@ -179,7 +179,15 @@ def shortest_distance(v: Views) -> DataFrame:
     return graph.shortest_distance(v.claims().select("from", "to"), 6).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
 
 
-@query()
+_FOUND = """WITH RECURSIVE adj AS (SELECT f AS node, list_sort(list(DISTINCT t)) AS nx FROM claims GROUP BY f),
+ dfs AS (SELECT node AS start, [{'n': node, 'd': 0}] AS stack, [node] AS seen, [{'n': node, 'd': 0}] AS new FROM adj
+  UNION ALL SELECT start, list_concat(stack[:-2], fresh), list_concat(seen, list_transform(fresh, lambda x: x.n)), fresh
+  FROM (SELECT start, stack, seen, list_transform(list_filter(coalesce(nx, []), lambda x: NOT list_contains(seen, x)), lambda x: {'n': x, 'd': stack[-1].d + 1}) AS fresh
+   FROM dfs LEFT JOIN adj ON adj.node = stack[-1].n WHERE len(stack) > 0)),
+ near AS (SELECT start AS f, x.n AS t, x.d AS hops FROM (SELECT start, unnest(new) AS x FROM dfs))"""
+
+
+@query(f"{_FOUND} SELECT f AS from_node, t AS to_node, hops FROM near")
 def claim_distances(v: Views) -> DataFrame:
     return graph.claim_distances(v.claims()).select(F.col("from").alias("from_node"), F.col("to").alias("to_node"), "hops")
 
@@ -212,7 +220,7 @@ _CLASSIFY = """, j AS (SELECT c.*, coalesce(a.code, 0) AS fc, coalesce(a.support
   starts_with(c.t, c.f || '/') OR starts_with(c.f, c.t || '/') AS nested, EXISTS (SELECT 1 FROM g_all g WHERE g.f = c.f AND g.t = c.t) AS in_all, EXISTS (SELECT 1 FROM links g WHERE g.f = c.f AND g.t = c.t) AS direct,
   EXISTS (SELECT 1 FROM links g WHERE g.f = c.t AND g.t = c.f) AS back, r.path, EXISTS (SELECT 1 FROM file_edges) AS any_edge
  FROM claims c LEFT JOIN node_counts a ON a.node_id = c.f LEFT JOIN node_counts b ON b.node_id = c.t LEFT JOIN node_stats s ON s.node_id = c.f LEFT JOIN routes r ON r.a = c.f AND r.b = c.t),
-verdict AS (SELECT f, t, kind, importance, CASE WHEN f = '' THEN ['unverifiable', 'empty_endpoint', NULL] WHEN f = 'nowhere/x' THEN ['unverifiable', 'unknown_endpoint', NULL] WHEN f = t THEN ['structural', 'self_loop', NULL] WHEN kind = 'data_flow' THEN ['unverifiable', 'kind_not_checkable', NULL]
+verdict AS (SELECT f, t, kind, importance, CASE WHEN f = '' THEN ['unverifiable', 'empty_endpoint', NULL] WHEN f NOT IN (SELECT node_id FROM known) OR t NOT IN (SELECT node_id FROM known) THEN ['unverifiable', 'unknown_endpoint', NULL] WHEN f = t THEN ['structural', 'self_loop', NULL] WHEN kind = 'data_flow' THEN ['unverifiable', 'kind_not_checkable', NULL]
  WHEN fc = 0 THEN ['unverifiable', 'non_code_endpoint', 'from endpoint ''' || f || ''' has no scanned code files'] WHEN tc = 0 THEN ['unverifiable', 'non_code_endpoint', 'to endpoint ''' || t || ''' has no scanned code files']
  WHEN fs / fc < 0.8 THEN ['unverifiable', 'language_coverage', 'from endpoint ''' || f || ''': ' || fs || '/' || fc || ' files in supported languages']
  WHEN ts / tc < 0.8 THEN ['unverifiable', 'language_coverage', 'to endpoint ''' || t || ''': ' || ts || '/' || tc || ' files in supported languages']
@@ -251,8 +259,8 @@ def baseline_stale(v: Views) -> DataFrame:
     return drift.stale(_verdicts(v), base)
 
 
-_EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs, bool_and(importer LIKE '%/utils/%' OR target LIKE '%/utils/%') AS ignored FROM strong GROUP BY f, t),
- shown AS (SELECT f AS node_id FROM claims UNION SELECT t FROM claims),
+_EDGES = _FOUND + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs, bool_and(importer LIKE '%/utils/%' OR target LIKE '%/utils/%') AS ignored FROM strong GROUP BY f, t),
+ shown AS (SELECT node_id FROM (SELECT f AS node_id FROM claims UNION SELECT t FROM claims) WHERE node_id IN (SELECT node_id FROM known)),
  told AS (SELECT l.f, l.t, p.pairs, CASE WHEN l.f NOT IN (SELECT node_id FROM shown) OR l.t NOT IN (SELECT node_id FROM shown) THEN 'u1_unclaimed_end' WHEN starts_with(l.t, l.f || '/') OR starts_with(l.f, l.t || '/') THEN 'u2_containment'
  WHEN p.pairs IS NULL THEN 'u3_weak_evidence' WHEN p.ignored THEN 'u4_ignored' WHEN l.t IN (SELECT node_id FROM hubs) THEN 'u5_hub_target' WHEN EXISTS (SELECT 1 FROM claims c WHERE c.f = l.t AND c.t = l.f) THEN 'u6_reverse_claimed'
  WHEN d.hops >= 3 THEN 'u7_claimed_path' WHEN p.pairs < 2 THEN 'u8_thin' END AS dropped
@@ -263,7 +271,7 @@ _EDGES = _NEAR + """, proof AS (SELECT f, t, count(DISTINCT (importer, target))
 def _edges(v: Views) -> DataFrame:
     _, g_full, hubs = _graph(v)
     claims = v.claims()
-    return drift.judged_edges(g_full, v.built()[1], hubs, claims, kept(graph.shortest_distance(claims, 6)), drift.Settings(min_imports=2))
+    return drift.judged_edges(g_full, v.built()[1], hubs, claims, kept(graph.claim_distances(claims)), drift.Settings(min_imports=2))
 
 
 @query(f"{_EDGES} SELECT f AS from_node, t AS to_node, pairs || ' import site(s)' AS detail FROM capped WHERE dropped IS NULL AND rn <= 20")

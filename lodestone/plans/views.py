@@ -1,8 +1,9 @@
 """The library's relations over the driver's tables, as frames and as SQL. They are synthetic.
 
-Documents are files of a tree. Parts are files of another: part p lies in d{b % 5}/s{b}, b = p % 40 (those of s15 in its utils). Each lineitem imports: its line number says
-from which directory to which and how, so all rows count and the graph of directories still has weak, thin, ignored, nested and missing edges, a hub and long paths.
-Directories with b % 10 = 9 and s20 are claimed by nobody; files of s20 lift to d0, the others to hidden nodes.
+Documents are files of a tree. Parts are files of another, whose directories and claims grow with them: each 400 parts are a module m{k}, in which part p lies in
+d{b % 5}/s{b}_{k}, b = p % 40 (those of s15 in its utils). Each lineitem imports: its line number says from which directory to which and how, so all rows count and the graph of
+directories has weak, thin, ignored, nested and missing edges, a hub that all modules import, and long paths. In each module, directories with b % 10 = 9
+and s20 are claimed by nobody; files of s20 lift to d0, the others to hidden nodes.
 """
 
 from __future__ import annotations
@@ -14,39 +15,48 @@ from lodestone.operators import drift, graph
 from lodestone.plans import drift_check
 from lodestone.session import kept, read
 
-#: By line number, the directory that directory b imports.
+#: By line number, the directory that directory b imports; line 3 is of the first module.
 _AHEAD = {1: "(l_partkey + 1) % 40", 2: "(l_partkey * 3 + 7) % 40", 3: "11", 4: "l_partkey % 40", 5: "(l_partkey + 5) % 40", 6: "(l_partkey + 2) % 40", 7: "(l_partkey * 7 + 3) % 40"}
 
 
-def _node(b: str) -> str:
-    return f"CASE WHEN {b} = 20 THEN 'd0' ELSE concat('d', {b} % 5, '/s', {b}) END"
+def _module(key: str) -> str:
+    return f"CAST(floor({key} / 400) AS BIGINT)"
+
+
+def _node(b: str, k: str) -> str:
+    return f"concat('m', {k}, CASE WHEN {b} = 20 THEN '/d0' ELSE concat('/d', {b} % 5, '/s', {b}, '_', {k}) END)"
 
 
 def _path(key: str) -> str:
-    return f"concat('d', {key} % 5, '/s', {key} % 40, CASE WHEN {key} % 40 = 15 THEN '/utils' ELSE '' END, '/p', {key})"
+    return f"concat('m', {_module(key)}, '/d', {key} % 5, '/s', {key} % 40, '_', {_module(key)}, CASE WHEN {key} % 40 = 15 THEN '/utils' ELSE '' END, '/p', {key})"
 
 
 #: The same relations in SQL, each a common table expression; ``with_views`` puts those that a query names in front of it.
 SQL = {
     "files": """SELECT source || '/' || lang || '/doc_' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'ts' WHEN 3 THEN 'md' ELSE 'sql' END AS rel_path,
         source || '/' || lang AS dir, CASE doc_id % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'ts' WHEN 3 THEN 'md' ELSE 'sql' END AS extension, n_chars AS size, text AS content, doc_id FROM documents""",
-    "listed": f"""SELECT {_path('p_partkey')} AS file, p_partkey % 40 AS b, {_node('p_partkey % 40')} AS node_id,
+    "listed": f"""SELECT {_path('p_partkey')} AS file, p_partkey % 40 AS b, {_module('p_partkey')} AS k, {_node('p_partkey % 40', _module('p_partkey'))} AS node_id,
         CASE WHEN p_partkey % 40 = 3 THEN 'other' WHEN p_partkey % 40 = 6 AND p_partkey // 40 % 2 = 0 THEN 'unsupported' ELSE 'rust' END AS lang FROM part""",
-    "nodes": """SELECT node_id FROM listed UNION SELECT 'd' || x FROM range(4) r(x)""",
+    "known": """SELECT DISTINCT array_to_string(string_split(file, '/')[:n], '/') AS node_id FROM listed, range(1, 6) r(n) WHERE n < len(string_split(file, '/'))""",
+    "nodes": """SELECT node_id FROM listed UNION SELECT concat('m', k, '/d', b % 5) FROM listed WHERE b % 5 <> 4""",
     "file_node": """SELECT file, node_id FROM listed""",
     "file_edges": f"""SELECT {_path('i')} AS importer, {_path('t')} AS target, kind, test_only, line FROM (SELECT
-        CASE WHEN l_linenumber = 3 THEN l_partkey WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN l_partkey % 40 + 40 ELSE l_partkey % 40 + 40 * (1 + l_suppkey % 2) END AS i,
-        CASE l_linenumber {' '.join(f'WHEN {n} THEN {t}' for n, t in _AHEAD.items())} END + 40 * CASE WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN 1 ELSE 1 + l_suppkey % 3 END AS t,
+        CASE WHEN l_linenumber = 3 THEN l_partkey ELSE 400 * {_module('l_partkey')} + CASE WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN l_partkey % 40 + 40 ELSE l_partkey % 40 + 40 * (1 + l_suppkey % 2) END END AS i,
+        CASE l_linenumber {' '.join(f'WHEN {n} THEN {t}' for n, t in _AHEAD.items())} END + 40 * CASE WHEN l_linenumber = 2 AND l_partkey % 8 = 1 THEN 1 ELSE 1 + l_suppkey % 3 END
+          + CASE WHEN l_linenumber = 3 THEN 0 ELSE 400 * {_module('l_partkey')} END AS t,
         ['Import', 'InlinePath', 'Import', 'Import', 'ReExport', 'ModDecl', 'Import'][l_linenumber] AS kind, l_linenumber = 7 AS test_only, l_linenumber AS line FROM lineitem)""",
     "g_all": """SELECT a.node_id AS f, b.node_id AS t, importer, target, kind, test_only, line FROM file_edges JOIN file_node a ON a.file = importer JOIN file_node b ON b.file = target WHERE a.node_id <> b.node_id""",
     "g_full": """SELECT * FROM g_all WHERE kind <> 'ModDecl'""",
     "strong": """SELECT * FROM g_full WHERE NOT test_only AND kind IN ('Import', 'InlinePath', 'ReExport')""",
-    "claims": f"""SELECT {_node('a')} AS f, {_node('b')} AS t, CASE (a + b) % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'function_call' WHEN 2 THEN 'inheritance' WHEN 3 THEN 'composition' WHEN 4 THEN 'data_flow' ELSE 'module' END AS kind,
-        CAST(a * b % 5 + 1 AS INT) AS importance FROM range(40) x(a) JOIN range(40) y(b) ON (a * 7 + b * 3) % 11 = 0 WHERE a % 10 <> 9 AND b % 10 <> 9 AND a <> 20 AND b <> 20
-        UNION ALL SELECT 'd' || b % 5, {_node('b')}, 'module', 4 FROM range(40) y(b) WHERE b % 5 <> 4 AND b <> 20 AND b // 5 % 2 = 1
-        UNION ALL SELECT * FROM (VALUES ('', 'd0', 'import', 1), ('nowhere/x', 'd0', 'import', 2), ('d1/s21', 'd1/s16', 'import', 3), ('d3/s28', 'd3/s23', 'function_call', 2))""",
+    "modules": """SELECT DISTINCT k FROM listed""",
+    "claims": f"""SELECT {_node('a', 'k')} AS f, {_node('b', 'k')} AS t, CASE (a + b) % 6 WHEN 0 THEN 'import' WHEN 1 THEN 'function_call' WHEN 2 THEN 'inheritance' WHEN 3 THEN 'composition' WHEN 4 THEN 'data_flow' ELSE 'module' END AS kind,
+        CAST(a * b % 5 + 1 AS INT) AS importance FROM modules, range(40) x(a) JOIN range(40) y(b) ON (a * 7 + b * 3) % 11 = 0 WHERE a % 10 <> 9 AND b % 10 <> 9 AND a <> 20 AND b <> 20
+        UNION ALL SELECT concat('m', k, '/d', b % 5), {_node('b', 'k')}, 'module', 4 FROM modules, range(40) y(b) WHERE b % 5 <> 4 AND b <> 20 AND b // 5 % 2 = 1
+        UNION ALL SELECT {_node('21', 'k')}, {_node('16', 'k')}, 'import', 3 FROM modules
+        UNION ALL SELECT {_node('28', 'k')}, CASE WHEN {_node('23', 'k')} IN (SELECT node_id FROM known) THEN {_node('23', 'k')} ELSE concat('s23_', k) END, 'function_call', 2 FROM modules
+        UNION ALL SELECT * FROM (VALUES ('', 'm0/d0', 'import', 1), ('nowhere/x', 'm0/d0', 'import', 2))""",
     "node_counts": """SELECT node_id, count(*) FILTER (WHERE lang <> 'other') AS code, count(*) FILTER (WHERE lang = 'rust') AS supported
-        FROM (SELECT node_id, lang FROM listed UNION ALL SELECT 'd' || b % 5, lang FROM listed WHERE b % 5 <> 4 AND b <> 20) GROUP BY node_id""",
+        FROM (SELECT node_id, lang FROM listed UNION ALL SELECT concat('m', k, '/d', b % 5), lang FROM listed WHERE b % 5 <> 4 AND b <> 20) GROUP BY node_id""",
     "node_stats": """SELECT node_id, sum(b % 4 + 1) AS total, sum(CASE WHEN b % 8 = 3 THEN b % 4 + 1 ELSE 0 END) AS unresolved FROM listed GROUP BY node_id""",
     "degrees": """SELECT t AS node_id, sum(n) AS degree FROM (SELECT f, t, count(DISTINCT importer) AS n FROM g_full GROUP BY f, t) GROUP BY t""",
     "hubs": """SELECT node_id, degree FROM degrees WHERE degree >= 0.5 * (SELECT count(*) FROM nodes)""",
@@ -107,25 +117,31 @@ class Views:
 
     def file_edges(self) -> DataFrame:
         p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-        thin = (line == 2) & (p % 8 == 1)
-        near = F.when(line == 3, p).when(thin, p % 40 + 40).otherwise(p % 40 + 40 * (1 + s % 2))
+        thin, module = (line == 2) & (p % 8 == 1), 400 * F.expr(_module("l_partkey"))
+        near = F.when(line == 3, p).otherwise(module + F.when(thin, p % 40 + 40).otherwise(p % 40 + 40 * (1 + s % 2)))
         ahead = F.when(F.lit(False), p)
         for n, to in _AHEAD.items():
             ahead = ahead.when(line == n, F.expr(to))
-        rows = self.read("lineitem").select(near.alias("i"), (ahead + 40 * F.when(thin, 1).otherwise(1 + s % 3)).alias("t"), line.alias("line"))
-        kind = F.element_at(F.array(*map(F.lit, ("Import", "InlinePath", "Import", "Import", "ReExport", "ModDecl", "Import"))), F.col("line"))
-        return rows.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), kind.alias("kind"), (F.col("line") == 7).alias("test_only"), "line")
+        far = ahead + 40 * F.when(thin, 1).otherwise(1 + s % 3) + F.when(line == 3, 0).otherwise(module)
+        kind = F.element_at(F.array(*map(F.lit, ("Import", "InlinePath", "Import", "Import", "ReExport", "ModDecl", "Import"))), line)
+        rows = self.read("lineitem").select(near.alias("i"), far.alias("t"), line.alias("line"), kind.alias("kind"))
+        return rows.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), "kind", (F.col("line") == 7).alias("test_only"), "line")
 
     def raw_claims(self) -> DataFrame:
         """ord, from, to, dependency_type, importance, with endpoints as people write them."""
-        b = self.spark.range(40).where("id % 10 <> 9 AND id <> 20")
-        pairs = b.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b")).where("b % 10 <> 9 AND b <> 20 AND (a * 7 + b * 3) % 11 = 0")
-        names = ("Import", "function call", "extends", "composition", "Data Flow", "owns")
-        near = F.concat(F.element_at(F.array(*map(F.lit, ("`", "./", ""))), (F.col("a") % 3 + 1).cast("int")), F.expr(_node("a")), F.element_at(F.array(*map(F.lit, ("`", "", " (all)"))), (F.col("a") % 3 + 1).cast("int")))
-        rows = pairs.select((F.col("a") * 40 + F.col("b")).alias("ord"), near.alias("from"), F.expr(_node("b")).alias("to"), F.element_at(F.array(*map(F.lit, names)), ((F.col("a") + F.col("b")) % 6 + 1).cast("int")).alias("dependency_type"), (F.col("a") * F.col("b") % 5 + 1).cast("int").alias("importance"))
-        nested = b.where("id % 5 <> 4 AND floor(id / 5) % 2 = 1").select((F.col("id") + 2000).alias("ord"), F.expr("concat('d', id % 5)").alias("from"), F.expr(_node("id")).alias("to"), F.lit("module").alias("dependency_type"), F.lit(4).alias("importance"))
-        odd = self.spark.createDataFrame([(3000, "  ", "d0", "import", 1), (3001, "nowhere/x", "d0", "import", 2), (3002, "d1/s21", "d1/s16", "use", 3), (3003, "d3/s28", "s23", "a call", 2)], "ord long, from string, to string, dependency_type string, importance int")
-        return rows.unionByName(nested).unionByName(odd)
+        pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+        modules = self.read("part").select(F.expr(_module("p_partkey")).alias("k")).distinct()
+        a, b, first = F.col("a"), F.col("b"), 10_000 * F.col("k")
+        each = modules.select("k", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b")).where("b % 10 <> 9 AND b <> 20")
+        pairs = each.select("k", F.col("b").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b")).where("b % 10 <> 9 AND b <> 20 AND (a * 7 + b * 3) % 11 = 0")
+        near = F.concat(pick(("`", "./", ""), a % 3), F.expr(_node("a", "k")), pick(("`", "", " (all)"), a % 3))
+        kind = pick(("Import", "function call", "extends", "composition", "Data Flow", "owns"), (a + b) % 6)
+        rows = pairs.select((first + a * 40 + b).alias("ord"), near.alias("from"), F.expr(_node("b", "k")).alias("to"), kind.alias("dependency_type"), (a * b % 5 + 1).cast("int").alias("importance"))
+        nested = each.where("b % 5 <> 4 AND floor(b / 5) % 2 = 1").select(first + b + 2000, F.expr("concat('m', k, '/d', b % 5)"), F.expr(_node("b", "k")), F.lit("module"), F.lit(4))
+        short = modules.select(first + 3002, F.expr(_node("21", "k")), F.expr(_node("16", "k")), F.lit("use"), F.lit(3)).union(
+            modules.select(first + 3003, F.expr(_node("28", "k")), F.concat(F.lit("s23_"), F.col("k").cast("string")), F.lit("a call"), F.lit(2)))
+        odd = self.spark.createDataFrame([(3000, "  ", "m0/d0", "import", 1), (3001, "nowhere/x", "m0/d0", "import", 2)], "ord long, from string, to string, dependency_type string, importance int")
+        return rows.union(nested).union(short).union(odd)
 
     def claims(self) -> DataFrame:
         """As they are after normalising: each endpoint a place of the tree, or empty or unknown."""
@@ -142,10 +158,10 @@ class Views:
 
     def file_node(self) -> DataFrame:
         """The same file_node by its rule, for queries that need no claims."""
-        return self.read("part").select(F.expr(_path("p_partkey")).alias("file"), F.expr(_node("p_partkey % 40")).alias("node_id"))
+        return self.read("part").select(F.expr(_path("p_partkey")).alias("file"), F.expr(_node("p_partkey % 40", _module("p_partkey"))).alias("node_id"))
 
     def nodes(self) -> DataFrame:
-        tops = self.spark.range(4).select(F.expr("concat('d', id)").alias("node_id"))
+        tops = self.read("part").where("p_partkey % 5 <> 4").select(F.expr(f"concat('m', {_module('p_partkey')}, '/d', p_partkey % 5)").alias("node_id"))
         return self.file_node().select("node_id").union(tops).distinct()
 
     def node_stats(self) -> DataFrame:
