@@ -1,12 +1,13 @@
-"""Imports to target files: JavaScript and Python as joins of candidates with the file set, Rust by its module layout.
+"""Imports to target files: joins of candidates with the file set; for Rust, of module paths with the relation of its modules.
 
 imports: importer, seq, lang, kind, test_only, line, root, levels, inline, segs, names, spec. Results: importer, seq, outcome (internal, external,
-unresolved) and target (a row for each).
+unresolved) and target (a row for each). Files and imports may have a ``tree``: then a tree's imports meet its own files alone, and results have it too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,28 +22,30 @@ from lodestone.session import kept
 JS_EXTENSIONS = ("ts", "tsx", "d.ts", "js", "jsx", "mjs", "cjs", "json", "vue", "svelte")
 #: Globs of test files.
 TEST_GLOBS = ("tests/**", "test/**", "**/__tests__/**", "**/*_test.*", "**/test_*.py", "**/*.spec.*", "**/*.test.*", "**/conftest.py", "benches/**", "examples/**")
-IMPORTS = "importer string, seq int, lang string, kind string, test_only boolean, line int, root string, levels int, inline array<string>, segs array<string>, names array<string>, spec string"
+IMPORTS = "tree string, importer string, seq int, lang string, kind string, test_only boolean, line int, root string, levels int, inline array<string>, segs array<string>, names array<string>, spec string"
 
 
 def imports(files: DataFrame, crates: DataFrame | None = None, test_globs: tuple[str, ...] = TEST_GLOBS, cfg_test: bool = True) -> DataFrame:
-    """files: rel_path, extension, content. crates: file, crate (a Rust file's package)."""
-    rows = files.select("rel_path", paths.language(F.col("extension")).alias("lang"), "content", paths.matches_any(F.col("rel_path"), test_globs).alias("test"))
+    """files: rel_path, extension, content (and tree). crates: file, crate (a Rust file's package; and tree)."""
+    own = ["tree"] if "tree" in files.columns else []
+    rows = _treed(files).select("tree", "rel_path", paths.language(F.col("extension")).alias("lang"), "content", paths.matches_any(F.col("rel_path"), test_globs).alias("test"))
     rows = rows.where(paths.is_supported(F.col("lang")) & F.col("content").isNotNull())
-    rows = rows.withColumn("crate", F.lit(None).cast("string")) if crates is None else rows.join(crates, rows.rel_path == crates.file, "left").drop("file")
+    rows = rows.withColumn("crate", F.lit(None).cast("string")) if crates is None else rows.join(_treed(crates).withColumnRenamed("file", "rel_path"), ["tree", "rel_path"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 found = importing.extract(r.lang, sanitize(r.lang, r.content), r.rel_path, r.test, r.crate, cfg_test)
-                out += [(r.rel_path, i, r.lang, f.kind, f.test_only, f.line, f.root, f.levels, f.inline, f.segs, f.names, f.spec) for i, f in enumerate(found)]
+                out += [(r.tree, r.rel_path, i, r.lang, f.kind, f.test_only, f.line, f.root, f.levels, f.inline, f.segs, f.names, f.spec) for i, f in enumerate(found)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in IMPORTS.split(", ")])
 
-    return rows.select("rel_path", "lang", "content", "test", "crate").mapInPandas(run, IMPORTS)
+    found = rows.select("tree", "rel_path", "lang", "content", "test", "crate").mapInPandas(run, IMPORTS)
+    return found if own else found.drop("tree")
 
 
 def _outcome(df: DataFrame, outcome: Column, target: Column) -> DataFrame:
-    return df.select("importer", "seq", outcome.alias("outcome"), target.alias("target"))
+    return df.select("tree", "importer", "seq", outcome.alias("outcome"), target.alias("target"))
 
 
 def _with_extension(path: Column, ext: str) -> Column:
@@ -50,27 +53,44 @@ def _with_extension(path: Column, ext: str) -> Column:
     return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", ""), F.lit(f".{ext}"))
 
 
+def _treed(df: DataFrame) -> DataFrame:
+    return df if "tree" in df.columns else df.withColumn("tree", F.lit(""))
+
+
+def _by_tree(resolver: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """A resolver that finds a tree in its frames and returns it, for frames with or without one."""
+
+    @functools.wraps(resolver)
+    def run(found: DataFrame, files: DataFrame) -> DataFrame:
+        out = resolver(_treed(found), _treed(files))
+        return out if "tree" in found.columns else out.drop("tree")
+
+    return run
+
+
+@_by_tree
 def js(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative specifiers try the path itself, then extensions, then an index file, then the same for .ts in place of .js."""
     rows = found.where("lang = 'js'")
     relative = F.col("spec").rlike(r"^(?:\./|\.\./|\.$|\.\.$)")
     other = _outcome(rows.where(~relative), F.when(F.col("spec").rlike("^[@~]/"), "unresolved").otherwise("external"), F.lit(None).cast("string"))
     base = paths.lexical(F.concat_ws("/", paths.parent(F.col("importer")), "spec"))
-    rows = rows.where(relative).select("importer", "seq", base.alias("base"))
+    rows = rows.where(relative).select("tree", "importer", "seq", base.alias("base"))
     swapped = F.regexp_replace("base", r"\.js$", ".ts")
     tried = [F.col("base")]
     for b in (F.col("base"), F.when(F.endswith("base", F.lit(".js")), swapped)):
         tried += [_with_extension(b, e) for e in JS_EXTENSIONS] + [F.concat(b, F.lit(f"/index.{e}")) for e in JS_EXTENSIONS]
-    candidates = rows.select("importer", "seq", F.posexplode(F.array(*tried)).alias("rank", "path")).where("path is not null")
-    hit = candidates.join(files.select(F.col("rel_path").alias("path")), "path").groupBy("importer", "seq").agg(F.min_by("path", "rank").alias("target"))
-    got = rows.join(hit, ["importer", "seq"], "left")
+    candidates = rows.select("tree", "importer", "seq", F.posexplode(F.array(*tried)).alias("rank", "path")).where("path is not null")
+    hit = candidates.join(files.select("tree", F.col("rel_path").alias("path")), ["tree", "path"]).groupBy("tree", "importer", "seq").agg(F.min_by("path", "rank").alias("target"))
+    got = rows.join(hit, ["tree", "importer", "seq"], "left")
     return other.unionByName(_outcome(got, F.when(F.col("target").isNotNull(), "internal").otherwise("unresolved"), F.col("target")))
 
 
+@_by_tree
 def python(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative imports climb and look for a module or package; absolute ones match the tail of exactly one file. Names are submodules first."""
-    key = ["importer", "seq"]
-    py = files.where(F.endswith("rel_path", F.lit(".py"))).select(F.col("rel_path").alias("path"))
+    key = ["tree", "importer", "seq"]
+    py = files.where(F.endswith("rel_path", F.lit(".py"))).select("tree", F.col("rel_path").alias("path"))
     rows = found.where("lang = 'python'").withColumn("module", F.array_join("segs", "/"))
     home = paths.parent(F.col("importer"))
     depth = F.when(home == "", 0).otherwise(F.size(F.split(home, "/")))
@@ -78,19 +98,19 @@ def python(found: DataFrame, files: DataFrame) -> DataFrame:
     under = lambda d, n: F.when(d == "", n).otherwise(F.concat(d, F.lit("/"), n))
 
     # absolute: every tail of every file is a key
-    stems = py.select("path", F.explode(F.array_distinct(F.array(F.regexp_replace("path", r"\.py$", ""), F.regexp_replace("path", r"/__init__\.py$", "")))).alias("stem")).where("not stem like '%.py'")
-    tails = stems.select("path", F.explode(F.array_append(paths.suffixes(F.col("stem")), F.col("stem"))).alias("module")).distinct()
-    unique = tails.groupBy("module").agg(F.count("*").alias("n"), F.min("path").alias("hit"))
-    absolute = rows.where("levels = 0").join(unique, "module", "left").select(*key, "names", F.when(F.col("n") == 1, F.col("hit")).alias("hit"), F.when(F.col("n").isNull(), "external").when(F.col("n") > 1, "unresolved").otherwise("internal").alias("outcome"))
+    stems = py.select("tree", "path", F.explode(F.array_distinct(F.array(F.regexp_replace("path", r"\.py$", ""), F.regexp_replace("path", r"/__init__\.py$", "")))).alias("stem")).where("not stem like '%.py'")
+    tails = stems.select("tree", "path", F.explode(F.array_append(paths.suffixes(F.col("stem")), F.col("stem"))).alias("module")).distinct()
+    unique = tails.groupBy("tree", "module").agg(F.count("*").alias("n"), F.min("path").alias("hit"))
+    absolute = rows.where("levels = 0").join(unique, ["tree", "module"], "left").select(*key, "names", F.when(F.col("n") == 1, F.col("hit")).alias("hit"), F.when(F.col("n").isNull(), "external").when(F.col("n") > 1, "unresolved").otherwise("internal").alias("outcome"))
 
     # relative
     climbed = rows.where("levels > 0").withColumn("base", F.when(F.col("levels") - 1 <= depth, base))
     wanted = climbed.where("module <> ''").withColumn("stem", under(F.col("base"), F.col("module")))
     options = wanted.select(*key, F.posexplode(F.array(F.concat("stem", F.lit(".py")), F.concat("stem", F.lit("/__init__.py")))).alias("rank", "path"))
-    modules = options.join(py, "path").groupBy(*key).agg(F.min_by("path", "rank").alias("hit"))
+    modules = options.join(py, ["tree", "path"]).groupBy(*key).agg(F.min_by("path", "rank").alias("hit"))
     relative = wanted.join(modules, key, "left").select(*key, "names", "hit", F.when(F.col("hit").isNull(), "unresolved").otherwise("internal").alias("outcome"))
     bare = climbed.where("module = ''").select(*key, "names", "base", F.when(F.col("base").isNotNull(), under(F.col("base"), F.lit("__init__.py"))).alias("init"))
-    bare = bare.join(py.withColumnRenamed("path", "init_found"), F.col("init") == F.col("init_found"), "left")
+    bare = bare.join(py.select("tree", F.col("path").alias("init"), F.col("path").alias("init_found")), ["tree", "init"], "left")
 
     # names as submodules of a package
     absolute, relative, bare = kept(absolute), kept(relative), kept(bare)
@@ -99,7 +119,7 @@ def python(found: DataFrame, files: DataFrame) -> DataFrame:
     asked = asked.distinct()
     stem = under(F.col("home"), F.col("name"))
     options = asked.where("home is not null").select(*key, "name", F.posexplode(F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))).alias("rank", "path"))
-    subs = options.join(py, "path").groupBy(*key, "name").agg(F.min_by("path", "rank").alias("sub"))
+    subs = options.join(py, ["tree", "path"]).groupBy(*key, "name").agg(F.min_by("path", "rank").alias("sub"))
     told = kept(asked.join(subs, [*key, "name"], "left"))
     counts = told.groupBy(*key).agg(F.count_if(F.col("sub").isNull()).alias("leftover"), F.count("sub").alias("hits"))
     targets = told.where("sub is not null").select(*key, F.col("sub").alias("target"))
@@ -111,129 +131,118 @@ def python(found: DataFrame, files: DataFrame) -> DataFrame:
     return internal.select(*key, "outcome", "target").unionByName(rest.select(*key, "outcome", "target"))
 
 
-class Layout:
-    """The modules of a tree's Rust packages: which crate a file belongs to, its module path, and where its children are."""
-
-    def __init__(self, files: set[str], packages: dict[str, str]):
-        self.files, self.packages = files, packages
-        self.crate: dict[str, str] = {}  # file -> crate, which is named by its root file
-        self.module: dict[str, tuple[str, ...]] = {}
-        self.children: dict[str, str] = {}
-        self.base: dict[str, str] = {}  # crate -> where its modules begin
-        self.name: dict[str, str] = {}
-        self.file_of: dict[tuple[str, tuple[str, ...]], str] = {}
-        lib: dict[str, bool] = {}
-        for f in sorted((f for f in files if f.endswith(".rs")), key=lambda p: p.split("/")):
-            crate, module, children, base, is_lib = self._place(f)
-            self.crate[f], self.module[f], self.children[f] = crate, module, children
-            if crate not in self.base:
-                self.base[crate], lib[crate] = base, is_lib
-                self.name[crate] = packages.get(self._package(f) or "", "") if self._package(f) is not None else ""
-            self.file_of[crate, module] = f
-        self.libs: dict[str, str] = {}
-        for crate in self.base:
-            if lib[crate] and self.name[crate]:
-                self.libs.setdefault(self.name[crate], crate)
-
-    def _package(self, f: str) -> str | None:
-        parts = f.split("/")[:-1]
-        return next((d for d in ("/".join(parts[:n]) for n in range(len(parts), -1, -1)) if d in self.packages), None)
-
-    def _place(self, f: str) -> tuple[str, tuple[str, ...], str, str, bool]:
-        home, _, name = f.rpartition("/")
-        package = self._package(f)
-        src = None if package is None else join(package, "src")
-        if src is None or not f.startswith(src + "/"):
-            return f, (), home, home, name == "lib.rs"
-        inner = f[len(src) + 1 :].split("/")[:-1]
-        if inner == ["bin"] and name != "mod.rs":
-            return f, (), home, home, name == "lib.rs"
-        anchor = name in ("lib.rs", "main.rs", "mod.rs")
-        stem = name.removesuffix(".rs")
-        module = (*inner, *(() if anchor else (stem,)))
-        children = home if anchor else join(home, stem)
-        if name in ("lib.rs", "main.rs") and not inner:
-            return f, module, children, children, name == "lib.rs"
-        root = join(src, "lib.rs")
-        return (root if root in self.files else join(src, "main.rs")), module, children, src, True
-
-    def descend(self, at: str, home: str, segs: list[str]) -> str:
-        """The deepest module file that a path reaches."""
-        for s in segs:
-            if s in ("*", "self"):
-                break
-            options = [p for p in (join(home, f"{s}.rs"), join(home, f"{s}/mod.rs")) if p in self.files]
-            if not options:
-                break
-            at, home = options[0], join(home, s)
-        return at
-
-    def resolve(self, importer: str, root: str, levels: int, inline: list[str], segs: list[str]) -> tuple[str, str | None]:
-        if importer not in self.crate:
-            return "unresolved", None
-        crate, own, home = self.crate[importer], self.module[importer], self.children[importer]
-        if root == "named" and segs[0] not in self.libs:
-            near = join(home, f"{segs[0]}.rs") in self.files or join(home, f"{segs[0]}/mod.rs") in self.files
-            return ("internal", self.descend(importer, home, segs)) if near else ("external", None)
-        if root in ("crate", "named"):
-            crate = crate if root == "crate" else self.libs[segs[0]]
-            return "internal", self.descend(crate, self.base[crate], segs if root == "crate" else segs[1:])
-        if root == "self":
-            return "internal", self.descend(importer, "/".join(filter(None, [home, *inline])), segs)
-        context = (*own, *inline)
-        if levels > len(context):
-            return "unresolved", None
-        context = context[: len(context) - levels]
-        if len(context) >= len(own):
-            return "internal", self.descend(importer, "/".join(filter(None, [home, *context[len(own) :]])), segs)
-        parent = self.file_of.get((crate, context))
-        return ("internal", self.descend(parent, self.children[parent], segs)) if parent else ("unresolved", None)
-
-
-def join(*parts: str) -> str:
-    return "/".join(p for p in parts if p)
-
-
-def _layout(files: pd.DataFrame) -> Layout:
-    packages = {r.rel_path.rpartition("/")[0]: r.package for r in files.itertuples(index=False) if r.rel_path.rpartition("/")[2] == "Cargo.toml"}
-    return Layout(set(files["rel_path"]), packages)
-
-
 def packages(files: DataFrame) -> DataFrame:
     """rel_path and package: the names in package manifests (hyphens as underscores; a nameless one has its directory's name)."""
     section = F.regexp_extract("content", r"(?ms)^\s*\[package\][ \t]*$(.*?)(?=^\s*\[|\z)", 1)
     name = F.regexp_extract(section, r"""(?m)^\s*name\s*=\s*["']([^"']*)["']""", 1)
     here = F.element_at(F.split(paths.parent(F.col("rel_path")), "/"), -1)
     name = F.regexp_replace(F.when(name != "", name).otherwise(here), "-", "_")
-    return files.select("rel_path", F.when(paths.base_name(F.col("rel_path")) == "Cargo.toml", name).alias("package"))
+    own = ["tree"] if "tree" in files.columns else []
+    return files.select(*own, "rel_path", F.when(paths.base_name(F.col("rel_path")) == "Cargo.toml", name).alias("package"))
+
+
+def _joined(*parts: Column) -> Column:
+    """Path components joined, empty ones left out."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "/")
+
+
+def rust_modules(files: DataFrame) -> DataFrame:
+    """One row a Rust file: tree, file, package (its nearest manifest's name, '' without one), crate (named by its root file), module (its path in the crate), children
+    (the directory of its child modules), and of its crate base (where modules begin), is_lib and order.
+
+    A file below its package's src is a module of lib.rs, or else main.rs; these two, files of src/bin and all outside src are crates of their own. The manifest is the deepest of the
+    file's ancestors that have one. A crate is as its first file says, in order of paths.
+    """
+    files = _treed(files)
+    manifests = packages(files.where(paths.base_name(F.col("rel_path")) == "Cargo.toml")).select("tree", paths.parent(F.col("rel_path")).alias("dir"), "package")
+    rs = files.where(F.endswith("rel_path", F.lit(".rs"))).select("tree", F.col("rel_path").alias("file"))
+    above = rs.select("tree", "file", F.posexplode(paths.ancestors(F.col("file"))).alias("depth", "dir"))
+    near = above.join(manifests, ["tree", "dir"]).groupBy("tree", "file").agg(F.max_by(F.struct("dir", "package"), "depth").alias("of"))
+    file, name, home, src = F.col("file"), paths.base_name(F.col("file")), paths.parent(F.col("file")), _joined(F.col("of.dir"), F.lit("src"))
+    inside = F.col("of").isNotNull() & F.startswith(file, F.concat(src, F.lit("/")))
+    rows = rs.join(near, ["tree", "file"], "left").select("tree", "file", F.coalesce("of.package", F.lit("")).alias("package"), src.alias("src"), inside.alias("inside"),
+        F.when(inside, paths.parent(F.substring(file, F.length(src) + 2, F.length(file)))).alias("inner"), name.alias("name"), home.alias("home"))
+    stem = F.regexp_replace("name", r"(\.rs)+$", "")
+    apart = ~F.col("inside") | ((F.col("inner") == "bin") & (F.col("name") != "mod.rs"))
+    anchor = F.col("name").isin("lib.rs", "main.rs", "mod.rs")
+    root = apart | (F.col("name").isin("lib.rs", "main.rs") & (F.col("inner") == ""))
+    inner = F.when(F.col("inner") == "", F.array().cast("array<string>")).otherwise(F.split("inner", "/"))
+    module = F.when(apart, F.array().cast("array<string>")).when(anchor, inner).otherwise(F.array_append(inner, stem))
+    children = F.when(apart | anchor, F.col("home")).otherwise(_joined(F.col("home"), stem))
+    rows = rows.select("tree", "file", "package", "src", root.alias("root"), module.alias("module"), children.alias("children"), (F.col("name") == "lib.rs").alias("named_lib"))
+    libs = rs.where(paths.base_name(F.col("file")) == "lib.rs").select("tree", F.col("file").alias("lib"), F.lit(True).alias("there"))
+    rows = rows.withColumn("lib", F.when(~F.col("root"), F.concat("src", F.lit("/lib.rs")))).join(libs, ["tree", "lib"], "left")
+    crate = F.when(F.col("root"), F.col("file")).when(F.col("there"), F.col("lib")).otherwise(F.concat("src", F.lit("/main.rs")))
+    rows = rows.select("tree", "file", "package", crate.alias("crate"), "module", "children", F.when(F.col("root"), F.col("children")).otherwise(F.col("src")).alias("base"), (~F.col("root") | F.col("named_lib")).alias("is_lib"))
+    first = F.min_by(F.struct("package", "base", "is_lib"), paths.components(F.col("file")))
+    crates = rows.groupBy("tree", "crate").agg(first.alias("c"), F.min(paths.components(F.col("file"))).alias("order"))
+    return rows.drop("package", "base", "is_lib").join(crates, ["tree", "crate"]).select("tree", "file", "c.package", "crate", "module", "children", "c.base", "c.is_lib", "order")
 
 
 def rust_crates(files: DataFrame) -> DataFrame:
-    """file, crate: the package name of every Rust file. A tree's paths form one layout, in one task."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        layout = _layout(rows)
-        return pd.DataFrame([(f, layout.name[c] or None) for f, c in layout.crate.items()], columns=["file", "crate"])
-
-    wanted = F.endswith("rel_path", F.lit(".rs")) | (paths.base_name(F.col("rel_path")) == "Cargo.toml")
-    return packages(files.where(wanted)).withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(run, "file string, crate string")
-
-
+    """file, crate (and tree): the package name of every Rust file."""
+    own = ["tree"] if "tree" in files.columns else []
+    return rust_modules(files).select(*own, "file", F.nullif("package", F.lit("")).alias("crate"))
+
+
+def _descended(starts: DataFrame, files: DataFrame) -> DataFrame:
+    """starts(tree, importer, seq, at, home, segs): adds ``steps`` and ``target``, the deepest module file that a path reaches; ``at`` if none.
+
+    Every prefix of a path, up to a star or self, is a key into the modules' paths (a module x is x.rs, else x/mod.rs); the longest run of hits from the first on counts.
+    """
+    rs = _treed(files).where(F.endswith("rel_path", F.lit(".rs"))).select("tree", F.col("rel_path").alias("file"))
+    stems = F.array(F.struct(F.regexp_replace("file", r"\.rs$", "").alias("path"), F.lit(0).alias("rank")), F.when(F.endswith("file", F.lit("/mod.rs")), F.struct(paths.parent(F.col("file")).alias("path"), F.lit(1).alias("rank"))))
+    modules = rs.select("tree", "file", F.explode(F.array_compact(stems)).alias("m")).groupBy("tree", "m.path").agg(F.min_by("file", "m.rank").alias("hit"))
+    ends = F.filter(F.array(F.array_position("segs", "*"), F.array_position("segs", "self")), lambda n: n > 0)
+    used = F.coalesce(F.array_min(ends) - 1, F.size("segs")).cast("int")
+    steps = F.transform(F.when(used > 0, F.sequence(F.lit(1), used)).otherwise(F.array().cast("array<int>")), lambda n: _joined(F.col("home"), F.array_join(F.slice("segs", F.lit(1), n), "/")))
+    asked = starts.select("tree", "importer", "seq", F.posexplode(steps).alias("step", "path"))
+    hits = asked.join(modules, ["tree", "path"]).groupBy("tree", "importer", "seq").agg(F.array_sort(F.collect_list(F.struct("step", "hit"))).alias("hits"))
+    run = F.filter("hits", lambda h, k: h["step"] == k)
+    hits = hits.select("tree", "importer", "seq", F.size(run).alias("steps"), F.element_at(run, -1)["hit"].alias("reached"))
+    out = starts.join(hits, ["tree", "importer", "seq"], "left")
+    return out.withColumn("steps", F.coalesce("steps", F.lit(0))).withColumn("target", F.coalesce("reached", "at")).drop("reached")
+
+
+@_by_tree
 def rust(found: DataFrame, files: DataFrame) -> DataFrame:
-    rows = found.where("lang = 'rust'").select("importer", "seq", "root", "levels", "inline", "segs")
-    wanted = F.endswith("rel_path", F.lit(".rs")) | (paths.base_name(F.col("rel_path")) == "Cargo.toml")
-
-    def run(imports_: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
-        layout = _layout(tree)
-        told = [(r.importer, r.seq, *layout.resolve(r.importer, r.root, r.levels, list(r.inline), list(r.segs))) for r in imports_.itertuples(index=False)]
-        return pd.DataFrame(told, columns=["importer", "seq", "outcome", "target"])
-
-    return rows.withColumn("tree", F.lit(0)).groupBy("tree").cogroup(packages(files.where(wanted)).withColumn("tree", F.lit(0)).groupBy("tree")).applyInPandas(run, "importer string, seq int, outcome string, target string")
-
-
+    """Each path begins at a crate's root, a crate known by name, the importer's own children or a module above it, and descends from there. A name that is no crate's may be a
+    module beside the importer; else it is external."""
+    modules = kept(rust_modules(files))
+    rows = found.where("lang = 'rust'").select("tree", "importer", "seq", "root", "levels", "inline", "segs")
+    rows = rows.join(modules.select("tree", F.col("file").alias("importer"), "crate", "module", "children", "base"), ["tree", "importer"], "left")
+    libs = modules.where("is_lib AND package <> ''").groupBy("tree", "package").agg(F.min_by(F.struct("crate", "base"), "order").alias("lib"))
+    head = F.when(F.col("root") == "named", F.get("segs", F.lit(0)))
+    rows = rows.withColumn("head", head).join(libs.withColumnRenamed("package", "head"), ["tree", "head"], "left")
+    by_path = modules.groupBy("tree", "crate", "module").agg(F.max_by(F.struct("file", "children"), paths.components(F.col("file"))).alias("parent"))
+    context = F.concat("module", "inline")
+    depth = F.size(context) - F.col("levels")
+    up = F.when((F.col("root") == "super") & (depth >= 0) & (depth < F.size("module")), F.slice("module", F.lit(1), F.greatest(depth, F.lit(0))))
+    rows = rows.withColumn("up", up).join(by_path.withColumnRenamed("module", "up"), ["tree", "crate", "up"], "left")
+    inline = F.when(F.col("root") == "self", F.col("inline")).when(depth >= F.size("module"), F.slice(context, F.size("module") + 1, F.greatest(depth - F.size("module"), F.lit(0))))
+    beside = F.struct(F.col("importer").alias("at"), _joined(F.col("children"), F.array_join(inline, "/")).alias("home"), F.col("segs").alias("segs"))
+    tail = F.slice("segs", F.lit(2), F.size("segs"))
+    start = (
+        F.when(F.col("crate").isNull(), None)
+        .when(F.col("root") == "crate", F.struct(F.col("crate").alias("at"), F.col("base").alias("home"), F.col("segs").alias("segs")))
+        .when(F.col("lib").isNotNull(), F.struct(F.col("lib.crate").alias("at"), F.col("lib.base").alias("home"), tail.alias("segs")))
+        .when(F.col("root") == "named", F.struct(F.col("importer").alias("at"), F.col("children").alias("home"), F.col("segs").alias("segs")))
+        .when((F.col("root") == "self") | (depth >= F.size("module")), beside)
+        .when(F.col("parent").isNotNull(), F.struct(F.col("parent.file").alias("at"), F.col("parent.children").alias("home"), F.col("segs").alias("segs")))
+    )
+    rows = rows.select("tree", "importer", "seq", start.alias("start"), ((F.col("root") == "named") & F.col("lib").isNull()).alias("loose")).select("tree", "importer", "seq", "loose", "start.*")
+    told = _descended(rows.where("at IS NOT NULL"), files)
+    internal = ~F.col("loose") | (F.col("steps") > 0)
+    told = told.select("tree", "importer", "seq", F.when(internal, "internal").otherwise("external").alias("outcome"), F.when(internal, F.col("target")).alias("target"))
+    lost = rows.where("at IS NULL").select("tree", "importer", "seq", F.lit("unresolved").alias("outcome"), F.lit(None).cast("string").alias("target"))
+    return told.unionByName(lost)
+
+
+@_by_tree
 def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
     """All outcomes, with the import's kind, test_only and line."""
     told = js(found, files).unionByName(python(found, files)).unionByName(rust(found, files))
-    return told.join(found.select("importer", "seq", "kind", "test_only", "line"), ["importer", "seq"])
+    return told.join(found.select("tree", "importer", "seq", "kind", "test_only", "line"), ["tree", "importer", "seq"])
 
 
 def file_edges(told: DataFrame) -> DataFrame:

@@ -439,6 +439,29 @@ def import_resolve(v: Views) -> DataFrame:
     return resolve.resolved(kept(resolve.imports(files)), files).select("importer", "seq", "outcome", "target")
 
 
+@query("SELECT tree, file, package, crate, array_to_string(module, '::') AS module, children, base, is_lib FROM rust_module")
+def rust_layout(v: Views) -> DataFrame:
+    return resolve.rust_modules(v.rust_files()).select("tree", "file", "package", "crate", F.array_join("module", "::").alias("module"), "children", "base", "is_lib")
+
+
+@query("""WITH RECURSIVE libs AS (SELECT tree, package, arg_min(crate, first) AS crate, arg_min(base, first) AS base FROM rust_module WHERE is_lib AND package <> '' GROUP BY tree, package),
+by_path AS (SELECT tree, crate, module, arg_max(file, parts) AS file, arg_max(children, parts) AS children FROM rust_module GROUP BY tree, crate, module),
+j AS (SELECT i.*, m.crate, m.base, m.module, m.children, l.crate AS lib, l.base AS lib_base, list_concat(m.module, inline) AS context, len(m.module) + len(inline) - levels AS depth
+ FROM rust_imports i JOIN rust_module m ON m.tree = i.tree AND m.file = i.importer LEFT JOIN libs l ON root = 'named' AND l.tree = i.tree AND l.package = segs[1]),
+k AS (SELECT j.*, p.file AS up, p.children AS up_children FROM j LEFT JOIN by_path p ON root = 'super' AND depth >= 0 AND depth < len(j.module) AND p.tree = j.tree AND p.crate = j.crate AND p.module = context[:depth]),
+start AS (SELECT tree, importer, seq, root = 'named' AND lib IS NULL AS loose,
+ CASE WHEN root = 'crate' THEN crate WHEN lib IS NOT NULL THEN lib WHEN root = 'super' AND depth < len(module) THEN up ELSE importer END AS here,
+ CASE WHEN root = 'crate' THEN base WHEN lib IS NOT NULL THEN lib_base WHEN root = 'super' AND depth < len(module) THEN up_children WHEN root = 'super' THEN array_to_string(list_concat([children], context[len(module) + 1:depth]), '/') ELSE array_to_string(list_concat([children], inline), '/') END AS home,
+ CASE WHEN lib IS NOT NULL THEN segs[2:] ELSE segs END AS segs FROM k),
+walk AS (SELECT *, 0 AS n FROM start WHERE here IS NOT NULL
+ UNION ALL SELECT w.tree, importer, seq, loose, coalesce(a.file, b.file), home || '/' || segs[n + 1], segs, n + 1 FROM walk w LEFT JOIN rust_sources a ON a.tree = w.tree AND a.file = home || '/' || segs[n + 1] || '.rs' LEFT JOIN rust_sources b ON b.tree = w.tree AND b.file = home || '/' || segs[n + 1] || '/mod.rs'
+ WHERE n < len(segs) AND segs[n + 1] NOT IN ('*', 'self') AND coalesce(a.file, b.file) IS NOT NULL)
+SELECT tree, importer, seq, CASE WHEN loose AND max(n) = 0 THEN 'external' ELSE 'internal' END AS outcome, CASE WHEN NOT (loose AND max(n) = 0) THEN arg_max(here, n) END AS target FROM walk GROUP BY tree, importer, seq, loose
+UNION ALL SELECT tree, importer, seq, 'unresolved', NULL FROM start WHERE here IS NULL""")
+def rust_resolve(v: Views) -> DataFrame:
+    return resolve.rust(v.rust_imports(), v.rust_files())
+
+
 @query()
 def sanitize_sources(v: Views) -> DataFrame:
     clear = _sources(v).select("rel_path", clean.sanitized(paths.language(F.col("extension")), "content").alias("clear"))

@@ -31,6 +31,18 @@ def _path(key: str) -> str:
     return f"concat('m', {_module(key)}, '/d', {key} % 5, '/s', {key} % 40, '_', {_module(key)}, CASE WHEN {key} % 40 = 15 THEN '/utils' ELSE '' END, '/p', {key})"
 
 
+def _group(key: str) -> str:
+    return f"CAST(floor({key} / 40) AS BIGINT)"
+
+
+def _rust_path(key: str) -> str:
+    i, g = f"{key} % 40", _group(key)
+    return f"""concat('k', {g}, '/', CASE WHEN {i} = 0 AND {g} % 4 = 0 THEN 'src/other.rs' WHEN {i} = 0 THEN 'src/lib.rs' WHEN {i} = 1 THEN 'src/main.rs' WHEN {i} < 10 THEN concat('src/m', {i}, '.rs')
+        WHEN {i} < 18 THEN concat('src/m', {i} - 8, '/x', {i}, '.rs') WHEN {i} < 22 THEN concat('src/n', {i}, '/mod.rs') WHEN {i} < 30 THEN concat('src/n', 18 + {i} % 4, '/y', {i}, '.rs') WHEN {i} < 32 THEN concat('src/bin/b', {i}, '.rs')
+        WHEN {i} < 34 THEN concat('tests/t', {i}, '.rs') WHEN {i} = 34 THEN 'examples/e.rs' WHEN {i} = 35 THEN 'build.rs' WHEN {i} = 36 THEN 'src/m2/x10/z.rs' WHEN {i} = 37 THEN 'src/bin/mod.rs'
+        WHEN {i} = 38 THEN 'inner/src/lib.rs' WHEN {g} % 7 = 3 THEN 'inner/Cargo.toml' ELSE 'Cargo.toml' END)"""
+
+
 #: The same relations in SQL, each a common table expression; ``with_views`` puts those that a query names in front of it.
 SQL = {
     "files": """SELECT source || '/' || lang || '/doc_' || doc_id || '.' || CASE doc_id % 5 WHEN 0 THEN 'rs' WHEN 1 THEN 'py' WHEN 2 THEN 'ts' WHEN 3 THEN 'md' ELSE 'sql' END AS rel_path,
@@ -66,6 +78,22 @@ SQL = {
         UNION ALL SELECT x.f, y.t, [x.f, x.t, y.t] FROM open_links x JOIN links y ON x.t = y.f WHERE y.t <> x.f
         UNION ALL SELECT x.f, z.t, [x.f, x.t, y.t, z.t] FROM open_links x JOIN open_links y ON x.t = y.f JOIN links z ON y.t = z.f WHERE y.t <> x.f AND z.t NOT IN (x.f, x.t)""",
     "routes": """SELECT a, b, arg_min(path, {'n': len(path), 'p': path}) AS path FROM walks GROUP BY a, b""",
+    "rust_files": f"""SELECT concat('t', {_group('p_partkey')} % 3) AS tree, {_rust_path('p_partkey')} AS file, {_group('p_partkey')} AS g, p_partkey % 40 AS i FROM part""",
+    "rust_sources": """SELECT tree, file, string_split(file, '/') AS parts FROM rust_files WHERE i <> 39""",
+    "manifests": """SELECT tree, dir, CASE WHEN g % 5 = 0 THEN string_split(dir, '/')[-1] ELSE 'pkg_' || g % 11 END AS package FROM (SELECT tree, g, regexp_replace(file, '/[^/]*$', '') AS dir FROM rust_files WHERE i = 39)""",
+    "rust_near": """SELECT s.tree, file, parts, arg_max(dir, len(dir)) AS dir, arg_max(package, len(dir)) AS package FROM rust_sources s LEFT JOIN manifests m ON m.tree = s.tree AND starts_with(file, dir || '/') GROUP BY ALL""",
+    "rust_inside": """SELECT *, parts[-1] AS name, array_to_string(parts[:-2], '/') AS home, CASE WHEN starts_with(file, dir || '/src/') THEN string_split(file[len(dir) + 6:], '/')[:-2] END AS inner_dirs FROM rust_near""",
+    "rust_kinds": """SELECT *, inner_dirs IS NULL OR (inner_dirs = ['bin'] AND name <> 'mod.rs') AS apart, coalesce(name IN ('lib.rs', 'main.rs') AND len(inner_dirs) = 0, false) AS top, name IN ('lib.rs', 'main.rs', 'mod.rs') AS anchor, name[:-4] AS stem FROM rust_inside""",
+    "rust_place": """SELECT tree, file, parts, coalesce(package, '') AS package, CASE WHEN apart THEN [] WHEN anchor THEN inner_dirs ELSE list_append(inner_dirs, stem) END AS module,
+        CASE WHEN apart OR anchor THEN home ELSE home || '/' || stem END AS children, CASE WHEN apart OR top THEN file WHEN (k.tree, dir || '/src/lib.rs') IN (SELECT tree, file FROM rust_sources) THEN dir || '/src/lib.rs' ELSE dir || '/src/main.rs' END AS crate,
+        CASE WHEN apart OR top THEN home ELSE dir || '/src' END AS base, CASE WHEN apart OR top THEN name = 'lib.rs' ELSE true END AS is_lib FROM rust_kinds k""",
+    "rust_crate": """SELECT tree, crate, arg_min(package, parts) AS package, arg_min(base, parts) AS base, arg_min(is_lib, parts) AS is_lib, min(parts) AS first FROM rust_place GROUP BY tree, crate""",
+    "rust_module": """SELECT p.tree, p.file, p.parts, c.package, p.crate, p.module, p.children, c.base, c.is_lib, c.first FROM rust_place p JOIN rust_crate c ON c.tree = p.tree AND c.crate = p.crate""",
+    "rust_imports": f"""SELECT concat('t', {_group('l_partkey')} % 3) AS tree, {_rust_path('l_partkey')} AS importer, (l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS seq,
+        CASE l_linenumber WHEN 1 THEN 'crate' WHEN 2 THEN 'self' WHEN 3 THEN 'super' WHEN 7 THEN 'crate' ELSE 'named' END AS root, CASE WHEN l_linenumber = 3 THEN CAST(1 + s % 2 AS INT) ELSE 0 END AS levels,
+        CASE WHEN l_linenumber IN (2, 3) AND s % 3 = 0 THEN ['tests'] ELSE [] END AS inline,
+        CASE l_linenumber WHEN 1 THEN ['m' || 2 + s % 9, 'x' || 10 + s % 9, 'Item'] WHEN 2 THEN ['x' || 10 + s % 8] WHEN 3 THEN ['y' || 22 + s % 8, '*'] WHEN 4 THEN ['pkg_' || s % 13, 'm' || 2 + s % 8, 'x' || 10 + s % 8, 'self', 'no']
+          WHEN 5 THEN ['m' || 2 + s % 8, 'T'] WHEN 6 THEN ['std', 'fs'] ELSE ['n' || 18 + s % 4, 'y' || 22 + s % 8, '*'] END AS segs FROM (SELECT *, l_suppkey AS s FROM lineitem) WHERE l_partkey % 40 <> 39""",
     "old_files": """SELECT rel_path AS path, CASE WHEN doc_id % 7 = 0 THEN sha256(content || '#') ELSE sha256(content) END AS hash FROM files WHERE doc_id % 10 <> 0""",
     "all_files": """SELECT rel_path AS path, sha256(content) AS hash FROM files""",
     "new_files": """SELECT rel_path AS path, sha256(content) AS hash FROM files WHERE doc_id % 11 <> 0""",
@@ -177,5 +205,28 @@ class Views:
     def new_files(self) -> DataFrame:
         return self.files().where("doc_id % 11 <> 0").select(F.col("rel_path").alias("path"), F.sha2("content", 256).alias("hash"))
 
+    def rust_files(self) -> DataFrame:
+        """Trees of Rust packages, 40 parts each, some without a manifest of their own, some with one name: tree, rel_path, content."""
+        g = F.expr(_group("p_partkey"))
+        name = F.when(g % 5 == 0, F.lit("version = '1'")).otherwise(F.concat(F.lit('name = "pkg-'), (g % 11).cast("string"), F.lit('"')))
+        content = F.when(F.col("p_partkey") % 40 == 39, F.concat(F.lit("[package]\n"), name, F.lit("\n[dependencies]\nname = 'x'\n")))
+        return self.read("part").select(F.concat(F.lit("t"), (g % 3).cast("string")).alias("tree"), F.expr(_rust_path("p_partkey")).alias("rel_path"), content.alias("content"))
+
+    def rust_imports(self) -> DataFrame:
+        """A lineitem is an import of its part's file; its line number says where the path begins."""
+        s, line = F.col("l_suppkey"), F.col("l_linenumber")
+        name = lambda head, n: F.concat(F.lit(head), n.cast("string"))
+        lit = lambda *words: F.array(*map(F.lit, words))
+        m, x, y = name("m", 2 + s % 8), name("x", 10 + s % 8), name("y", 22 + s % 8)
+        segs = (
+            F.when(line == 1, F.array(name("m", 2 + s % 9), name("x", 10 + s % 9), F.lit("Item"))).when(line == 2, F.array(x)).when(line == 3, F.array(y, F.lit("*")))
+            .when(line == 4, F.array(name("pkg_", s % 13), m, x, F.lit("self"), F.lit("no"))).when(line == 5, F.array(m, F.lit("T"))).when(line == 6, lit("std", "fs")).otherwise(F.array(name("n", 18 + s % 4), y, F.lit("*")))
+        )
+        root = F.when(line.isin(1, 7), "crate").when(line == 2, "self").when(line == 3, "super").otherwise("named")
+        inline = F.when(line.isin(2, 3) & (s % 3 == 0), lit("tests")).otherwise(F.array().cast("array<string>"))
+        rows = self.read("lineitem").where("l_partkey % 40 <> 39")  # those are manifests, which import nothing
+        return rows.select(F.concat(F.lit("t"), (F.expr(_group("l_partkey")) % 3).cast("string")).alias("tree"), F.expr(_rust_path("l_partkey")).alias("importer"), ((F.col("l_orderkey") * 8 + line) * 100000 + s).alias("seq"),
+            F.lit("rust").alias("lang"), root.alias("root"), F.when(line == 3, (1 + s % 2).cast("int")).otherwise(0).alias("levels"), inline.alias("inline"), segs.alias("segs")).distinct()
+
     def calls(self) -> DataFrame:
         return self.read("events").select("event_id", "ts", F.concat(F.lit("a"), (F.col("user_id") % 7).cast("string")).alias("agent"), F.col("event_type").alias("status"), F.col("value").alias("secs"))
