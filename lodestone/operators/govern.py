@@ -20,10 +20,11 @@ def cache_key(prompt: Column, model: Column, backend: Column, inputs: Column) ->
 
 
 def cached(requests: DataFrame, entries: DataFrame, disabled: bool = False, no_read: bool = False) -> DataFrame:
-    """requests(key) with the cached text, null where there is none."""
+    """requests(key) with the cached text, null where there is none. entries(key, text, and ord where a key may be stored twice: the last stands)."""
     if disabled or no_read:
         return requests.withColumn("text", F.lit(None).cast("string"))
-    return requests.join(entries.select("key", "text"), "key", "left")
+    last = F.max_by("text", "ord") if "ord" in entries.columns else F.max("text")
+    return requests.join(entries.groupBy("key").agg(last.alias("text")), "key", "left")
 
 
 def day(ts: Column) -> Column:

@@ -61,26 +61,6 @@ def drift_text(report: dict, verbose: bool = False) -> str:
     return "\n".join([*out, f"result: {failures(report)} finding(s) would fail under --strict"]) + "\n"
 
 
-def tree(paths: list[str], files: bool = True) -> str:
-    """Paths drawn as a tree, directories first; paths are all files or all directories."""
-    root: dict = {}
-    for p in paths:
-        at = root
-        for part in p.split("/"):
-            at = at.setdefault(part, {})
-    out: list[str] = []
-
-    def walk(node: dict, ahead: str) -> None:
-        named = sorted(node.items(), key=lambda x: (files and not x[1], x[0]))
-        for i, (name, inner) in enumerate(named):
-            last = i == len(named) - 1
-            out.append(f"{ahead}{'└── ' if last else '├── '}{name}{'' if files and not inner else '/'}")
-            walk(inner, ahead + ("    " if last else "│   "))
-
-    walk(root, "")
-    return "".join(f"{x}\n" for x in out)
-
-
 def status_text(status: dict) -> str:
     """Freshness for people: classification, counts of changes and each document's state."""
     out = [f"status: {status['classification']}", *(f"  - {r}" for r in status.get("reasons", ()))]

@@ -22,7 +22,7 @@ from lodestone.session import kept
 JS_EXTENSIONS = ("ts", "tsx", "d.ts", "js", "jsx", "mjs", "cjs", "json", "vue", "svelte")
 #: Globs of test files.
 TEST_GLOBS = ("tests/**", "test/**", "**/__tests__/**", "**/*_test.*", "**/test_*.py", "**/*.spec.*", "**/*.test.*", "**/conftest.py", "benches/**", "examples/**")
-IMPORTS = "tree string, importer string, seq int, lang string, kind string, test_only boolean, line int, root string, levels int, inline array<string>, segs array<string>, names array<string>, spec string"
+IMPORTS = "importer string, seq int, lang string, kind string, test_only boolean, line int, root string, levels int, inline array<string>, segs array<string>, names array<string>, spec string"
 
 
 def imports(files: DataFrame, crates: DataFrame | None = None, test_globs: tuple[str, ...] = TEST_GLOBS, cfg_test: bool = True) -> DataFrame:
@@ -38,9 +38,9 @@ def imports(files: DataFrame, crates: DataFrame | None = None, test_globs: tuple
             for r in batch.itertuples(index=False):
                 found = importing.extract(r.lang, sanitize(r.lang, r.content), r.rel_path, r.test, r.crate, cfg_test)
                 out += [(r.tree, r.rel_path, i, r.lang, f.kind, f.test_only, f.line, f.root, f.levels, f.inline, f.segs, f.names, f.spec) for i, f in enumerate(found)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in IMPORTS.split(", ")])
+            yield pd.DataFrame(out, columns=["tree", *(c.split()[0] for c in IMPORTS.split(", "))])
 
-    found = rows.select("tree", "rel_path", "lang", "content", "test", "crate").mapInPandas(run, IMPORTS)
+    found = rows.select("tree", "rel_path", "lang", "content", "test", "crate").mapInPandas(run, f"tree string, {IMPORTS}")
     return found if own else found.drop("tree")
 
 

@@ -2,17 +2,63 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import paths
-
-NUL = "\u0000"
-
-
-def signature(members: Column) -> Column:
-    """SHA-256 over an array of texts in order, each ended by a zero character."""
-    return F.sha2(F.concat(F.array_join(members, NUL), F.when(F.size(members) > 0, NUL).otherwise("")), 256)
+from lodestone.operators import substrings
+from lodestone.session import kept
+
+#: Bytes of members that one row of a fold carries.
+CHUNK = 1 << 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted members to rows of about CHUNK bytes a key: key, pid (the partition's place in the order), n, bytes."""
+    pid, key, held, n = TaskContext.get().partitionId(), None, bytearray(), 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([pid], pa.int32()), pa.array([n], pa.int64()), pa.array([bytes(held)], pa.binary())], ["key", "pid", "n", "bytes"])
+    for batch in batches:
+        for k, member in zip(batch.column("key").to_pylist(), batch.column("member").to_pylist(), strict=True):
+            if k != key or len(held) >= CHUNK:
+                if key is not None:
+                    yield row()
+                key, n, held = k, n + 1 if k == key else 0, bytearray()
+            if member is not None:
+                held += member.encode() + b"\0"
+    if key is not None:
+        yield row()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks in order to a digest a key; a key's state is carried from row to row."""
+    key, state = None, None
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([state.hexdigest()], pa.string())], ["key", "sig"])
+    for batch in batches:
+        for k, data in zip(batch.column("key").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
+            if k != key:
+                if key is not None:
+                    yield done()
+                key, state = k, hashlib.sha256()
+            state.update(data)
+    if key is not None:
+        yield done()
+
+
+def ordered_signatures(members: DataFrame, *order: str) -> DataFrame:
+    """members(key, member, order columns) to key, sig: SHA-256 over a key's members in order, each ended by a zero character; null members are left out.
+
+    No key's members are ever together: range partitions by key and order are sorted and made into chunks of bytes in parallel, and only a key's chunks, a row a megabyte,
+    go to one task, which hashes them as they come. The members are written first, as their ranges are sampled.
+    """
+    rows = kept(members.select("key", "member", *(o for o in order if o != "member")))
+    rows = rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order).select("key", "member")
+    chunks = rows.mapInArrow(_chunks, "key string, pid int, n long, bytes binary")
+    return chunks.repartition("key").sortWithinPartitions("key", "pid", "n").select("key", "bytes").mapInArrow(_hashed, "key string, sig string")
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -23,15 +69,15 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def dir_signatures(hashes: DataFrame) -> DataFrame:
     """dir, sig: of each directory's own files, '.' at the root."""
     home = paths.parent(F.col("path"))
-    member = F.concat("path", F.lit(":"), "hash")
-    return hashes.groupBy(F.when(home == "", ".").otherwise(home).alias("dir")).agg(signature(F.array_sort(F.collect_list(member))).alias("sig"))
+    members = hashes.select(F.when(home == "", ".").otherwise(home).alias("key"), F.concat("path", F.lit(":"), "hash").alias("member"))
+    return ordered_signatures(members, "member").withColumnRenamed("key", "dir")
 
 
 def subtree_signatures(hashes: DataFrame) -> DataFrame:
     """dir, sig: of all files below each directory, in order of path; '.' holds all."""
     above = hashes.select("path", F.concat("path", F.lit(":"), "hash").alias("member"), F.explode(paths.ancestors(F.col("path"))).alias("dir"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("path", "member"))), lambda m: m["member"])
-    return above.groupBy(F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("dir")).agg(signature(ordered).alias("sig"))
+    members = above.select(F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("key"), "path", "member")
+    return ordered_signatures(members, "path", "member").withColumnRenamed("key", "dir")
 
 
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -79,7 +125,8 @@ def doc_states(docs: DataFrame, domains: DataFrame, changes: DataFrame, structur
     """docs(path, kind: global or deep, there), domains(name, code_path), changes(path): path and state (missing, stale, fresh). A global document is stale after any
     change, a deep one after a structural change or one that touches its domain's paths."""
     any_change = changes.limit(1).agg((F.count("*") > 0).alias("any"))
-    touched = domains.join(changes, paths.overlaps(changes.path, domains.code_path)).select(F.concat(paths.sanitized_name(F.col("name")), F.lit(".md")).alias("file")).distinct().withColumn("touched", F.lit(True))
+    near = substrings.overlapping(changes.select("path"), domains.select("code_path")).select(F.col("b").alias("code_path")).distinct()
+    touched = domains.join(near, "code_path").select(F.concat(paths.sanitized_name(F.col("name")), F.lit(".md")).alias("file")).distinct().withColumn("touched", F.lit(True))
     rows = docs.withColumn("file", paths.base_name(F.col("path"))).join(touched, "file", "left").crossJoin(any_change)
     stale = F.lit(structural) | F.when(F.col("kind") == "global", F.col("any")).otherwise(F.coalesce("touched", F.lit(False)))
     return rows.select("path", F.when(~F.col("there"), "missing").when(stale, "stale").otherwise("fresh").alias("state"))

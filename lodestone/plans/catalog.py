@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from lodestone.functions import sanitize as clean
 from lodestone.functions import text as texts
 from lodestone.operators import drift, govern, graph, insights, resolve, snapshots
 from lodestone.plans.views import Views, with_views
-from lodestone.session import kept, ship
+from lodestone.session import kept, shared_dir, ship
+from lodestone.sources.store import Store
 
 _QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -480,6 +482,122 @@ def extract_json(v: Views) -> DataFrame:
     return v.read("events").select("event_id", jsons.extract(wrapped).alias("json"))
 
 
+#: Shapes of values in replies; {} stands for text.
+_SHAPES = ('{"name": "%s", "k": 1}', '{"module": {"title": "", "id": "%s"}}', '["%s", " ", 7, {"z": 1, "a": null}, true]', '"%s"', "null", '{"k": {"name": "%s"}}', "no json")
+
+
+def _replies(v: Views) -> DataFrame:
+    """An event's props and, by its id, one of the shapes with its type inside."""
+    shape = F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("event_id") % len(_SHAPES) + 1).cast("int"))
+    return v.read("events").select("event_id", "props", F.replace(shape, F.lit("%s"), F.col("event_type")).alias("j"))
+
+
+_LISTED = """CASE event_id % 7 WHEN 0 THEN ['{"k":1,"name":"' || event_type || '"}'] WHEN 1 THEN ['{"module":{"id":"' || event_type || '","title":""}}'] WHEN 2 THEN [event_type, '7', '{"a":null,"z":1}', 'true'] WHEN 3 THEN [event_type] WHEN 5 THEN ['{"k":{"name":"' || event_type || '"}}'] ELSE [] END"""
+
+
+@query(f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 2 THEN '["' || event_type || '"," ",7,{{"a":null,"z":1}},true]' WHEN 3 THEN event_type WHEN 5 THEN '{{"k":{{"name":"' || event_type || '"}}}}' ELSE '' END AS told,
+ replace(props, ' ', '') AS props, array_to_string({_LISTED}, '|') AS listed, (props->>'$.k')::INT AS k FROM events""")
+def variant_values(v: Views) -> DataFrame:
+    """Replies' values as text and as lists of texts, and props by a schema."""
+    rows = _replies(v)
+    k = jsons.fitting(jsons.variant(F.col("props")), "k int", ("k",))
+    return rows.select("event_id", jsons.to_text(F.col("j")).alias("told"), jsons.to_text(F.col("props")).alias("props"), F.array_join(jsons.to_strings(F.col("j")), "|").alias("listed"), k["k"].alias("k"))
+
+
+@query("""SELECT conv_id, turn, 3 AS n, role || '|' || text || '|bare' AS told, 2 AS steps, '5=' || text || ';2=' || role AS flow, role AS scope FROM conversations""")
+def variant_objects(v: Views) -> DataFrame:
+    """Turns as JSON objects among other values, decoded as lists of objects, as steps and as a boundary."""
+    turn = F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    own = lambda c: F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("x")))
+    quoted = lambda c: F.regexp_extract(own(c), r'(?s)^\{"x":(.*)\}$', 1)
+    items = F.concat(F.lit("["), turn, F.lit(', {"role": null, "text": "x"}, null, " ", "bare", {"role": "r", "text": 1}]'))
+    flow = F.concat(F.lit('[{"step": 5, "operation": '), quoted("text"), F.lit("}, "), quoted("role"), F.lit(', ""]'))
+    scope = F.concat(F.lit('{"scope": '), quoted("role"), F.lit(', "included_components": ["a", 1]}'))
+    rows = v.read("conversations").select("conv_id", "turn", jsons.objects_of(jsons.variant(items), "role string, text string", ("role",), "text").alias("o"), jsons.steps_of(jsons.variant(flow)).alias("f"), jsons.boundary_of(jsons.variant(scope)).alias("b"))
+    told = F.concat_ws("|", F.col("o")[0]["role"], F.col("o")[0]["text"], F.col("o")[1]["text"])
+    steps = F.array_join(F.transform("f", lambda x: F.concat(x["step"].cast("string"), F.lit("="), x["operation"])), ";")
+    return rows.select("conv_id", "turn", F.size("o").alias("n"), told.alias("told"), F.size("f").alias("steps"), steps.alias("flow"), "b.scope")
+
+
+@query("""WITH p AS (SELECT 'u' || user_id AS key, 1 AS version, ts, event_id, event_type AS text FROM events WHERE event_type <> 'purchase' UNION ALL SELECT 'u' || user_id, 2, ts, event_id, 'bought ' || value FROM events WHERE event_type = 'purchase'),
+last AS (SELECT key, arg_max(text, {'v': version, 't': ts, 'e': event_id}) AS text FROM p GROUP BY key)
+SELECT c_custkey, text FROM customer LEFT JOIN last ON key = 'u' || c_custkey""")
+def cache_store(v: Views) -> DataFrame:
+    """Put twice, the second time again after a rerun, compacted, then asked for all customers."""
+    store = Store(v.spark, f"{shared_dir(v.spark)}/cache-{uuid.uuid4().hex}", "key string, text string, ts timestamp, event_id long")
+    events = v.read("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), "ts", "event_id", "event_type", "value")
+    own = ("key", "text", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    first = events.where("event_type <> 'purchase'").withColumn("text", F.col("event_type")).select(*own)
+    second = events.where("event_type = 'purchase'").withColumn("text", F.concat(F.lit("bought "), F.col("value").cast("string"))).select(*own)
+    for rows, version in ((first, 1), (second, 2), (second, 2)):
+        store.put(rows, version, F.col("ts"), F.col("event_id"))
+    store.compact()
+    return store.get(v.read("customer").select("c_custkey", F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"))).select("c_custkey", "text")
+
+
+_CODE = "code AS (SELECT DISTINCT source || '/' || lang || '/doc_' || doc_id % 97 AS code_path FROM documents WHERE source IS NOT NULL UNION SELECT 'x/' || rel_path || '/y' FROM files WHERE size > 10000 UNION SELECT 'rc1')"
+
+
+@query(f"""WITH {_CODE} SELECT rel_path, score FROM (SELECT rel_path, dir, doc_id, {SCORE} AS score FROM (SELECT *, lower(rel_path) AS p FROM files) WHERE EXISTS (SELECT 1 FROM code WHERE contains(rel_path, code_path) OR contains(code_path, rel_path))) ORDER BY score DESC, dir, doc_id LIMIT 50""")
+def key_modules(v: Views) -> DataFrame:
+    files, docs = v.files(), v.read("documents")
+    rows = files.select("rel_path", F.col("rel_path").alias("file_path"), _score().alias("importance_score"), paths.parent(F.col("rel_path")).alias("dir"), F.col("doc_id").alias("idx"))
+    code = docs.where("source IS NOT NULL").select(F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), (F.col("doc_id") % 97).cast("string")).alias("code_path"))
+    code = code.union(files.where("size > 10000").select(F.concat(F.lit("x/"), "rel_path", F.lit("/y")))).union(v.spark.range(1).select(F.lit("rc1")))
+    return insights.key_module(rows, code).select("rel_path", F.col("importance_score").alias("score"))
+
+
+@query(f"""WITH ch AS (SELECT coalesce(o.path, n.path) AS path FROM old_files o FULL JOIN new_files n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.hash <> n.hash),
+d AS (SELECT DISTINCT dir AS name, CASE WHEN right(dir, 1) = 'n' THEN dir || '/doc_11' ELSE dir || '/doc_' || right(dir, 1) || '/none' END AS code_path FROM files)
+SELECT 'deep/' || replace(name, '/', '-') || '.md' AS path, CASE WHEN EXISTS (SELECT 1 FROM ch WHERE contains(ch.path, code_path) OR contains(code_path, ch.path)) THEN 'stale' ELSE 'fresh' END AS state FROM d
+UNION ALL SELECT 'overview.md', CASE WHEN (SELECT count(*) FROM ch) > 0 THEN 'stale' ELSE 'fresh' END UNION ALL SELECT 'gone.md', 'missing'""")
+def doc_states(v: Views) -> DataFrame:
+    changes = snapshots.file_changes(v.old_files(), v.new_files()).select("path")
+    end = F.right("name", F.lit(1))
+    code = F.when(end == "n", F.concat("name", F.lit("/doc_11"))).otherwise(F.concat("name", F.lit("/doc_"), end, F.lit("/none")))
+    domains = v.files().select(paths.parent(F.col("rel_path")).alias("name")).distinct().select("name", code.alias("code_path"))
+    deep = domains.select(F.concat(F.lit("deep/"), paths.sanitized_name(F.col("name")), F.lit(".md")).alias("path"), F.lit("deep").alias("kind"), F.lit(True).alias("there"))
+    docs = deep.union(v.spark.createDataFrame([("overview.md", "global", True), ("gone.md", "global", False)], "path string, kind string, there boolean"))
+    return snapshots.doc_states(docs, domains, changes, False)
+
+
+@query(f"""WITH l AS (SELECT '- **' || rel_path || '**: ' || replace(content, chr(10), ' ') || chr(10) AS line, {SCORE} AS score, dir, doc_id FROM (SELECT *, lower(rel_path) AS p FROM files)),
+r AS (SELECT *, sum(length(line)) OVER w - length(line) AS before, row_number() OVER w AS n FROM l WINDOW w AS (ORDER BY score DESC, dir, doc_id ROWS UNBOUNDED PRECEDING)),
+t AS (SELECT left('### Files' || chr(10) || '```markdown' || chr(10) || string_agg(line, '' ORDER BY n) || '```' || chr(10), 192000) AS text FROM r WHERE before < 192000)
+SELECT length(text) AS n_chars, md5(text) AS digest FROM t""")
+def materials_block(v: Views) -> DataFrame:
+    """All documents as lines of one block, best first, within the budget of a block."""
+    rows = v.files().withColumn("score", _score()).withColumn("dir", paths.parent(F.col("rel_path")))
+    line = F.concat(F.lit("- **"), "rel_path", F.lit("**: "), F.replace("content", F.lit("\n"), F.lit(" ")))
+    text = insights.block(rows, "### Files", line, -F.col("score"), F.col("dir"), F.col("doc_id"))
+    return text.select(F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+_NEEDS = """names AS (SELECT p_partkey AS name FROM part), needs AS (SELECT DISTINCT l_partkey AS name, CASE WHEN l_partkey % 101 = 7 AND l_linenumber = 1 THEN l_partkey + 1 WHEN l_partkey % 101 = 8 AND l_linenumber = 2 THEN l_partkey - 1 ELSE l_partkey // (l_linenumber + 1) - l_suppkey % 3 END AS need FROM lineitem),
+e AS (SELECT * FROM needs WHERE name IN (SELECT name FROM names) AND need IN (SELECT name FROM names)), cyc AS (SELECT a.name FROM e a JOIN e b ON a.name = b.need AND a.need = b.name UNION SELECT name FROM e WHERE name = need),
+"""
+
+
+@query(f"""WITH RECURSIVE {_NEEDS} bad AS (SELECT name FROM cyc UNION SELECT e.name FROM e JOIN bad ON e.need = bad.name),
+lv AS (SELECT name, 0 AS level FROM names WHERE name NOT IN (SELECT name FROM bad) UNION SELECT e.name, level + 1 FROM e JOIN lv ON e.need = lv.name WHERE e.name NOT IN (SELECT name FROM bad)),
+fed AS (SELECT name FROM cyc UNION SELECT e.need FROM e JOIN fed ON e.name = fed.name)
+SELECT name, max(level) AS level, false AS cyclic FROM lv GROUP BY name UNION ALL SELECT name, NULL, name IN (SELECT name FROM fed) FROM bad""")
+def dependency_levels(v: Views) -> DataFrame:
+    """Parts by level of what they need; some need each other."""
+    p, line = F.col("l_partkey"), F.col("l_linenumber")
+    need = F.when((p % 101 == 7) & (line == 1), p + 1).when((p % 101 == 8) & (line == 2), p - 1).otherwise(F.floor(p / (line + 1)) - F.col("l_suppkey") % 3)
+    return insights.levels(v.read("part").select(F.col("p_partkey").alias("name")), v.read("lineitem").select(p.alias("name"), need.alias("need")))
+
+
+@query("""WITH RECURSIVE part_of AS (SELECT DISTINCT array_to_string(string_split(rel_path, '/')[:n], '/') AS path, n = len(string_split(rel_path, '/')) AS leaf FROM files, range(1, 4) r(n)),
+entries AS (SELECT path, leaf, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS home, string_split(path, '/')[-1] AS name FROM part_of),
+n AS (SELECT *, lead(path) OVER (PARTITION BY home ORDER BY leaf, name) IS NULL AS final FROM entries),
+t AS (SELECT path, leaf, name, final, '' AS ahead FROM n WHERE home = '' UNION ALL SELECT n.path, n.leaf, n.name, n.final, ahead || CASE WHEN t.final THEN '    ' ELSE '│   ' END FROM n JOIN t ON n.home = t.path)
+SELECT path, ahead || CASE WHEN final THEN '└── ' ELSE '├── ' END || name || CASE WHEN leaf THEN '' ELSE '/' END AS line FROM t""")
+def tree_text(v: Views) -> DataFrame:
+    return insights.tree_lines(v.files().select(F.col("rel_path").alias("path"))).select("path", "line")
+
+
 _HEADERS = ("graph TD", "sequenceDiagram", "plot x", "", "%% note", "ClassDiagram")
 
 

@@ -19,6 +19,7 @@ def local_session(cpus: str | int = "*", **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.python.filterPushdown.enabled": "true",
     }
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)

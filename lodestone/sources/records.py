@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import jsons
 from lodestone.operators import govern
+from lodestone.sources.store import Store
 
 SNAPSHOT_VERSION = 1
 CLAIMS = "ord int, from string, to string, dependency_type string, importance int, description string"
@@ -114,6 +115,16 @@ def append_calls(calls: DataFrame, path: str) -> None:
     calls.write.mode("append").json(path)
 
 
+def call_log(spark: SparkSession, folder: str) -> Store:
+    """The call log as a keyed store: a call is appended once, however often its batch is written. key: what tells calls apart (a run's id and the call's place in it, say)."""
+    return Store(spark, folder, f"key string, {govern.CALLS}")
+
+
+def answer_cache(spark: SparkSession, folder: str, disabled: bool = False, no_read: bool = False) -> Store:
+    """Answers by cache key, with where they come from."""
+    return Store(spark, folder, "key string, text string, agent string, backend string, model string, created_at string, secs double", disabled, no_read)
+
+
 def load_results(spark: SparkSession, path: str) -> DataFrame:
     """key, value (JSON text) of a research map."""
     return spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in json.loads(whole(spark, path)).items()], "key string, value string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import paths
 from lodestone.functions import text as texts
+from lodestone.sources import walk
 
 
 @dataclass(frozen=True)
@@ -22,15 +23,15 @@ class ScanSettings:
     include_hidden: bool = False
     state_dir: str = ".lodestone"
     always_excluded: tuple[str, ...] = (".git", ".hg", ".svn")
-    excluded_dirs: tuple[str, ...] = tuple(
-        "target node_modules build dist venv .venv __pycache__ __tests__ __mocks__ out coverage vendor deps _build bower_components Pods DerivedData "
-        ".gradle .svelte-kit .next .nuxt .nx .turbo .output".split()
-    )
+    excluded_dirs: tuple[str, ...] = (
+        "target", "node_modules", "build", "dist", "venv", ".venv", "__pycache__", "__tests__", "__mocks__", "out", "coverage", "vendor", "deps", "_build", "bower_components", "Pods", "DerivedData",
+        ".gradle", ".svelte-kit", ".next", ".nuxt", ".nx", ".turbo", ".output",
+    )
     excluded_files: tuple[str, ...] = ("*.lock", "*.log", "*.tmp", "*.cache", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", ".env")
-    binary_extensions: tuple[str, ...] = tuple(
-        "jpg jpeg png gif bmp ico svg mp3 mp4 avi mov pdf zip tar gz zst bz2 xz 7z exe dll so dylib a o obj class jar wasm woff woff2 ttf otf eot "
-        "pyc pyo db sqlite bin dat pack idx".split()
-    )
+    binary_extensions: tuple[str, ...] = (
+        "jpg", "jpeg", "png", "gif", "bmp", "ico", "svg", "mp3", "mp4", "avi", "mov", "pdf", "zip", "tar", "gz", "zst", "bz2", "xz", "7z", "exe", "dll", "so", "dylib", "a", "o", "obj", "class", "jar", "wasm",
+        "woff", "woff2", "ttf", "otf", "eot", "pyc", "pyo", "db", "sqlite", "bin", "dat", "pack", "idx",
+    )
 
 
 def git_tracked(spark: SparkSession, root: str) -> DataFrame | None:
@@ -45,6 +46,15 @@ def raw(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
+def walked(spark: SparkSession, root: str, settings: ScanSettings = ScanSettings()) -> DataFrame:
+    """path, length, content of the files that scan() may keep, of a mounted tree: excluded folders are not opened, and files of other sizes are not read."""
+    spark.dataSource.register(walk.TreeWalk)
+    excluded = ",".join((*settings.always_excluded, settings.state_dir, *settings.excluded_dirs))
+    read = spark.read.format("tree_walk").option("exclude", excluded).option("max_depth", settings.max_depth).option("hidden", str(settings.include_hidden).lower()).option("content", "true")
+    found = read.load(root).where(F.col("size") <= settings.max_file_size)
+    return found.select(F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("path"), F.col("size").alias("length"), "content")
+
+
 def scan(found: DataFrame, root: str, settings: ScanSettings = ScanSettings(), tracked: DataFrame | None = None, output: str | None = None) -> DataFrame:
     """found (path, length, content) to rel_path, name, size, extension, importance_score, content. Cheap tests on names come first, the look into contents last."""
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "\\\\").replace(".", r"\.") + "/", "")

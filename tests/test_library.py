@@ -173,10 +173,6 @@ def test_report_text():
     assert (render.exit_code(report, True), render.exit_code(report), render.exit_code(None)) == (1, 0, 2)
 
 
-def test_tree_text():
-    assert render.tree(["b.py", "a/x.py", "a/c/y.py"]) == "├── a/\n│   ├── c/\n│   │   └── y.py\n│   └── x.py\n└── b.py\n"
-
-
 def test_registry(spark):
     from lodestone.operators import registry
 
