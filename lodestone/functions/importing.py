@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: The five forms of JavaScript imports, in order; an export from another file is a re-export.
+#: The four forms of JavaScript imports, in order; an export from another file is a re-export.
 JS_FORMS = (
     (re.compile(r"""\bimport\s+(?:[A-Za-z0-9_{}*,\s]+\s+from\s+)?['"]([^'"]+)['"]"""), "Import"),
     (re.compile(r"""\bexport\s+[A-Za-z0-9_{}*,\s]+\s+from\s+['"]([^'"]+)['"]"""), "ReExport"),
@@ -17,10 +17,13 @@ JS_FORMS = (
 #: Python's two forms.
 PY_FROM = re.compile(r"(?m)^[ \t]*from\s+(\.*)([A-Za-z0-9_]*(?:\.[A-Za-z0-9_]+)*)\s+import\s+")
 PY_IMPORT = re.compile(r"(?m)^[ \t]*import\s+([A-Za-z0-9_.]+(?:\s*,\s*[A-Za-z0-9_.]+)*)")
+PY_LISTED = re.compile(r"[^\n\\]*(?:\\[\s\S]?[^\n]*)?")
+PARENTHESIS = re.compile("[()]")
 #: Rust's statements.
 RS_MOD = re.compile(r"\bmod\s+([A-Za-z_][A-Za-z0-9_]*)\s*([{;])")
 RS_TEST = re.compile(r"#\s*\[\s*cfg\s*\(\s*test\s*\)\s*\]")
 RS_USE = re.compile(r"(?:pub(?:\s*\([^)]*\))?\s+)?use\s+")
+RS_MARKS = re.compile(r"[{}()\[\];]")
 RS_PATH = r"(?:::[A-Za-z_][A-Za-z0-9_]*)+"
 
 
@@ -51,17 +54,16 @@ def python(text: str, path: str, test: bool) -> Iterator[Found]:
     lines = Lines(text)
     kind = "ReExport" if path.rpartition("/")[2] == "__init__.py" else "Import"
     for m in PY_FROM.finditer(text):
-        rest = text[m.end() :]
-        if rest.startswith("("):
-            depth, stop = 0, len(rest)
-            for mark in re.finditer("[()]", rest):
+        if text.startswith("(", m.end()):
+            depth, stop = 0, len(text)
+            for mark in PARENTHESIS.finditer(text, m.end()):
                 depth += 1 if mark[0] == "(" else -1
                 if not depth:
                     stop = mark.start()
                     break
-            listed = rest[1:stop]
+            listed = text[m.end() + 1 : stop]
         else:
-            listed = re.match(r"[^\n\\]*(?:\\[\s\S]?[^\n]*)?", rest)[0]
+            listed = PY_LISTED.match(text, m.end())[0]
         words = [(part.split() or [""])[0] for part in listed.split(",")]
         names = [w for w in words if w and (w[0].isalpha() or w[0] == "_")]
         yield Found(kind, lines.at(m.start()), test, levels=len(m[1]), segs=[s for s in m[2].split(".") if s], names=names)
@@ -134,36 +136,57 @@ def rust(text: str, test: bool, crate: str | None = None, cfg_test: bool = True)
         elif open_ and (start := open_.pop()) in named:
             bodies.append((start, m.start(), named[start]))
     bodies.sort()
-    tests = []
+    starts, outer, open_ = [s for s, _, _ in bodies], [], []
+    for i, (s, _, _) in enumerate(bodies):  # of each body, the one around it
+        while open_ and bodies[open_[-1]][1] < s:
+            open_.pop()
+        outer.append(open_[-1] if open_ else -1)
+        open_.append(i)
+
+    def around(at: int) -> list[tuple[int, int, str]]:
+        """The bodies that a place lies in, the outermost first: up from the last that begins before it."""
+        i, found = bisect.bisect_left(starts, at) - 1, []
+        while i >= 0:
+            if bodies[i][1] > at:
+                found.append(bodies[i])
+            i = outer[i]
+        return found[::-1]
+
+    tests = set()
     for m in RS_TEST.finditer(text) if cfg_test else ():
         after = re.compile(r"(?:\s*#[^\]]*\])*\s*").match(text, m.end())
         mod = RS_MOD.match(text, after.end())
-        tests += [(s, e) for s, e, _ in bodies if mod and mod[2] == "{" and s == mod.end() - 1]
+        if mod and mod[2] == "{":
+            tests.add(mod.end() - 1)
 
     def in_test(at: int) -> bool:
-        return test or any(s < at < e for s, e in tests)
+        return test or any(s in tests for s, _, _ in around(at))
 
     def inline(at: int) -> list[str]:
-        return [name for s, e, name in bodies if s < at < e]
+        return [name for _, _, name in around(at)]
 
     def marked(at: int) -> bool:
         start = max(text.rfind(c, 0, at) for c in ";{}") + 1
         return cfg_test and bool(RS_TEST.search(text[start:at]))
 
-    rest = text
+    pieces, end = [], 0  # the text without what use statements say
     for m in RS_USE.finditer(text):
         depth, stop = 0, None
-        for mark in re.compile(r"[{}()\[\];]").finditer(text, m.end()):
+        for mark in RS_MARKS.finditer(text, m.end()):
             depth += 1 if mark[0] in "{([" else -1 if mark[0] in "})]" else 0
             if mark[0] == ";" and depth <= 0:
                 stop = mark.start()
                 break
         if stop is None:
             continue
-        rest = rest[: m.start()] + re.sub(r"[^\n]", " ", rest[m.start() : stop + 1]) + rest[stop + 1 :]
+        if stop + 1 > end:
+            first = max(end, m.start())
+            pieces += [text[end:first], re.sub(r"[^\n]", " ", text[first : stop + 1])]
+            end = stop + 1
         kind = "ReExport" if m[0].startswith("pub") else "Import"
         for path in use_paths(text[m.end() : stop]):
             yield Found(kind, lines.at(m.start()), in_test(m.start()) or marked(m.start()), **_rooted(path, inline(m.start())))
+    rest = "".join([*pieces, text[end:]])
     roots = ["crate", "self", "super", *([crate.replace("-", "_")] if crate else [])]
     for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, roots))}){RS_PATH}", rest):
         yield Found("InlinePath", lines.at(m.start()), in_test(m.start()), **_rooted(m[0].split("::"), inline(m.start())))

@@ -153,9 +153,9 @@ def insights(files: DataFrame) -> DataFrame:
 
 #: Words that may begin a diagram, in lower case.
 DIAGRAMS = (
-    "graph flowchart sequencediagram classdiagram statediagram statediagram-v2 erdiagram journey gantt pie mindmap timeline gitgraph "
-    "c4context c4container c4component sankey-beta xychart-beta block-beta packet-beta"
-).split()
+    "graph", "flowchart", "sequencediagram", "classdiagram", "statediagram", "statediagram-v2", "erdiagram", "journey", "gantt", "pie", "mindmap", "timeline", "gitgraph",
+    "c4context", "c4container", "c4component", "sankey-beta", "xychart-beta", "block-beta", "packet-beta",
+)
 
 
 def mermaid_issues(text: str) -> list[str]:

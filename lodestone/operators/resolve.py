@@ -251,9 +251,10 @@ def file_edges(told: DataFrame) -> DataFrame:
 
 
 def import_stats(told: DataFrame) -> DataFrame:
-    """importer, total and unresolved imports."""
-    each = told.select("importer", "seq", "outcome").distinct()
-    return each.groupBy("importer").agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "unresolved").alias("unresolved"))
+    """importer (and tree), total and unresolved imports."""
+    own = [c for c in ("tree", "importer") if c in told.columns]
+    each = told.select(*own, "seq", "outcome").distinct()
+    return each.groupBy(*own).agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "unresolved").alias("unresolved"))
 
 
 def ranked(df: DataFrame, by: str, *order: Column) -> DataFrame:

@@ -128,8 +128,9 @@ def deepest_ancestor(v: Views) -> DataFrame:
 
 @query(f"WITH {_DIRS} SELECT d.dir, count(*) AS n FROM files JOIN dirs d ON starts_with(rel_path, d.dir || '/') GROUP BY d.dir")
 def ancestor_counts(v: Views) -> DataFrame:
-    above = v.files().select(F.explode(paths.ancestors(F.col("rel_path"))).alias("dir"))
-    return above.join(_dirs(v), "dir").groupBy("dir").agg(F.count("*").alias("n"))
+    claimed = _dirs(v).select(F.col("dir").alias("node_id"), F.lit("dir").alias("ep"))
+    counts = graph.build_nodes(claimed, v.files().select(F.col("rel_path").alias("file"), F.lit("rust").alias("lang")))[2]
+    return counts.join(claimed, "node_id", "left_semi").select(F.col("node_id").alias("dir"), F.col("code").alias("n"))
 
 
 _WANTED = "wanted AS (SELECT DISTINCT lang || '/doc_' || doc_id || '.' || e AS s FROM documents, (VALUES ('rs'), ('py')) x(e) UNION SELECT DISTINCT lang FROM documents)"
@@ -243,6 +244,11 @@ def drift_counts(v: Views) -> DataFrame:
     return drift.reasons(_verdicts(v))
 
 
+@query(f"{_JUDGED} SELECT class, count(*) AS n FROM findings GROUP BY class")
+def class_counts(v: Views) -> DataFrame:
+    return drift.counts(_verdicts(v))
+
+
 @query(f"{_JUDGED}, x AS (SELECT count(*) FILTER (WHERE class IN ('confirmed', 'reversed', 'phantom')) AS checked, count(*) AS total FROM findings) SELECT checked, total, CASE WHEN total = 0 THEN 0 ELSE round(checked / total, 4) END AS ratio FROM x")
 def drift_coverage(v: Views) -> DataFrame:
     return drift.coverage(_verdicts(v))
@@ -261,6 +267,19 @@ def baseline_stale(v: Views) -> DataFrame:
     return drift.stale(_verdicts(v), base)
 
 
+@query(f"""{_JUDGED}, base AS (SELECT 'phantom:' || f || '->' || t AS id FROM claims UNION SELECT id FROM findings WHERE class = 'reversed')
+SELECT count(*) FILTER (WHERE id IN (SELECT id FROM base)) AS known, count(*) FILTER (WHERE id NOT IN (SELECT id FROM base)) AS new, (SELECT count(*) FROM base WHERE id NOT IN (SELECT id FROM findings)) AS stale FROM findings""")
+def baseline_facts(v: Views) -> DataFrame:
+    found = kept(_verdicts(v))
+    base = v.claims().select(drift.finding_id(F.lit("phantom"), F.col("from"), F.col("to")).alias("finding_id")).union(found.where("class = 'reversed'").select("id")).distinct()
+    return drift.baseline_info(found, base)
+
+
+@query(f"{_JUDGED} SELECT id AS finding_id FROM findings WHERE class IN ('undocumented', 'reversed', 'phantom')")
+def new_baseline(v: Views) -> DataFrame:
+    return drift.new_baseline(_verdicts(v))
+
+
 _EDGES = _FOUND + """, proof AS (SELECT f, t, count(DISTINCT (importer, target)) AS pairs, bool_and(importer LIKE '%/utils/%' OR target LIKE '%/utils/%') AS ignored FROM strong GROUP BY f, t),
  shown AS (SELECT node_id FROM (SELECT f AS node_id FROM claims UNION SELECT t FROM claims) WHERE node_id IN (SELECT node_id FROM known)),
  told AS (SELECT l.f, l.t, p.pairs, CASE WHEN l.f NOT IN (SELECT node_id FROM shown) OR l.t NOT IN (SELECT node_id FROM shown) THEN 'u1_unclaimed_end' WHEN starts_with(l.t, l.f || '/') OR starts_with(l.f, l.t || '/') THEN 'u2_containment'
@@ -316,6 +335,20 @@ def significance(v: Views) -> DataFrame:
     return snapshots.significance(diff).select("significance", F.array_join("reasons", "; ").alias("reasons"))
 
 
+@query(f"""{_CHANGES}, od AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM old_files), nd AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS d FROM new_files WHERE NOT starts_with(path, 'src3/')),
+e AS (SELECT importer, target, max(line) AS line FROM file_edges GROUP BY importer, target),
+n AS (SELECT (SELECT count(*) FROM nd WHERE d NOT IN (SELECT d FROM od)) AS da, (SELECT count(*) FROM od WHERE d NOT IN (SELECT d FROM nd)) AS dr, (SELECT count(*) FROM ch WHERE change = 'added') AS fa, (SELECT count(*) FROM ch WHERE change = 'removed') AS fr, (SELECT count(*) FROM e WHERE line % 2 = 1) AS er)
+SELECT 'structural' AS significance, 'generation environment changed (language, prompts, models or scan config)' || CASE WHEN da + dr > 0 THEN '; directory set changed (+' || da || ' −' || dr || ')' ELSE '' END || CASE WHEN fa + fr > 0 THEN '; file set changed (+' || fa || ' −' || fr || ')' ELSE '' END
+ || CASE WHEN er > 0 THEN '; import graph changed (+0 −' || er || ' edges)' ELSE '' END AS reasons FROM n""")
+def snapshot_significance(v: Views) -> DataFrame:
+    """Snapshots that differ in directories, files, edges and environment."""
+    home = paths.parent(F.col("path"))
+    edges = v.file_edges().groupBy("importer", "target").agg(F.max("line").alias("line"))
+    old = {"files": v.old_files(), "dirs": v.old_files().select(home.alias("dir")), "edges": edges}
+    new = {"files": v.new_files(), "dirs": v.new_files().where(~F.startswith("path", F.lit("src3/"))).select(home.alias("dir")), "edges": edges.where("line % 2 = 0")}
+    return snapshots.significance(snapshots.snapshot_diff(old, new), True).select("significance", F.array_join("reasons", "; ").alias("reasons"))
+
+
 @query("SELECT rel_path, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S')))::BIGINT AS loc FROM files")
 def loc_metrics(v: Views) -> DataFrame:
     return v.files().select("rel_path", texts.lines_of_code(F.col("content")).cast("long").alias("loc"))
@@ -421,7 +454,7 @@ def stale_docs(v: Views) -> DataFrame:
 
 def _sources(v: Views) -> DataFrame:
     """Documents as source files, their lines behind imports of the document before in the file's language; those of no such language as they are."""
-    before = F.concat(F.lit("doc_"), (F.col("doc_id") - 5).cast("string"))
+    before = F.concat(F.lit("doc_"), F.abs(F.col("doc_id") - 5).cast("string"))
     py = F.concat(F.lit("import os\nfrom ."), before, F.lit(" import a, b\nx = 'from .no import c'  # import nothing\n"), F.lit('"""'), F.replace("content", F.lit('"""'), F.lit("")), F.lit('"""\n'))
     rs = F.concat(F.lit("use std::fs;\nmod "), before, F.lit(";\npub use self::"), before, F.lit('::{a, b};\nconst X: &str = "use no::c;"; // mod nothing;\n/* '), "content", F.lit(" */\n"))
     ts = F.concat(F.lit("import fs from 'fs';\nexport { a, b } from './"), before, F.lit("';\nconst c = require('./no'); // import d from './nothing'\n/* "), "content", F.lit(" */\n"))
@@ -429,13 +462,20 @@ def _sources(v: Views) -> DataFrame:
     return v.files().select("rel_path", "extension", F.when(ext == "py", py).when(ext == "rs", rs).when(ext == "ts", ts).otherwise(F.col("content")).alias("content"))
 
 
-@query()
+_IMPORTS = """(VALUES ('rs', 0, 'rust', 'Import', 1, 'named', 0, 'std.fs', '', NULL), ('rs', 1, 'rust', 'ReExport', 3, 'self', 0, 'doc_%.a', '', NULL), ('rs', 2, 'rust', 'ReExport', 3, 'self', 0, 'doc_%.b', '', NULL), ('rs', 3, 'rust', 'ModDecl', 2, 'self', 0, 'doc_%', '', NULL),
+ ('py', 0, 'python', 'Import', 2, NULL, 1, 'doc_%', 'a,b', NULL), ('py', 1, 'python', 'Import', 1, NULL, 0, 'os', '', NULL),
+ ('ts', 0, 'js', 'Import', 1, NULL, 0, '', '', 'fs'), ('ts', 1, 'js', 'ReExport', 2, NULL, 0, '', '', './doc_%'), ('ts', 2, 'js', 'Import', 3, NULL, 0, '', '', './no')) t(ext, seq, lang, kind, line, root, level, module, names, spec)"""
+
+
+@query(f"""SELECT rel_path AS importer, seq, lang, kind, line, root, level, replace(module, '%', abs(doc_id - 5)::VARCHAR) AS module, names, replace(spec, '%', abs(doc_id - 5)::VARCHAR) AS spec FROM files JOIN {_IMPORTS} ON ext = extension""")
 def import_extract(v: Views) -> DataFrame:
     found = resolve.imports(_sources(v))
     return found.select("importer", "seq", "lang", "kind", "line", "root", F.col("levels").alias("level"), F.array_join("segs", ".").alias("module"), F.array_join("names", ",").alias("names"), "spec")
 
 
-@query()
+@query(f"""SELECT f.rel_path AS importer, seq, CASE WHEN module = 'std.fs' OR module = 'os' OR spec = 'fs' THEN 'external' WHEN lang = 'rust' OR (g.rel_path IS NOT NULL AND spec IS DISTINCT FROM './no') THEN 'internal' ELSE 'unresolved' END AS outcome,
+ CASE WHEN module = 'std.fs' OR module = 'os' OR spec = 'fs' OR spec = './no' THEN NULL WHEN lang = 'rust' THEN coalesce(g.rel_path, f.rel_path) ELSE g.rel_path END AS target
+ FROM files f JOIN {_IMPORTS} ON ext = f.extension LEFT JOIN files g ON g.rel_path = f.dir || '/doc_' || abs(f.doc_id - 5) || '.' || f.extension""")
 def import_resolve(v: Views) -> DataFrame:
     files = kept(_sources(v))
     return resolve.resolved(kept(resolve.imports(files)), files).select("importer", "seq", "outcome", "target")
@@ -446,7 +486,7 @@ def rust_layout(v: Views) -> DataFrame:
     return resolve.rust_modules(v.rust_files()).select("tree", "file", "package", "crate", F.array_join("module", "::").alias("module"), "children", "base", "is_lib")
 
 
-@query("""WITH RECURSIVE libs AS (SELECT tree, package, arg_min(crate, first) AS crate, arg_min(base, first) AS base FROM rust_module WHERE is_lib AND package <> '' GROUP BY tree, package),
+_RESOLVED = """WITH RECURSIVE libs AS (SELECT tree, package, arg_min(crate, first) AS crate, arg_min(base, first) AS base FROM rust_module WHERE is_lib AND package <> '' GROUP BY tree, package),
 by_path AS (SELECT tree, crate, module, arg_max(file, parts) AS file, arg_max(children, parts) AS children FROM rust_module GROUP BY tree, crate, module),
 j AS (SELECT i.*, m.crate, m.base, m.module, m.children, l.crate AS lib, l.base AS lib_base, list_concat(m.module, inline) AS context, len(m.module) + len(inline) - levels AS depth
  FROM rust_imports i JOIN rust_module m ON m.tree = i.tree AND m.file = i.importer LEFT JOIN libs l ON root = 'named' AND l.tree = i.tree AND l.package = segs[1]),
@@ -459,12 +499,29 @@ walk AS (SELECT *, 0 AS n FROM start WHERE here IS NOT NULL
  UNION ALL SELECT w.tree, importer, seq, loose, coalesce(a.file, b.file), home || '/' || segs[n + 1], segs, n + 1 FROM walk w LEFT JOIN rust_sources a ON a.tree = w.tree AND a.file = home || '/' || segs[n + 1] || '.rs' LEFT JOIN rust_sources b ON b.tree = w.tree AND b.file = home || '/' || segs[n + 1] || '/mod.rs'
  WHERE n < len(segs) AND segs[n + 1] NOT IN ('*', 'self') AND coalesce(a.file, b.file) IS NOT NULL)
 SELECT tree, importer, seq, CASE WHEN loose AND max(n) = 0 THEN 'external' ELSE 'internal' END AS outcome, CASE WHEN NOT (loose AND max(n) = 0) THEN arg_max(here, n) END AS target FROM walk GROUP BY tree, importer, seq, loose
-UNION ALL SELECT tree, importer, seq, 'unresolved', NULL FROM start WHERE here IS NULL""")
+UNION ALL SELECT tree, importer, seq, 'unresolved', NULL FROM start WHERE here IS NULL"""
+
+
+@query(_RESOLVED)
 def rust_resolve(v: Views) -> DataFrame:
     return resolve.rust(v.rust_imports(), v.rust_files())
 
 
-@query()
+@query(_RESOLVED.replace("SELECT tree, importer, seq, CASE WHEN loose AND max(n)", ", told AS (SELECT tree, importer, seq, CASE WHEN loose AND max(n)", 1) + ") SELECT tree, importer, count(*) AS total, count(*) FILTER (WHERE outcome = 'unresolved') AS unresolved FROM told GROUP BY tree, importer")
+def import_totals(v: Views) -> DataFrame:
+    return resolve.import_stats(resolve.rust(v.rust_imports(), v.rust_files()))
+
+
+def _blank(text: str) -> str:
+    return f"regexp_replace({text}, '[^\\n]', ' ', 'g')"
+
+
+@query(f"""WITH c AS (SELECT rel_path, extension, content, 'doc_' || abs(doc_id - 5) AS b, chr(10) AS nl, chr(39) AS q FROM files),
+s AS (SELECT rel_path, CASE extension
+ WHEN 'rs' THEN 'use std::fs;' || nl || 'mod ' || b || ';' || nl || 'pub use self::' || b || '::{{a, b}};' || nl || 'const X: &str = ' || repeat(' ', 12) || ';' || repeat(' ', 16) || nl || {_blank("'/* ' || content || ' */'")} || nl
+ WHEN 'py' THEN 'import os' || nl || 'from .' || b || ' import a, b' || nl || 'x = ' || repeat(' ', 37) || nl || {_blank("'###' || replace(content, repeat(chr(34), 3), '') || '###'")} || nl
+ WHEN 'ts' THEN 'import fs from ' || q || 'fs' || q || ';' || nl || 'export {{ a, b }} from ' || q || './' || b || q || ';' || nl || 'const c = require(' || q || './no' || q || ');' || repeat(' ', 29) || nl || {_blank("'/* ' || content || ' */'")} || nl
+ ELSE content END AS clear FROM c) SELECT rel_path, length(clear) AS n_chars, md5(clear) AS digest FROM s""")
 def sanitize_sources(v: Views) -> DataFrame:
     clear = _sources(v).select("rel_path", clean.sanitized(paths.language(F.col("extension")), "content").alias("clear"))
     return clear.select("rel_path", F.length("clear").alias("n_chars"), F.md5("clear").alias("digest"))
@@ -476,7 +533,7 @@ def file_statics(v: Views) -> DataFrame:
     return s.select("rel_path", "statics.loc", "statics.n_functions", "statics.n_classes", "statics.cyclomatic", F.size("statics.dependencies").alias("n_dependencies"))
 
 
-@query()
+@query("SELECT event_id, replace(props, ' ', '') AS json FROM events")
 def extract_json(v: Views) -> DataFrame:
     wrapped = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
     return v.read("events").select("event_id", jsons.extract(wrapped).alias("json"))

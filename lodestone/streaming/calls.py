@@ -21,4 +21,5 @@ def daily_counts(calls: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def to_table(counts: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Closed days are appended, once each; their state is dropped."""
+    return counts.writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -135,3 +135,27 @@ def test_rust_imports():
     text = "pub use crate::a::B;\nmod c;\n#[cfg(test)]\nmod tests {\n    use super::*;\n}\nfn f() { super::g::h(); }\n"
     got = [(f.kind, f.root, f.segs, f.test_only, f.line) for f in importing.rust(text, False)]
     assert got == [("ReExport", "crate", ["a", "B"], False, 1), ("Import", "super", ["*"], True, 5), ("InlinePath", "super", ["g", "h"], False, 7), ("ModDecl", "self", ["c"], False, 2)]
+
+
+def test_many_uses_and_modules_take_time_in_proportion():
+    import time
+
+    from lodestone.functions import importing
+
+    def took(n):
+        text = "".join(f"mod m{i} {{ use super::a{i}::{{b, c}}; fn f() {{ crate::x::y(); }} }}\n" for i in range(n))
+        began = time.process_time()
+        found = list(importing.rust(text, False))
+        assert len(found) == 3 * n and all(f.inline in ([], [f"m{i // 2}"]) for i, f in enumerate(found[: 2 * n]))
+        return time.process_time() - began
+
+    took(200)
+    assert took(8000) < 12 * took(2000) + 0.2
+
+
+def test_nested_modules_and_tests_of_a_rust_file():
+    from lodestone.functions import importing
+
+    text = "mod a { mod b { use super::x; } use super::y; }\n#[cfg(test)]\nmod tests { mod deep { use super::z; } }\nuse q::{r, s}; crate::t::u();"
+    got = [(f.kind, f.inline, f.segs, f.test_only) for f in importing.rust(text, False)]
+    assert got == [("Import", ["a", "b"], ["x"], False), ("Import", ["a"], ["y"], False), ("Import", ["tests", "deep"], ["z"], True), ("Import", [], ["q", "r"], False), ("Import", [], ["q", "s"], False), ("InlinePath", [], ["t", "u"], False)]

@@ -111,6 +111,8 @@ def test_calls(spark, tmp_path):
     assert govern.worst(spark.createDataFrame([("ok",), ("warn",)], "status string")).first()[0] == "warn"
     lined = calls.withColumn("line", F.lit(1).cast("long"))
     assert govern.last_call(lined).first()["n"] == 6
+    later = calls.limit(1).withColumn("ts", F.lit("2024-02-01T00:00:00Z"))  # closes the days before
+    records.append_calls(later, str(tmp_path / "calls"))
     query = streaming.to_table(streaming.daily_counts(streaming.stream(spark, str(tmp_path / "calls"))), "daily_calls", str(tmp_path / "ck"))
     query.awaitTermination(60)
     assert spark.table("daily_calls").agg(F.sum("n")).first()[0] == 6
