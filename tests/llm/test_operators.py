@@ -711,7 +711,7 @@ def brute_targets(sizes, weights=(5, 2, 1), cap=3.0):
 def test_mixing(spark, none):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), "en", rng.choice(["a", "b", "b", "b", "c", "d", None]), 1) for i in range(3000)]
-    rows += [(5000, None, "en", "a", 0), (5001, "x y z", None, "tiny", 1), (None, "p q", "en", "b", 1), (7, "again and again", "en", "c", 1)]
+    rows += [(5000, None, "en", "a", 0), (5001, "x y z", None, "tiny", 1), (None, "p q", "en", "b", 1)]
     df = spark.createDataFrame(rows, DOCS).repartition(6)
     got = mixing.decided(df).collect()
     again = mixing.decided(df.repartition(2)).collect()
@@ -763,3 +763,26 @@ def test_columns_that_differ_in_case_alone(spark):
     folder = token_store.new_folder(spark)
     token_store.write(df, folder)
     assert token_store.read(spark, folder).count() == 2
+
+
+@pytest.mark.parametrize("places", [1 << 16, 7])
+def test_mixing_takes_a_part_of_rows_that_repeat_an_id(spark, monkeypatch, places):
+    monkeypatch.setattr(mixing, "PLACES", places)
+    ten, rng = " ".join(["w"] * 10), random.Random(8)
+    rows = [(1, ten, "en", "a", 0)] * 200 + [(i, ten, "en", "b", 0) for i in range(10, 210)] + [(None, ten, "en", "c", 0)] * 120 + [(5, " ".join(["v"] * rng.randint(1, 20)), rng.choice(["en", None]), "c", i % 3) for i in range(80)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = mixing.decided(df).collect()
+    again = mixing.decided(df.repartition(2)).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, again))
+    by_target = {}
+    for r in got:
+        of = by_target.setdefault((r["source_size"], r["target"]), [0, r["target"]])
+        of[0] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(by_target) >= 2 and all(abs(taken - target) <= 20 for taken, target in ((sum(x[0] for k, x in by_target.items() if k == key), key[1]) for key in by_target))
+    mixed = mixing.mixed(df)
+    assert mixed.columns == df.columns
+    words = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert sum(words.values()) == sum(r["taken"] for r in got)
+    target = brute_targets({s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"})
+    assert all(abs(words[s] - target[s]) <= 20 for s in "abc")
