@@ -3,7 +3,7 @@
 Features are the presences of hashed n-grams of the lower-cased text (orders 3 to 6 over code points, whole texts). Over all labelled training rows Spark counts in
 how many texts of each class a feature occurs; the log ratio of the smoothed shares is the feature's scale, and a feature whose ratio is
 within ``Z`` standard errors of 0 has scale 0; all others have a weight, however many they are. A logistic regression with L2 penalty is then fitted on the scaled features of a bounded sample
-of the labelled rows (``FIT_ROWS`` of each class at most, by hash of the key; both classes count alike in sum), and every text is scored by its features' sum. Orders, ``Z`` and the classes' balance
+of the labelled rows (of each class ``FIT_ROWS`` at most, by hash of the key, and no further ones once they hold ``FIT_FEATURES`` features; both classes count alike in sum), and every text is scored by its features' sum. Orders, ``Z`` and the classes' balance
 were chosen on a split of the training rows.
 
 Cases: a null or empty text has no features and gets the score of the intercept; rows that repeat a key are scored alike; labelled rows whose label
@@ -19,14 +19,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._base import dense_rows, dense_sum, lean, picked, prepared, text_parts
+from lodestone.llm._base import dense_rows, dense_sum, lean, picked, prepared, table, text_parts
 
 ORDERS, BITS = (3, 4, 5, 6), 20
 #: Bound of the fitting sample, rows of each class. All labelled rows count in the ratios.
 FIT_ROWS = 3000
+#: Bound of the fitting sample, features (presences) of each class, by the same order. A text has 2**BITS at most, so the task that fits holds that many more at most, however long texts are.
+FIT_FEATURES = 1 << 24
 #: So many labels or fewer are broadcast (under 50 MB); more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
 #: Characters of texts worked on at a time; a longer text is worked on alone, in pieces of as many.
@@ -181,7 +184,8 @@ def _sampled(kept: np.ndarray):
                 doc, at = doc[at >= 0], at[at >= 0].astype("<i4")
                 cuts = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
                 own = [at[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(own, pa.binary())], ["h", "y", "at"])
+                sizes = pa.array([len(x) // 4 for x in own], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), batch.column("y").slice(a, b - a), sizes, pa.array(own, pa.binary())], ["h", "y", "n", "at"])
 
     return run
 
@@ -206,7 +210,7 @@ def _fitting(scale: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", training: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", training: Column | None = None, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
     """Learn from the labelled rows for which training (a condition on the key) holds."""
     spark = prepared(docs.sparkSession)
     rows = picked(labels, **{key: key, "_label": label})
@@ -227,7 +231,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = plain.join(F.broadcast(sample), "k").select("text", "y", "h")  # 2 * fit_rows labels at most
     scale = r[chosen]
     del counted, counts, r
-    dealt = sample.mapInArrow(lean(_sampled(kept)), "h long, y int, at binary").repartition(1).sortWithinPartitions("h", "y")
+    found = table(sample.mapInArrow(lean(_sampled(kept)), "h long, y int, n long, at binary"))
+    before = F.sum("n").over(W.partitionBy("y").orderBy("h").rangeBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")  # over fit_rows rows and the texts of their keys
+    last = {r["y"]: r["h"] for r in found.select("h", "y", "n").withColumn("before", before).where(F.col("before") < fit_features).groupBy("y").agg(F.max("h").alias("h")).collect()}
+    chosen_rows = F.lit(False)
+    for c, h in last.items():
+        chosen_rows = chosen_rows | ((F.col("y") == c) & (F.col("h") <= h))
+    dealt = found.where(chosen_rows).select("h", "y", "at").repartition(1).sortWithinPartitions("h", "y")
     told = dealt.mapInArrow(lean(_fitting(scale)), "weights binary, intercept double").collect()
     weights, b = np.zeros(1 << BITS, np.float32), 0.0
     for row in told:  # one; none where no sampled label has a text
