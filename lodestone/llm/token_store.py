@@ -5,7 +5,7 @@ documents before it), n_tokens, control (two bits an id, its code's length less
 The code of an id is its rank by frequency over all documents, so the 256 most frequent ids take one byte; ``ranks`` beside the shards
 holds the ids by rank. Rows are read by table lookup: a control byte gives four lengths, their running sum the places.
 
-Cases: a null text is empty and has the end id alone; null keys come first; rows that repeat a key follow each other and count each;
+Cases: a null text is empty and has the end id alone; null keys come first; rows that repeat a key follow each other, in order of their texts' hashes (so reruns agree), may lie in several shards, and count each;
 an empty table gives an empty store; other columns are not read.
 """
 
@@ -116,7 +116,10 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
     """Encode docs and write a store to folder, which executors and driver must share."""
     spark = prepared(docs.sparkSession)
     path = tokenizer or encoding.default_path("byte_bpe_50k.json")
-    rows = picked(docs, key=key, text=text).repartitionByRange("key").sortWithinPartitions("key")
+    # rows of one key are in order of their texts' hashes; the last part of the order splits equal rows, which are alike in every order
+    order = ("key", "tie", "row")
+    rows = picked(docs, key=key, text=text).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie", "row")
     rows = rows.withColumn("shard", F.spark_partition_id())
     kind = rows.schema["key"].dataType
     schema = T.StructType([T.StructField("key", kind), T.StructField("shard", T.IntegerType()), T.StructField("local", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])

@@ -786,3 +786,23 @@ def test_mixing_takes_a_part_of_rows_that_repeat_an_id(spark, monkeypatch, place
     assert sum(words.values()) == sum(r["taken"] for r in got)
     target = brute_targets({s: sum(len(r[1].split()) for r in rows if r[3] == s) for s in "abc"})
     assert all(abs(words[s] - target[s]) <= 20 for s in "abc")
+
+
+def test_store_splits_and_orders_rows_of_one_key(spark, library):
+    rng = random.Random(3)
+    texts = ["same again"] * 150 + [" ".join(rng.choices(["a", "bee", "sea"], k=rng.randint(0, 9))) for _ in range(150)] + [None] * 20
+    df = spark.createDataFrame([(None if i % 5 == 0 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    stores = []
+    for n in (3, 8):
+        folder = token_store.new_folder(spark)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        token_store.write(df.repartition(n), folder)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        stores.append(sorted((r["start"], r["key"], r["n_tokens"], bytes(r["ids"])) for r in token_store.read(spark, folder).collect()))
+    assert stores[0] == stores[1] and [s[1] for s in stores[0]] == sorted((s[1] for s in stores[0]), key=lambda k: k is not None)
+    start = 0
+    for s in stores[0]:
+        assert s[0] == start and s[2] == len(s[3]) // 4
+        start += s[2]
+    assert sorted(s[2] for s in stores[0]) == sorted(len(ids_of(library, t, 2)) for t in texts)
+    assert spark.read.parquet(f"{folder}/shards").where("key = 7").select("shard").distinct().count() > 1
