@@ -47,16 +47,21 @@ class Settings:
         return Settings(**{**{k: getattr(self, k) for k in names}, **known})
 
 
-def normalized(claims: DataFrame, places: DataFrame) -> DataFrame:
+def normalized(claims: DataFrame, places: DataFrame, on_disk: DataFrame | None = None) -> DataFrame:
     """claims(ord, from, to, dependency_type, importance), places(path, ep) to the same with from_ep and to_ep (file, dir, empty, unknown): an endpoint is a
-    place, or the tail of exactly one."""
+    place, or the tail of exactly one, or else exists although nothing of it was scanned. on_disk(path, ep): what exists."""
     raw = claims.select(F.explode(F.array("from", "to")).alias("raw")).distinct().withColumn("s", paths.normalized_claim(F.col("raw")))
     exact = places.groupBy(F.col("path").alias("s")).agg(F.max("ep").alias("ep")).withColumn("path", F.col("s"))  # file before dir
     told = raw.join(exact, "s", "left")
     tail = graph.suffix_matches(told.where("path is null AND s <> ''").select("s").distinct(), places)
     told = told.join(tail.select("s", F.col("path").alias("t_path"), F.col("ep").alias("t_ep")), "s", "left")
+    disk = F.lit(None).cast("string")
+    if on_disk is not None:
+        told = told.join(on_disk.groupBy(F.col("path").alias("s")).agg(F.min("ep").alias("d_ep")), "s", "left")  # dir before file
+        disk = F.col("d_ep")
     plain = F.regexp_replace(F.regexp_replace("raw", r"^\s+|\s+$", ""), "^`+|`+$", "")
-    told = told.select("raw", F.coalesce("path", "t_path", plain).alias("node"), F.when(F.col("s") == "", "empty").otherwise(F.coalesce("ep", "t_ep", F.lit("unknown"))).alias("ep"))
+    node = F.coalesce("path", "t_path", F.when(disk.isNotNull() & (F.col("s") != ""), F.col("s")), plain)
+    told = told.select("raw", node.alias("node"), F.when(F.col("s") == "", "empty").otherwise(F.coalesce("ep", "t_ep", disk, F.lit("unknown"))).alias("ep"))
     out = claims.join(told.select(F.col("raw").alias("from"), F.col("node").alias("f"), F.col("ep").alias("from_ep")), "from")
     out = out.join(told.select(F.col("raw").alias("to"), F.col("node").alias("t"), F.col("ep").alias("to_ep")), "to")
     return out.select("ord", F.col("f").alias("from"), F.col("t").alias("to"), "from_ep", "to_ep", labels.dependency_type(F.col("dependency_type")).alias("kind"), F.least(F.greatest(F.col("importance").cast("int"), F.lit(0)), F.lit(255)).alias("importance"))

@@ -33,12 +33,12 @@ def file_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return graph.facade_closure(resolve.file_edges(told)), resolve.import_stats(told)
 
 
-def analyze(files: DataFrame, claims: DataFrame, settings: drift.Settings | None = None) -> Outcome:
-    """files(rel_path, extension, content), claims(ord, from, to, dependency_type, importance)."""
+def analyze(files: DataFrame, claims: DataFrame, settings: drift.Settings | None = None, on_disk: DataFrame | None = None) -> Outcome:
+    """files(rel_path, extension, content), claims(ord, from, to, dependency_type, importance), on_disk(path, ep): what exists beside the files scanned."""
     settings = settings or drift.Settings()
     edges, stats = file_graph(files)
     edges, stats = kept(edges), kept(stats)
-    claimed = kept(drift.deduped(drift.normalized(claims, places(files))))
+    claimed = kept(drift.deduped(drift.normalized(claims, places(files), on_disk)))
     listed = files.select(F.col("rel_path").alias("file"), paths.language(F.col("extension")).alias("lang"))
     file_node, nodes, counts = map(kept, graph.build_nodes(drift.claimed_nodes(claimed), listed))
     g_all, g_full = kept(graph.lift(edges, file_node, True)), kept(graph.lift(edges, file_node))

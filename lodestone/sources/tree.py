@@ -55,6 +55,14 @@ def walked(spark: SparkSession, root: str, settings: ScanSettings = ScanSettings
     return found.select(F.concat(F.lit(root.rstrip("/") + "/"), "rel_path").alias("path"), F.col("size").alias("length"), "content")
 
 
+def on_disk(spark: SparkSession, root: str) -> DataFrame:
+    """path, ep (file, dir) of all that a mounted tree holds, scanned or not; of folders, those with a file below them."""
+    spark.dataSource.register(walk.TreeWalk)
+    found = spark.read.format("tree_walk").option("hidden", "true").option("max_depth", 1000).load(root).select("rel_path")
+    dirs = found.select(F.explode(paths.ancestors(F.col("rel_path"))).alias("path")).where("path <> ''").distinct()
+    return found.select(F.col("rel_path").alias("path"), F.lit("file").alias("ep")).union(dirs.withColumn("ep", F.lit("dir")))
+
+
 def scan(found: DataFrame, root: str, settings: ScanSettings = ScanSettings(), tracked: DataFrame | None = None, output: str | None = None) -> DataFrame:
     """found (path, length, content) to rel_path, name, size, extension, importance_score, content. Cheap tests on names come first, the look into contents last."""
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("\\", "\\\\").replace(".", r"\.") + "/", "")

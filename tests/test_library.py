@@ -216,11 +216,46 @@ def test_summary_and_documents_of_reports():
 
     body, text = render.summary({"generated_at": "now", "project": "p", "total_secs": 1.25, "cap": 9}, {"calls": 2, "hits": 1, "quota_used": 2}, [("2.md", "missing"), ("1.md", "line 1: x")], [("a", 0.5)])
     assert body["calls"] == 2 and "- Missing documents: 2.md" in text and "- 1.md: line 1: x" in text and "| a | 0.5 |" in text
-    doc = render.database_doc({"tables": [{"name": "t", "columns": [{"name": "id", "data_type": "int"}]}], "views": []})
-    assert "## Table t" in doc and "| id | int |" in doc and "Views" not in doc
-    assert "## Routes" in render.boundary_doc({"router_boundaries": [{"path": "/a|b"}]})
+    doc = render.database_doc({"tables": [{"name": "t", "schema": "s", "columns": [{"name": "id|x", "data_type": "int", "nullable": False}], "primary_key": ["id", "y"], "source_path": "a.sql"}], "views": [],
+        "stored_procedures": [{"name": "p", "parameters": [{"name": "@a", "data_type": "int", "direction": "IN", "is_optional": True}], "referenced_tables": ["t", "u"]}], "database_functions": [{"schema": "s", "name": "f", "return_type": "int"}],
+        "table_relationships": [{"from_table": "a-b", "from_columns": ["x", "y"], "to_table": "c", "to_columns": ["z"], "relationship_type": "FK"}], "data_flows": [{"name": "load", "source": "a", "destination": "b", "operations": ["read", "write"]}],
+        "database_projects": [{"name": "db", "project_path": "p/db", "table_count": 2, "references": ["x"]}], "confidence_score": 7})
+    assert doc.split("\n") == [
+        "## Database Overview", "", "### Summary", "", "| Metric | Count |", "|---|---|", "| Database Projects | 1 |", "| Tables | 1 |", "| Views | 0 |", "| Stored Procedures | 1 |", "| Functions | 1 |", "| Relationships | 1 |", "",
+        "### Database Projects", "", "#### `db`", "", "- Path: `p/db`", "- Objects: 2 tables, 0 views, 0 procedures, 0 functions", "- References: x", "",
+        "### Tables", "", "#### `s.t`", "", "| Column | Type | Nullable | Identity | Default |", "|---|---|---|---|---|", "| id\\|x | int | false |  |  |", "", "**Primary key**: id, y", "", "**Source**: `a.sql`", "",
+        "### Stored Procedures", "", "#### `p`", "", "**Parameters**:", "", "- `@a` int (IN, optional)", "", "**Tables**: t, u", "", "### Functions", "", "#### `s.f`", "", "**Returns**: `int`", "",
+        "### Table Relationships", "", "```mermaid", "erDiagram", '    a_b ||--o{ c : "FK"', "```", "", "| From Table | From Columns | To Table | To Columns | Type |", "|---|---|---|---|---|", "| a-b | x, y | c | z | FK |", "",
+        "### Data Flows", "", "#### load", "", "- a → b", "- Operations: read, write", "", "---", "", "**Analysis Confidence**: 7.0/10", "",
+    ]
+    doc = render.boundary_doc({"cli_boundaries": [{"command": "run", "description": "Runs.", "source_location": "m.rs", "arguments": [{"name": "path", "value_type": "string", "required": True, "description": "where"}],
+        "options": [{"name": "--jobs", "short_name": "-j", "value_type": "int", "description": "how many", "default_value": 4}], "examples": ["run ."]}], "router_boundaries": [{"path": "/a", "params": [{"key": "id", "value_type": "int", "description": "which"}]}],
+        "api_boundaries": [{"method": "GET", "endpoint": "/b", "authentication": "token"}], "integration_suggestions": [{"integration_type": "SDK", "description": "Use it.", "example_code": "x()", "best_practices": ["Retry"]}]})
+    assert doc.split("\n")[4:] == [
+        "## Command Line Interface (CLI)", "", "### run", "", "**Description**: Runs.", "", "**Source File**: `m.rs`", "", "**Arguments**:", "", "- `path` (string): required - where", "",
+        "**Options**:", "", "- `--jobs, -j` (int): optional - how many (default: `4`)", "", "**Usage Examples**:", "", "```bash", "run .", "```", "", "## API Interfaces", "", "### GET /b", "", "**Authentication**: token", "",
+        "## Router Routes", "", "### /a", "", "**Parameters**:", "", "- `id` (int): which", "", "## Integration Suggestions", "", "### SDK", "", "Use it.", "", "**Example Code**:", "", "```", "x()", "```", "", "**Best Practices**:", "", "- Retry", "",
+        "---", "", "**Analysis Confidence**: 0.0/10", "",
+    ]
+    told = render.status_text({"project": "p", "manifest": "m.json", "manifest_written_at": "now", "manifest_git_head": "abc", "commits_since": 2, "research_age_secs": 7300, "classification": "cosmetic", "reasons": ["x"], "files": {"added": 1}, "docs": [{"path": "a.md", "state": "fresh", "age_secs": 90}]})
+    assert told.split("\n") == ["status of p", "", "manifest: m.json (now)", "git: documented at abc, 2 commit(s) since", "research: 2h ago", "", "status: cosmetic", "  - x", "files: added 1", "  fresh   a.md (1m ago)", ""]
+    assert "manifest: none" in render.status_text({"project": "p", "manifest_written_at": None, "research_age_secs": None, "classification": "full"}) and render.status_text({"classification": "full"}) == "status: full\n"
     assert jsons.system_boundary('{"scope": "s", "included_components": "a"}') == {"scope": "s", "included_components": ["a"], "excluded_components": []}
     with pytest.raises(ValueError):
         jsons.system_boundary("no")
     assert jsons.flow_steps([{"step": 4}, "go", " "]) == [{"step": 4}, {"step": 2, "operation": "go"}]
     assert jsons.parameters([{"name": "a", "param_type": 1}, "x"]) == [{"name": "a", "param_type": ""}]
+
+
+def test_endpoints_that_exist_but_were_not_scanned(spark, tmp_path):
+    from lodestone.operators import drift
+    from lodestone.plans import drift_check
+
+    for name in ("src/a.py", "assets/img/logo.png", "deep/src/b.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    places = drift_check.places(spark.createDataFrame([("src/a.py",), ("deep/src/b.py",)], "rel_path string"))
+    claims = spark.createDataFrame([(0, "`assets/`", "src/a.py", "import", 1), (1, "./assets/img/logo.png", "a.py", "import", 1), (2, "assets/none", "", "import", 1)], "ord int, from string, to string, dependency_type string, importance int")
+    told = lambda disk: {r["ord"]: (r["from"], r["from_ep"], r["to"], r["to_ep"]) for r in drift.normalized(claims, places, disk).collect()}
+    assert told(tree.on_disk(spark, str(tmp_path))) == {0: ("assets", "dir", "src/a.py", "file"), 1: ("assets/img/logo.png", "file", "src/a.py", "file"), 2: ("assets/none", "unknown", "", "empty")}
+    assert told(None)[0][1] == told(None)[1][1] == "unknown"
