@@ -694,6 +694,52 @@ def test_licenses(spark, words, odd, none):
     assert licenses.scanned(odd).count() == licenses.scanned(none).count() == 0
 
 
+def brute_licenses(texts):
+    """(text, license): containment, start, end of the best of all windows, with tuples of words as shingles."""
+
+    def shingles(text):
+        words = [(m.group().translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), m.start(), m.end()) for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7F])+", text)]
+        if 0 < len(words) < 5:
+            return [(tuple(w[0] for w in words), words[0][1], words[-1][2])]
+        return [(tuple(w[0] for w in words[i : i + 5]), words[i][1], words[i + 4][2]) for i in range(len(words) - 4)]
+
+    out = {}
+    templates = {n: {x[0] for x in shingles(t)} for n, t in licenses.TEMPLATES.items()}
+    for i, text in enumerate(texts):
+        found = shingles(text)
+        for name, own in templates.items():
+            step = 1
+            while 2 * step < len(own):
+                step *= 2
+            for k in range(0, len(found), step):
+                hits = [x for x in found[k : k + 3 * step] if x[0] in own]
+                share = len({x[0] for x in hits}) / len(own)
+                if share >= 0.8:
+                    now = (-share, hits[0][1], hits[-1][2])
+                    out[i, name] = min(out.get((i, name), now), now)
+    return {k: (-v[0], v[1], v[2]) for k, v in out.items()}
+
+
+def test_licenses_equal_all_windows(words):
+    import pyarrow as pa
+
+    vocabulary, rng = words
+    texts = []
+    for text in licenses.TEMPLATES.values():
+        own = text.split(" ")
+        for share in (0, 0.01, 0.02, 0.03, 0.05, 0.08):  # of words changed, lost or doubled: containment from 1 to below 0.8
+            changed = [w for x in own for w in ([x] if rng.random() >= share else rng.choice([["ünd"], [], [x, x]]))]
+            noise = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 120))] for _ in range(3)]
+            texts.append(" ".join([*noise[0], *changed, *noise[1], *(changed if rng.random() < 0.3 else []), *noise[2]]))
+    texts += [" ".join(licenses.TEMPLATES.values()).upper(), "", "x y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "text"])
+    (out,) = licenses._scanning(tuple(licenses.TEMPLATES.items()))([batch])
+    got = {(r["key"], r["license"]): (r["containment"], r["start"], r["end"]) for r in out.to_pylist()}
+    want = brute_licenses(texts)
+    rounded = lambda x: {k: (round(v[0], 9), *v[1:]) for k, v in x.items()}
+    assert rounded(got) == rounded(want) and len(want) > len(licenses.TEMPLATES) and any(v[0] < 0.9 for v in want.values())
+
+
 # op10
 def brute_targets(sizes, weights=(5, 2, 1), cap=3.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
