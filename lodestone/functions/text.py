@@ -100,6 +100,11 @@ RULES = {
 _BY_EXTENSION = {ext: rule for names, rule in RULES.items() for ext in names.split()}
 
 
+def branch_words(ext: str) -> tuple[str, ...]:
+    """What counts as a branch in files of an extension."""
+    return tuple(_BY_EXTENSION.get(ext, _BY_EXTENSION["*"])["branch"])
+
+
 def statics(ext: str, content: str) -> dict:
     """What insights hold of a file: interfaces, dependencies and metrics."""
     rule = _BY_EXTENSION.get(ext, _BY_EXTENSION["*"])

@@ -527,7 +527,20 @@ def sanitize_sources(v: Views) -> DataFrame:
     return clear.select("rel_path", F.length("clear").alias("n_chars"), F.md5("clear").alias("digest"))
 
 
-@query()
+def _branches(ext: str) -> str:
+    """The sum of a language's branch words in ``content``, as SQL."""
+    quoted = [t.replace("'", "''") for t in texts.branch_words(ext)]
+    return " + ".join(f"(length(content) - length(replace(content, '{t}', ''))) // {len(t.replace(chr(39) * 2, chr(39)))}" for t in quoted)
+
+
+@query(f"""WITH c AS (SELECT rel_path, extension, content, 'doc_' || abs(doc_id - 5) AS b, chr(10) AS nl, chr(39) AS q, chr(34) AS d FROM files),
+s AS (SELECT rel_path, extension, CASE extension
+ WHEN 'rs' THEN 'use std::fs;' || nl || 'mod ' || b || ';' || nl || 'pub use self::' || b || '::{{a, b}};' || nl || 'const X: &str = ' || d || 'use no::c;' || d || '; // mod nothing;' || nl || '/* ' || content || ' */' || nl
+ WHEN 'py' THEN 'import os' || nl || 'from .' || b || ' import a, b' || nl || 'x = ' || q || 'from .no import c' || q || '  # import nothing' || nl || d || d || d || replace(content, d || d || d, '') || d || d || d || nl
+ WHEN 'ts' THEN 'import fs from ' || q || 'fs' || q || ';' || nl || 'export {{ a, b }} from ' || q || './' || b || q || ';' || nl || 'const c = require(' || q || './no' || q || '); // import d from ' || q || './nothing' || q || nl || '/* ' || content || ' */' || nl
+ ELSE content END AS content FROM c)
+SELECT rel_path, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '\\S')))::BIGINT AS loc, 0::BIGINT AS n_functions, 0::BIGINT AS n_classes,
+ (CASE extension {' '.join(f"WHEN '{e}' THEN {_branches(e)}" for e in ('rs', 'py', 'ts', 'sql', 'md'))} END)::DOUBLE AS cyclomatic, CASE extension WHEN 'rs' THEN 1 WHEN 'py' THEN 2 WHEN 'ts' THEN 3 ELSE 0 END AS n_dependencies FROM s""")
 def file_statics(v: Views) -> DataFrame:
     s = texts.insights(_sources(v))
     return s.select("rel_path", "statics.loc", "statics.n_functions", "statics.n_classes", "statics.cyclomatic", F.size("statics.dependencies").alias("n_dependencies"))
@@ -658,7 +671,7 @@ def tree_text(v: Views) -> DataFrame:
 _HEADERS = ("graph TD", "sequenceDiagram", "plot x", "", "%% note", "ClassDiagram")
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN coalesce(doc_id, 0) % 7 = 6 THEN 1 WHEN coalesce(doc_id, 0) % 6 IN (0, 1, 5) AND regexp_matches(coalesce(text, ''), '\\S') THEN 0 ELSE 1 END AS issues FROM documents""")
 def mermaid_lint(v: Views) -> DataFrame:
     """Whole texts as the bodies of diagrams, with valid and other headers; of each seven fences, one stays open."""
     k = F.coalesce("doc_id", F.lit(0))
