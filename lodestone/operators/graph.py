@@ -137,12 +137,12 @@ def shortest_paths(edges: DataFrame, wanted: DataFrame, blocked: DataFrame, dept
 
 def shortest_distance(links: DataFrame, depth: int) -> DataFrame:
     """All pairs (from, to) and their distance, up to depth hops."""
-    links = links.select("from", "to").where("`from` <> `to`").distinct()
+    links = stored(links.select("from", "to").where("`from` <> `to`").distinct())
     reached = front = links.withColumn("hops", F.lit(1))
     step = links.select(F.col("from").alias("to"), F.col("to").alias("next"))
     for hop in range(2, depth + 1):
-        front = front.join(step, "to").select("from", F.col("next").alias("to")).where("`from` <> `to`").distinct()
-        front = front.join(reached, ["from", "to"], "left_anti").withColumn("hops", F.lit(hop))
+        front = front.join(shuffled(step), "to").select("from", F.col("next").alias("to")).where("`from` <> `to`").distinct()
+        front = stored(front.join(shuffled(reached), ["from", "to"], "left_anti").withColumn("hops", F.lit(hop)))  # else each hop would run all before it again
         reached = reached.unionByName(front)
     return reached
 

@@ -30,6 +30,13 @@ def test_an_edge_is_there_once_with_its_count(items):
     assert items.file_edges() is edges
 
 
+def test_shortest_distance_does_not_run_its_hops_again(spark):
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(12)], PAIR)
+    got = graph.shortest_distance(chain, 6)
+    assert "Join" not in plan(got)
+    assert {(r["from"], r["to"], r["hops"]) for r in got.collect()} == {(f"c{i}", f"c{j}", j - i) for i in range(13) for j in range(i + 1, min(i + 7, 13))}
+
+
 def test_frames_that_grow_are_not_broadcast(spark):
     files = spark.createDataFrame([("a/x", "rust"), ("b/y", "rust"), ("c/z", "other")], "file string, lang string")
     claimed = spark.createDataFrame([("a", "dir"), ("b/y", "file")], "node_id string, ep string")
