@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import drift, graph
+from lodestone.operators import drift, graph, resolve
 from lodestone.plans.views import Views
 
 PAIR = "from string, to string"
@@ -66,3 +66,14 @@ def test_searches_are_read_one_after_the_other(spark):
     rows = {(r["from"], r["to"]): r["hops"] for r in got.collect()}
     assert rows["s3", "t0"] == 1 and rows["s3", "t1"] == 2 and rows["s3", "s0"] == 3 and ("s1", "s3") not in rows
     assert len({f for f, _ in rows}) == 302
+
+
+def test_imports_are_resolved_in_one_pass(spark, items):
+    found = items.rust_imports()
+    rows = [tuple(map(str, r)) for r in found.collect()]
+    assert len(set(rows)) == len(rows) > 0
+    assert len(rows) == items.read("lineitem").where("l_partkey % 40 <> 39").distinct().count()
+    got = resolve.rust(found, items.rust_files())
+    assert "Union" not in plan(got) and plan(got).count("explode(") == 2  # a path's prefixes and a file's two stems, each once
+    told = {(r["tree"], r["importer"], r["seq"]) for r in got.collect()}
+    assert len(told) == len(rows)
