@@ -88,9 +88,9 @@ def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def set_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows with change: added or removed, of two frames of the same columns as sets."""
-    old, new = old.distinct(), new.distinct()
-    return new.join(old, new.columns, "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, new.columns, "left_anti").withColumn("change", F.lit("removed")))
+    """Rows with change: added or removed, of two frames of the same columns as sets (nulls are equal). Both are grouped together once, by which of them hold a row."""
+    sides = old.withColumn("change", F.lit(1)).unionByName(new.withColumn("change", F.lit(2))).groupBy(*new.columns).agg(F.bit_or("change").alias("change"))
+    return sides.where("change < 3").withColumn("change", F.when(F.col("change") == 1, "removed").otherwise("added"))
 
 
 def snapshot_diff(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> DataFrame:

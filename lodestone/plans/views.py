@@ -149,7 +149,8 @@ class Views:
             self.made["file_edges"] = self._file_edges()
         return self.made["file_edges"]
 
-    def _file_edges(self) -> DataFrame:
+    def edge_rows(self) -> DataFrame:
+        """The edge of each lineitem by numbers: i and t, parts whose paths are its ends (a path ends in its part's number, so they stand for one another), and l_linenumber."""
         p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
         thin, module = (line == 2) & (p % 8 == 1), 400 * F.expr(_module("l_partkey"))
         near = F.when(line == 3, p).otherwise(module + F.when(thin, p % 40 + 40).otherwise(p % 40 + 40 * (1 + s % 2)))
@@ -157,8 +158,12 @@ class Views:
         for n, to in _AHEAD.items():
             ahead = ahead.when(line == n, F.expr(to))
         far = ahead + 40 * F.when(thin, 1).otherwise(1 + s % 3) + F.when(line == 3, 0).otherwise(module)
+        return self.read("lineitem").select(near.alias("i"), far.alias("t"), line.alias("l_linenumber"))
+
+    def _file_edges(self) -> DataFrame:
+        line = F.col("l_linenumber")
         kind = F.element_at(F.array(*map(F.lit, ("Import", "InlinePath", "Import", "Import", "ReExport", "ModDecl", "Import"))), line)
-        rows = stored(self.read("lineitem").select(near.alias("i"), far.alias("t"), line.alias("l_linenumber")).groupBy("i", "t", "l_linenumber").agg(F.count("*").alias("n")))
+        rows = stored(self.edge_rows().groupBy("i", "t", "l_linenumber").agg(F.count("*").alias("n")))
         return stored(rows.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), kind.alias("kind"), (line == 7).alias("test_only"), line.alias("line"), "n"))
 
     def raw_claims(self) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import drift, graph, resolve
+from lodestone.operators import drift, graph, resolve, snapshots
+from lodestone.plans import catalog
 from lodestone.plans.views import Views
 
 PAIR = "from string, to string"
@@ -77,3 +78,21 @@ def test_imports_are_resolved_in_one_pass(spark, items):
     assert "Union" not in plan(got) and plan(got).count("explode(") == 2  # a path's prefixes and a file's two stems, each once
     told = {(r["tree"], r["importer"], r["seq"]) for r in got.collect()}
     assert len(told) == len(rows)
+
+
+def test_sets_are_compared_in_one_grouping(spark):
+    old = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", None), ("d", "e")], "importer string, target string")
+    new = spark.createDataFrame([("c", None), ("a", "b"), ("f", "g"), ("f", "g"), (None, "h")], "importer string, target string")
+    got = snapshots.set_changes(old, new)
+    assert "Join" not in plan(got) and plan(got).count("Exchange") == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([("d", "e", "removed"), ("f", "g", "added"), (None, "h", "added")], "importer string, target string, change string").collect()))
+
+
+def test_edges_of_snapshots_are_compared_by_numbers(spark, items):
+    docs = [(i, f"text {i}", "en", f"src{i % 5}", 6) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{items.dir}/documents.parquet")
+    got = catalog.snapshot_significance(items).first()["reasons"]
+    assert not items.made  # no edge was made into texts
+    last = items.file_edges().groupBy("importer", "target").agg(F.max("line").alias("line"))
+    removed = last.where("line % 2 = 1").count()
+    assert removed > 0 and got.endswith(f"; import graph changed (+0 −{removed} edges)")
