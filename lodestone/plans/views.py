@@ -146,9 +146,14 @@ class Views:
     def file_edges(self) -> DataFrame:
         """Each edge once with the number n of its lineitems, which repeat it about five times. They are counted by their numbers; texts are made of what is left."""
         if "file_edges" not in self.made:
-            self.made["file_edges"] = self._file_edges()
+            self.made["file_edges"] = stored(self._edge_texts(stored(self._edge_counts())))
         return self.made["file_edges"]
 
+    def passing_edges(self) -> DataFrame:
+        """The same, not stored, for a query that reads them once. Their ends are never null (of no file, if so), or a join's check for nulls would make the texts of every lineitem."""
+        ends = {end: F.coalesce(end, F.lit("")) for end in ("importer", "target")}
+        return self._edge_texts(self._edge_counts()).withColumns(ends)
+
     def edge_rows(self) -> DataFrame:
         """The edge of each lineitem by numbers: i and t, parts whose paths are its ends (a path ends in its part's number, so they stand for one another), and l_linenumber."""
         p, s, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
@@ -160,11 +165,13 @@ class Views:
         far = ahead + 40 * F.when(thin, 1).otherwise(1 + s % 3) + F.when(line == 3, 0).otherwise(module)
         return self.read("lineitem").select(near.alias("i"), far.alias("t"), line.alias("l_linenumber"))
 
-    def _file_edges(self) -> DataFrame:
+    def _edge_counts(self) -> DataFrame:
+        return self.edge_rows().groupBy("i", "t", "l_linenumber").agg(F.count("*").alias("n"))
+
+    def _edge_texts(self, counts: DataFrame) -> DataFrame:
         line = F.col("l_linenumber")
         kind = F.element_at(F.array(*map(F.lit, ("Import", "InlinePath", "Import", "Import", "ReExport", "ModDecl", "Import"))), line)
-        rows = stored(self.edge_rows().groupBy("i", "t", "l_linenumber").agg(F.count("*").alias("n")))
-        return stored(rows.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), kind.alias("kind"), (line == 7).alias("test_only"), line.alias("line"), "n"))
+        return counts.select(F.expr(_path("i")).alias("importer"), F.expr(_path("t")).alias("target"), kind.alias("kind"), (line == 7).alias("test_only"), line.alias("line"), "n")
 
     def raw_claims(self) -> DataFrame:
         """ord, from, to, dependency_type, importance, with endpoints as people write them."""
